@@ -38,3 +38,13 @@ def stage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
+
+    ``df`` should be cheap to count, such as a staged one.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).groupBy().count().filter(f"count <= {rows}").take(1)) else df
