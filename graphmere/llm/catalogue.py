@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmere.llm import packing, splitting
+from graphmere.llm import leaks, packing, splitting
 from graphmere.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,26 @@ def p6_found(spark, d):
 def p6_containers(spark, d):
     out = packing.pack_documents(table(spark, d, "documents"))
     return out.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+
+
+_WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"""
+WITH i AS (SELECT item_id, {_WORDS.format(c="text")} AS w FROM eval_items),
+g AS (SELECT item_id, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s, w FROM i WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM g),
+d AS (SELECT doc_id, {_WORDS.format(c="text")} AS w FROM documents),
+h AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM (
+      SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM k) WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM h JOIN k USING (n, gram)
+""")
+def p7_found(spark, d):
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return out.filter("kind = 'phrase'").select("doc_id", "item_id")
+
+
+@query()
+def p7_items(spark, d):
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return out.groupBy("item_id", "kind").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
