@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmere.llm import leaks, packing, splitting
+from graphmere.llm import encodings, leaks, packing, splitting
 from graphmere.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,14 @@ def p7_found(spark, d):
 def p7_items(spark, d):
     out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return out.groupBy("item_id", "kind").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
+
+
+@query()
+def p8_found(spark, d):
+    return encodings.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+@query()
+def p8_restored(spark, d):
+    out = encodings.restore_garbled(table(spark, d, "documents"))
+    return out.select("doc_id", "restored", (F.col("text") != F.col("restored")).alias("changed"))
