@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmere.llm import encodings, leaks, packing, splitting
+from graphmere.llm import encodings, leaks, neighbours, packing, splitting
 from graphmere.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,23 @@ def p8_found(spark, d):
 def p8_restored(spark, d):
     out = encodings.restore_garbled(table(spark, d, "documents"))
     return out.select("doc_id", "restored", (F.col("text") != F.col("restored")).alias("changed"))
+
+
+_VECTORS = """
+WITH first AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY page_id, ord ORDER BY chunk_id) = 1),
+v AS (SELECT chunk_id, embedding::DOUBLE[] AS e FROM first WHERE len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.chunk_id AS id, b.chunk_id AS other, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+k AS (SELECT id, other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM s WHERE similarity >= 0.92) WHERE r <= 10)
+"""
+
+
+@query(_VECTORS + "SELECT DISTINCT least(id, other) AS chunk_a, greatest(id, other) AS chunk_b FROM k")
+def p2_found(spark, d):
+    out = neighbours.most_similar(table(spark, d, "chunks"))
+    return out.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
+
+
+@query()
+def p2_neighbours(spark, d):
+    return neighbours.most_similar(table(spark, d, "chunks"))
