@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmere.llm import encodings, leaks, neighbours, packing, splitting
+from graphmere.llm import encodings, leaks, near_duplicates, neighbours, packing, splitting
 from graphmere.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,24 @@ def p2_found(spark, d):
 @query()
 def p2_neighbours(spark, d):
     return neighbours.most_similar(table(spark, d, "chunks"))
+
+
+_SHINGLES = f"""
+WITH w AS (SELECT item_seq, {_WORDS.format(c="coalesce(title, '') || chr(10) || coalesce(body, '')")} AS w FROM memory_items),
+g AS (SELECT DISTINCT item_seq, array_to_string(w[s:s + 2], ' ') AS gram FROM (SELECT item_seq, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) >= 20)),
+n AS (SELECT item_seq, count(*) AS n FROM g GROUP BY item_seq),
+b AS (SELECT a.item_seq AS item_a, b.item_seq AS item_b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.item_seq < b.item_seq GROUP BY ALL)
+SELECT item_a, item_b FROM b JOIN n x ON x.item_seq = item_a JOIN n y ON y.item_seq = item_b WHERE c >= 0.6 * (x.n + y.n - c)
+"""
+
+
+@query(_SHINGLES)
+def p5_found(spark, d):
+    return near_duplicates.duplicate_pairs(*near_duplicates.near_duplicates(table(spark, d, "memory_items")))
+
+
+@query()
+def p5_classes(spark, d):
+    links, members = near_duplicates.near_duplicates(table(spark, d, "memory_items"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(ends, "rep", "left").select("item", "rep", F.coalesce("links", F.lit(0)).alias("links"))
