@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,21 +22,53 @@ def local_session(cpus: str = "8", partitions: int = 8, memory: str = "8g") -> S
     )
 
 
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder; a temporary one only where none is set, as in tests on one machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
     tests on one machine, a temporary folder is used. Never a local checkpoint: executors may be lost.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a written table in the checkpoint folder, for wide or repetitive rows.
+
+    It is deleted when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_delete_written)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _delete_written() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
