@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphmere.session import sized, stage
+from graphmere.session import sized, stage, stage_table
 
 #: Encodings of one byte a character, as written and as read. Any ordered pair is a chain.
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "iso8859-1", "iso8859-2", "iso8859-5", "iso8859-15")
@@ -102,7 +102,7 @@ def garbled_forms(word: str, kind: str = "word") -> dict[str, tuple[str, bool]]:
         lossy = raw.decode("utf-8", "replace")
         if "\ufffd" in lossy:
             keep(lossy, f"{written}>utf-8", False)
-        if kind == "word" and len(word) >= LEAST_LENGTH:
+        if kind == "word":
             for read in SINGLE:
                 try:
                     keep(raw.decode(read), f"{written}>{read}", True)
@@ -112,18 +112,37 @@ def garbled_forms(word: str, kind: str = "word") -> dict[str, tuple[str, bool]]:
 
 
 def _forms(known):
-    """Forms of a batch of words that may be words of the corpus; ``known`` is the filter over these."""
+    """Forms of a batch of words that may be words of the corpus; ``known`` is the filter over these.
+
+    Chains leave ASCII alone, so words that differ only in it share their forms; of these only the ones whose
+    fragments are all in the corpus are kept.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
         import xxhash
 
         bits, mask = known.value, (1 << FILTER_BITS) - 1
+        ascii_run, fragment = re.compile(r"[\x00-\x7f]+"), re.compile(FRAGMENT)
+
+        def held(w: str) -> bool:
+            h = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), seed=42) & mask
+            return bool(bits[h >> 3] >> (h & 7) & 1)
+
+        @lru_cache(1 << 16)
+        def skeleton(shape: str, kind: str) -> list[tuple[str, str, bool]]:
+            return [(f, *x) for f, x in garbled_forms(shape, kind).items() if all(map(held, fragment.findall(f) if kind != "char" else [f]))]
+
         for batch in batches:
             rows = []
             for word, kind, n in zip(batch["word"], batch["kind"], batch["n"]):
-                for form, (chain, swap) in garbled_forms(word, kind).items():
-                    h = xxhash.xxh64_intdigest(form.encode("utf-8", "replace"), seed=42) & mask
-                    if bits[h >> 3] >> (h & 7) & 1:
+                plain = ascii_run.findall(word)
+                for form, chain, swap in skeleton(ascii_run.sub("\0", word), kind):
+                    if plain:
+                        parts = form.split("\0")
+                        form = "".join(x for pair in zip(parts, [*plain, ""]) for x in pair)
+                    if (not swap or len(word) >= LEAST_LENGTH) and held(form):
                         rows.append((form, "unit" if kind == "char" else kind, word, n, chain, swap))
             yield pd.DataFrame(rows, columns=["word", "kind", "original", "n_original", "chain", "swap"])
 
@@ -141,33 +160,32 @@ def _word_filter(vocabulary: DataFrame) -> bytes:
     return bytes(out)
 
 
-def document_words(documents: DataFrame, ident: str, text: str, chars: bool) -> DataFrame:
+def document_words(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(doc, word, kind), distinct in a document.
 
     kind: 'word'; 'fragment', a run of other than ASCII characters; 'unit', a piece of a fragment that may be
-    one garbled character, for scripts without blanks; with ``chars`` also 'char', such a script's characters.
+    one garbled character, for scripts without blanks; 'char', such a script's characters.
     """
     found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
     cut = documents.select(F.col(ident).alias("doc"), found.alias("found")).filter("size(found) > 0")
     cut = cut.withColumn("parts", F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "found"), F.lit(FRAGMENT), F.lit(0))))
     joined = F.concat_ws(" ", "parts")
     kinds = {"word": F.col("found"), "fragment": F.col("parts"), "unit": F.array_distinct(F.regexp_extract_all(joined, F.lit(_unit_pattern()), F.lit(0)))}
-    if chars:
-        kinds["char"] = F.array_distinct(F.regexp_extract_all(joined, F.lit(r"[\x{800}-\x{d7ff}\x{e000}-\x{fffc}]"), F.lit(0)))
+    kinds["char"] = F.array_distinct(F.regexp_extract_all(joined, F.lit(r"[\x{800}-\x{d7ff}\x{e000}-\x{fffc}]"), F.lit(0)))
     tag = lambda k: lambda w: F.struct(w.alias("word"), F.lit(k).alias("kind"))
     tagged = [F.transform(c, tag(k)) for k, c in kinds.items()]
     return cut.select("doc", F.explode(F.concat(*tagged)).alias("w")).select("doc", "w.word", "w.kind")
 
 
-def garbled_words(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def garbled_words(words: DataFrame) -> DataFrame:
     """(word, kind, original, chain, sure): the corpus's garbled words with their most frequent clean original.
 
     A form counts if a word of the corpus, written and read by one chain, gives it. A form that only swaps
     single characters must be LEAST_RATIO times rarer than its original, or it may be a word in its own right.
-    ``sure`` is false where several clean originals give one form.
+    ``sure`` is false where several clean originals give one form. ``words`` is from :func:`document_words`.
     """
-    vocabulary = stage(document_words(documents, ident, text, True).groupBy("word", "kind").agg(F.count("*").alias("n")))
-    known = documents.sparkSession.sparkContext.broadcast(_word_filter(vocabulary))
+    vocabulary = stage(words.groupBy("word", "kind").agg(F.count("*").alias("n")))
+    known = words.sparkSession.sparkContext.broadcast(_word_filter(vocabulary))
     forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(known), "word string, kind string, original string, n_original long, chain string, swap boolean")
     hits = stage(forms.join(vocabulary, ["word", "kind"]).filter((~F.col("swap")) | (F.col("n_original") >= LEAST_RATIO * F.col("n"))).drop("n"))
     garbled = hits.select(F.col("word").alias("original"), "kind", F.lit(1).alias("dirty")).distinct()
@@ -185,8 +203,9 @@ def find_garbled(documents: DataFrame, ident: str = "doc_id", text: str = "text"
     and are never found; repeated rows of one id count as one document; further columns are ignored; an empty
     table gives an empty result.
     """
-    garbled = sized(stage(garbled_words(documents, ident, text)), SMALL_ROWS)
-    hits = document_words(documents, ident, text, False).join(garbled, ["word", "kind"])
+    words = stage_table(document_words(documents, ident, text))
+    garbled = sized(stage(garbled_words(words)), SMALL_ROWS)
+    hits = words.filter("kind != 'char'").join(garbled, ["word", "kind"])
     fix = F.when(F.col("sure"), F.struct(F.col("word").alias("key"), F.struct("kind", "original").alias("value")))
     grouped = hits.groupBy("doc").agg(
         F.count_distinct("word").alias("words"),
