@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,12 +44,45 @@ def _table(encoding: str, undefined: str) -> dict[int, str]:
     return out
 
 
-def _read(raw: bytes, encoding: str) -> set[str]:
+def _misread(text: str, written: str, read: str, undefined: str) -> str | None:
+    """``text`` written in one encoding and read in another; null if it can't be written so."""
     try:
-        return {raw.decode(encoding)}
-    except UnicodeDecodeError:
-        flat = raw.decode("iso8859-1")
-        return {flat.translate(_table(encoding, u)) for u in ("keep", "replace", "drop")}
+        return text.encode(written).decode("iso8859-1").translate(_table(read, undefined))
+    except UnicodeEncodeError:
+        return None
+
+
+@dataclass(frozen=True)
+class Chain:
+    """One way to garble text, as a table from character to text; all its encodings work character by character."""
+
+    name: str
+    swap: bool
+    table: dict[int, str]
+
+
+def chains(charset: str) -> list[Chain]:
+    """All chains over the characters of a corpus, as far as their results are characters of the corpus too."""
+    known, out = set(charset), []
+
+    def add(name: str, swap: bool, garble) -> None:
+        table = {ord(c): f for c in known if c > "\x7f" and (f := garble(c)) and f != c and known.issuperset(f) and not any(x.isascii() for x in f)}
+        if table and not any(c.table == table for c in out):
+            out.append(Chain(name, swap, table))
+
+    for read in SINGLE:
+        variants = ("keep", "replace", "drop") if _table(read, "keep") != _table(read, "drop") else ("keep",)
+        for written in MULTI:
+            for u in variants:
+                # The older ones hold Latin letters too, but text is written in them for the scripts they are made for.
+                add(f"{written}>{read}", False, lambda c: _misread(c, written, read, u) if written == "utf-8" or c >= "\u0800" else None)  # noqa: B023
+        if read in TWICE:
+            for u in variants:
+                add(f"utf-8>{read} twice", False, lambda c: _misread(_misread(c, "utf-8", read, u), "utf-8", read, u))  # noqa: B023
+        for written in SINGLE:
+            if written != read:
+                add(f"{written}>{read}", True, lambda c: _misread(c, written, read, "drop"))  # noqa: B023
+    return out
 
 
 def _unit_pattern() -> str:
@@ -63,92 +97,61 @@ def _unit_pattern() -> str:
     return "|".join([twice, *dict.fromkeys(alternatives)])
 
 
-def garbled_forms(word: str, kind: str = "word") -> dict[str, tuple[str, bool]]:
-    """Garbled form -> (chain, whether it is a swap of single characters) of a word under all chains.
-
-    Swaps count only for whole words of some length: shorter ones and fragments are too often words themselves.
-    A single character is no evidence either, but for the replacement character.
-    """
-    out: dict[str, tuple[str, bool]] = {}
-
-    def keep(form: str, chain: str, swap: bool) -> None:
-        if form != word and (len(form) > 1 or form == "\ufffd") and not form.isascii():
-            out.setdefault(form, (chain, swap))
-
-    for written in MULTI if kind != "char" else ("utf-8",):
-        try:
-            raw = word.encode(written)
-        except UnicodeEncodeError:
-            continue
-        if written != "utf-8" and len(raw) < 4:
-            continue
-        for read in SINGLE:
-            for form in _read(raw, read):
-                keep(form, f"{written}>{read}", False)
-                if written == "utf-8" and read in TWICE:
-                    for again in _read(form.encode(), read):
-                        keep(again, f"{written}>{read} twice", False)
-    if kind == "char":
-        return out
-    done = set()
-    for written in SINGLE:
-        try:
-            raw = word.encode(written)
-        except UnicodeEncodeError:
-            continue
-        if raw in done:
-            continue
-        done.add(raw)
-        lossy = raw.decode("utf-8", "replace")
-        if "\ufffd" in lossy:
-            keep(lossy, f"{written}>utf-8", False)
-        if kind == "word":
-            for read in SINGLE:
-                try:
-                    keep(raw.decode(read), f"{written}>{read}", True)
-                except UnicodeDecodeError:
-                    pass
-    return out
-
-
-def _forms(known):
-    """Forms of a batch of words that may be words of the corpus; ``known`` is the filter over these.
+def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, str]]], masks: dict[str, int], lossy: bool) -> Iterator[tuple[str, str, bool]]:
+    """(form, chain, swap) of a word under the chains that can garble each of its characters, by ``masks``.
 
-    Chains leave ASCII alone, so words that differ only in it share their forms; of these only the ones whose
-    fragments are all in the corpus are kept.
+    Swaps of single characters count only for whole words of some length: shorter ones and fragments are too
+    often words themselves. A single character is no evidence either, but for the replacement character, which
+    stands for what was not UTF-8.
     """
+    m = -1
+    for c in word:
+        if c > "\x7f":
+            m &= masks.get(c, 0)
+    while m > 0:
+        low = m & -m
+        m ^= low
+        name, swap, table = ways[low.bit_length() - 1]
+        if not swap or (kind == "word" and len(word) >= LEAST_LENGTH):
+            form = word.translate(table)
+            if len(form) > (1 if swap or name.startswith("utf-8") else 3):
+                yield form, name, swap
+    if lossy and kind != "char":
+        for written in SINGLE:
+            try:
+                form = word.encode(written).decode("utf-8", "replace")
+            except UnicodeEncodeError:
+                continue
+            if "\ufffd" in form:
+                yield form, f"{written}>utf-8", False
+
+
+def _forms(shared):
+    """Forms of a batch of words that may be words of the corpus, by the filter over these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         import xxhash
 
-        bits, mask = known.value, (1 << FILTER_BITS) - 1
-        ascii_run, fragment = re.compile(r"[\x00-\x7f]+"), re.compile(FRAGMENT)
-
-        def held(w: str) -> bool:
-            h = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), seed=42) & mask
-            return bool(bits[h >> 3] >> (h & 7) & 1)
-
-        @lru_cache(1 << 16)
-        def skeleton(shape: str, kind: str) -> list[tuple[str, str, bool]]:
-            return [(f, *x) for f, x in garbled_forms(shape, kind).items() if all(map(held, fragment.findall(f) if kind != "char" else [f]))]
-
+        bits, ways, masks = shared.value
+        mask, lossy = (1 << FILTER_BITS) - 1, "\ufffd" in masks
         for batch in batches:
             rows = []
             for word, kind, n in zip(batch["word"], batch["kind"], batch["n"]):
-                plain = ascii_run.findall(word)
-                for form, chain, swap in skeleton(ascii_run.sub("\0", word), kind):
-                    if plain:
-                        parts = form.split("\0")
-                        form = "".join(x for pair in zip(parts, [*plain, ""]) for x in pair)
-                    if (not swap or len(word) >= LEAST_LENGTH) and held(form):
+                for form, chain, swap in garbled_forms(word, kind, ways, masks, lossy):
+                    h = xxhash.xxh64_intdigest(form.encode("utf-8", "replace"), seed=42) & mask
+                    if bits[h >> 3] >> (h & 7) & 1:
                         rows.append((form, "unit" if kind == "char" else kind, word, n, chain, swap))
+            rows = list(dict.fromkeys(rows))
             yield pd.DataFrame(rows, columns=["word", "kind", "original", "n_original", "chain", "swap"])
 
     return run
 
 
+def character_masks(charset: str, ways: list[Chain]) -> dict[str, int]:
+    """For each character of the corpus a bit for each chain that can garble it."""
+    return {c: sum(1 << i for i, w in enumerate(ways) if ord(c) in w.table) for c in charset}
+
+
 def _word_filter(vocabulary: DataFrame) -> bytes:
     """A bit for each hash of a word; 2 ** FILTER_BITS bits, whatever the corpus."""
     h = F.pmod(F.xxhash64("word"), F.lit(1 << FILTER_BITS)) + 1  # bucket 1 has the values 1 to 32768
@@ -185,8 +188,12 @@ def garbled_words(words: DataFrame) -> DataFrame:
     ``sure`` is false where several clean originals give one form. ``words`` is from :func:`document_words`.
     """
     vocabulary = stage(words.groupBy("word", "kind").agg(F.count("*").alias("n")))
-    known = words.sparkSession.sparkContext.broadcast(_word_filter(vocabulary))
-    forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(known), "word string, kind string, original string, n_original long, chain string, swap boolean")
+    # The characters of all words, no more than Unicode has; what they may become is worked out once.
+    letters = vocabulary.filter("kind = 'fragment'").select(F.explode(F.split("word", "")).alias("c")).filter("c != ''").distinct()
+    charset = "".join(sorted(r["c"] for r in letters.toLocalIterator()))
+    ways = chains(charset)
+    shared = words.sparkSession.sparkContext.broadcast((_word_filter(vocabulary), [(w.name, w.swap, w.table) for w in ways], character_masks(charset, ways)))
+    forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(shared), "word string, kind string, original string, n_original long, chain string, swap boolean")
     hits = stage(forms.join(vocabulary, ["word", "kind"]).filter((~F.col("swap")) | (F.col("n_original") >= LEAST_RATIO * F.col("n"))).drop("n"))
     garbled = hits.select(F.col("word").alias("original"), "kind", F.lit(1).alias("dirty")).distinct()
     hits = hits.join(garbled, ["original", "kind"], "left").withColumn("dirty", F.coalesce("dirty", F.lit(0)))
