@@ -18,12 +18,12 @@ class Fingerprint:
     """``segments`` of ``symbols`` min-hash symbols each; any one symbol of a segment may differ.
 
     Two records with similarity s agree in a symbol with probability s. A segment's Hamming ball of radius one
-    holds the other record with probability s^3 + 3 s^2 (1 - s), 0.65 at 0.6, and all eight miss it with
-    probability 0.0002.
+    holds the other record with probability s^4 + 4 s^3 (1 - s), 0.475 at 0.6, and all twelve miss it with
+    probability 0.0004.
     """
 
-    segments: int = 8
-    symbols: int = 3
+    segments: int = 12
+    symbols: int = 4
     seed: int = 11
 
 
@@ -37,24 +37,27 @@ def shingles(words: Column, size: int) -> Column:
     """The sorted set of hashes of all runs of ``size`` consecutive words."""
     at = lambda i, k: F.get(words, i + k)
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[at(i, k) for k in range(size)]))
-    return F.array_sort(F.array_distinct(F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<long>"))))
+    return F.sort_array(F.array_distinct(F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<long>"))))
 
 
-def _fingerprints(kind: Fingerprint):
-    """Arrow batches of (rep, shingles) to (rep, symbols)."""
+def _fingerprints(kind: Fingerprint, least_words: int):
+    """Arrow batches of (item, h1, h2, n, shingles, words) with the shingles replaced by the fingerprint's symbols;
+    items of too few words are dropped here, so that the words are not cut out twice."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute
 
         rng = np.random.default_rng(kind.seed)
         n = kind.segments * kind.symbols
         mult = rng.integers(1, 2**63 - 1, n, dtype=np.uint64) | np.uint64(1)
         add = rng.integers(1, 2**63 - 1, n, dtype=np.uint64)
         for batch in batches:
+            batch = batch.filter(pa.compute.greater_equal(batch.column(5), least_words))
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
+            lists = batch.column(4)
             values = lists.flatten().to_numpy().view(np.uint64)
             starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
             out = np.empty((len(starts), n), np.int32)
@@ -64,7 +67,7 @@ def _fingerprints(kind: Fingerprint):
                 h *= np.uint64(0xBF58476D1CE4E5B9)
                 out[:, i] = (np.minimum.reduceat(h, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             symbols = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * n, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), symbols], names=["rep", "symbols"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], symbols], names=["item", "h1", "h2", "n", "symbols"])
 
     return run
 
@@ -92,21 +95,23 @@ def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_w
     of the sets, verified for all candidates. Items of fewer than ``least_words`` words are left out; null title
     and body count as empty; further columns are ignored; an empty table gives empty results.
     """
-    cut = items.select(F.col(ident).alias("item"), record_words(F.col("title"), F.col("body")).alias("w")).filter(F.size("w") >= least_words)
-    sets = stage(cut.select("item", shingles(F.col("w"), size).alias("sh")))
-    keyed = sets.select("item", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("n"))
-    members = keyed.groupBy("h1", "h2", "n").agg(F.min("item").alias("rep"), F.count("*").alias("size"))
-    copies = keyed.join(members.filter("size > 1"), ["h1", "h2", "n"]).select("item", "rep")
-    copies = stage(copies)
+    words = record_words(F.col("title"), F.col("body"))
+    sets = items.select(F.col(ident).alias("item"), words.alias("w")).select("item", F.size("w").alias("words"), shingles(F.col("w"), size).alias("sh"))
+    hashed = sets.select("item", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("n"), "sh", "words")
+    prints = stage(hashed.mapInArrow(_fingerprints(kind, max(least_words, size)), "item long, h1 long, h2 int, n int, symbols array<int>"))
+    keyed = prints.select("item", "h1", "h2", "n")
+    classes = keyed.groupBy("h1", "h2", "n").agg(F.min("item").alias("rep"), F.count("*").alias("size"))
+    copies = stage(keyed.join(classes.filter("size > 1"), ["h1", "h2", "n"]).select("item", "rep"))
     others = sized(copies.filter("item != rep").select("item"), SMALL_ROWS)
-    heads = sets.join(others, "item", "left_anti").select(F.col("item").alias("rep"), "sh")
-    prints = heads.mapInArrow(_fingerprints(kind), "rep long, symbols array<int>")
-    keys = prints.select("rep", F.explode(ball_keys(kind)).alias("key"))
+    heads = prints.join(others, "item", "left_anti").select(F.col("item").alias("rep"), "symbols")
+    keys = heads.select("rep", F.explode(ball_keys(kind)).alias("key"))
     # A key that only one record has, as most are, gives no pair.
     pairs = keys.join(keys.withColumnRenamed("rep", "b"), "key").filter("rep < b").select(F.col("rep").alias("a"), "b")
     pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("hits")))
     wanted = sized(stage(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()), SMALL_ROWS)
-    kept = sets.join(wanted, "item", "left_semi")
+    # Only the candidates' texts are read again for their sets.
+    kept = items.join(wanted, items[ident] == wanted["item"], "left_semi").select(F.col(ident).alias("item"), words.alias("w"))
+    kept = kept.select("item", shingles(F.col("w"), size).alias("sh"))
     x, y = kept.select(F.col("item").alias("a"), F.col("sh").alias("x")), kept.select(F.col("item").alias("b"), F.col("sh").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
