@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmere.operators import orphans, times
-from graphmere.session import table
+from graphmere.functions import ranking as R
+from graphmere.functions import text as T
+from graphmere.operators import chunking, graph, maintenance, orphans, pages, recall, retrieval, times
+from graphmere.plans import sql as S
+from graphmere.session import stage, table
+from graphmere.sources import markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,11 +41,10 @@ def p1_status(spark, d):
     return out.groupBy("field", "status").agg(F.count("*").alias("n"))
 
 
-_KEY = r"nullif(nfc_normalize(regexp_replace(regexp_replace(regexp_replace({c}, '(?s)[#|].*$', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '\.md$', '')), '')"
 _BROKEN = f"""
 WITH p AS (SELECT nfc_normalize(id) AS key, indexed_at, removed_at FROM nodes UNION ALL SELECT nfc_normalize(id), indexed_at, removed_at FROM entities),
-r AS (SELECT edge_id, 'source' AS side, {_KEY.format(c="source")} AS key, seen_at FROM edges
-      UNION ALL SELECT edge_id, 'target', {_KEY.format(c="target")}, seen_at FROM edges),
+r AS (SELECT edge_id, 'source' AS side, {S.KEY.format(c="source")} AS key, seen_at FROM edges
+      UNION ALL SELECT edge_id, 'target', {S.KEY.format(c="target")}, seen_at FROM edges),
 o AS (SELECT edge_id, side, seen_at FROM r WHERE key IS NOT NULL AND NOT EXISTS (
       SELECT 1 FROM p WHERE p.key = r.key AND p.indexed_at <= r.seen_at AND (p.removed_at IS NULL OR r.seen_at < p.removed_at)))
 """
@@ -59,3 +62,407 @@ def p4_found(spark, d):
 @query(_BROKEN + "SELECT 'edges' AS referring, side, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS orphans FROM o GROUP BY ALL")
 def p4_counts(spark, d):
     return orphans.count_orphans(_orphans(spark, d).open).select(F.lit("edges").alias("referring"), "side", "month", "orphans")
+
+
+# Retrieval. The queries are the titles of the pages whose row_no is divisible by 100, against all pages.
+
+
+def _pages(spark, d):
+    return pages.current_pages(table(spark, d, "nodes"), table(spark, d, "entities"))
+
+
+def _edges(spark, d):
+    return pages.current_edges(table(spark, d, "edges"))
+
+
+def _chunks(spark, d):
+    return pages.current_chunks(table(spark, d, "chunks"))
+
+
+def _asked(spark, d):
+    """(qid, query, v): v is the page's head vector, null if it has none."""
+    nodes = table(spark, d, "nodes")
+    last = nodes.groupBy("id").agg(F.max(F.struct("indexed_at", "row_no", F.col("removed_at").isNull().alias("live"))).alias("m"))
+    rows = last.filter("m.live and m.row_no % 100 = 0").select(F.col("m.row_no").alias("row_no"))
+    asked = nodes.join(rows, "row_no", "left_semi").filter("title is not null").select(F.col("id").alias("qid"), F.col("title").alias("query"))
+    heads = _chunks(spark, d).filter("ord = 0").select(F.col("page_id").alias("qid"), "v")
+    return stage(asked.join(heads, "qid", "left"))
+
+
+N = retrieval.list_length(5)
+
+
+def _text_arm(spark, d):
+    return retrieval.text_arm(_pages(spark, d), _asked(spark, d), N)
+
+
+def _vector_arm(spark, d):
+    return retrieval.vector_arm(_chunks(spark, d), _asked(spark, d).filter("v is not null"), N)
+
+
+def _seeds(spark, d):
+    return stage(retrieval.seeds(stage(_text_arm(spark, d)), stage(_vector_arm(spark, d)), 5))
+
+
+def _fused(spark, d, k=retrieval.RRF_K):
+    return retrieval_candidates(spark, d, rrf_k=k)
+
+
+def retrieval_candidates(spark, d, **more):
+    return recall.candidates(_pages(spark, d), _chunks(spark, d), _edges(spark, d), _asked(spark, d), 5, **more)
+
+
+@query(S.chain(*S.TO_TERMS) + "SELECT qid, term, times FROM qterms")
+def fts_query_terms(spark, d):
+    return retrieval.query_terms(_asked(spark, d))
+
+
+@query(f"""SELECT doc_id, len(t) AS tokens, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {S.TOKENS.format(c="text")} AS t FROM documents)""")
+def fts_tokenize(spark, d):
+    t = table(spark, d, "documents").select("doc_id", T.index_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+
+
+@query(S.chain(*S.TO_TERMS, S.POSTINGS) + "SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM corpus")
+def fts_corpus_stats(spark, d):
+    return retrieval.corpus_stats(_pages(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(S.chain(S.LAST, S.POSTINGS.replace("WHERE term IN (SELECT term FROM qterms) ", "")) + "SELECT term, count(*) AS pages, round(sum(wtf), 3) AS weight FROM post GROUP BY term")
+def fts_postings(spark, d):
+    return retrieval.postings(_pages(spark, d)).groupBy("term").agg(F.count("*").alias("pages"), F.round(F.sum("wtf"), 3).alias("weight"))
+
+
+@query(S.chain(*S.TO_FTS) + "SELECT qid, id, round(score, 6) AS score, rnk FROM fts")
+def fts_bm25_topk(spark, d):
+    return _text_arm(spark, d).select("qid", "id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) >= 2), lambda x: '"' || x || '"'), ' OR ') AS q FROM documents""")
+def fts_query_string(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.match_expression(F.col("text")).alias("q"))
+
+
+@query(S.chain(*S.TO_TERMS, S.VEC) + "SELECT qid, id, round(similarity, 6) AS similarity, rnk FROM vec")
+def vec_cosine_topk(spark, d):
+    return _vector_arm(spark, d).select("qid", "id", F.round("similarity", 6).alias("similarity"), F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(S.chain(*S.TO_TERMS, S.VEC) + "SELECT qid, page_id AS id, ord::INT AS ord, round(similarity, 6) AS similarity FROM sims QUALIFY row_number() OVER (PARTITION BY qid, page_id ORDER BY similarity DESC, ord) = 1")
+def vec_best_chunk_per_page(spark, d):
+    chunks, asked = _chunks(spark, d), _asked(spark, d).filter("v is not null")
+    every = chunks.count()
+    scan = retrieval.vector_scan(chunks, asked, max(1, every)).join(chunks.select("chunk_id", "page_id", "ord"), "chunk_id")
+    best = scan.groupBy("qid", F.col("page_id").alias("id")).agg(F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("ord")).alias("o"))).alias("m"))
+    return best.select("qid", "id", (-F.col("m.o")).cast("int").alias("ord"), F.round("m.s", 6).alias("similarity"))
+
+
+@query(S.chain(*S.TO_SEEDS, S.OUT, S.graph_list("SELECT * FROM outs")) + "SELECT qid, id, round(score, 6) AS score, rnk FROM graph")
+def graph_arm_out(spark, d):
+    out = retrieval.graph_arm(_edges(spark, d), _pages(spark, d).select("id"), _seeds(spark, d), 5)
+    return out.select("qid", "id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(S.chain(*S.TO_SEEDS, S.OUT, S.IN, S.graph_list("SELECT * FROM outs UNION ALL SELECT * FROM ins")) + "SELECT qid, id, round(score, 6) AS score, rnk FROM graph")
+def graph_arm_in(spark, d):
+    out = retrieval.graph_arm(_edges(spark, d), _pages(spark, d).select("id"), _seeds(spark, d), 5, "v2in")
+    return out.select("qid", "id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(S.chain(*S.TO_SEEDS) + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best, id) AS place FROM seeds),
+hits AS (SELECT qid, target AS id, min(place) AS place FROM links JOIN ordered ON source = ordered.id GROUP BY ALL)
+SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id) - 1 AS rnk FROM hits) WHERE rnk < 20""")
+def graph_arm_legacy(spark, d):
+    out = retrieval.graph_arm(_edges(spark, d), _pages(spark, d).select("id"), _seeds(spark, d), 5, "legacy")
+    return out.select("qid", "id", F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(S.chain(S.EDGES) + """SELECT coalesce(a.id, b.id) AS id, coalesce(a.deg, 0) AS indegree, coalesce(b.deg, 0) AS outdegree FROM
+(SELECT target AS id, count(DISTINCT source) AS deg FROM links GROUP BY 1) a FULL JOIN (SELECT source AS id, count(DISTINCT target) AS deg FROM links GROUP BY 1) b ON a.id = b.id""")
+def hub_degrees(spark, d):
+    into, out = retrieval.degrees(_edges(spark, d))
+    both = into.withColumnRenamed("deg", "i").join(out.withColumnRenamed("deg", "o"), "id", "full_outer")
+    return both.select("id", F.coalesce("i", F.lit(0)).alias("indegree"), F.coalesce("o", F.lit(0)).alias("outdegree"))
+
+
+@query(S.chain(*S.TO_FUSED) + "SELECT qid, id, round(score, 6) AS score FROM fused")
+def rrf_fuse(spark, d):
+    return _fused(spark, d).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+@query(S.chain(*S.TO_SEEDS, S.OUT, S.graph_list("SELECT * FROM outs"), S.fuse(60)) + "SELECT qid, id, round(score, 6) AS score FROM fused")
+def rrf_fuse_k60(spark, d):
+    return _fused(spark, d, 60).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+@query(S.chain(*S.TO_FUSED, S.ADJUSTED) + "SELECT qid, id, zone, round(adj, 6) AS adj, pos FROM placed")
+def trust_zone_entity_adjust(spark, d):
+    out = recall.adjust(_fused(spark, d), _pages(spark, d), _asked(spark, d))
+    return out.select("qid", "id", R.zone(F.col("path")).alias("zone"), F.round("adj", 6).alias("adj"), F.col("pos").cast("long").alias("pos"))
+
+
+@query(S.chain(*S.TO_FUSED, S.ADJUSTED, S.COLLAPSED) + "SELECT qid, id, slot, CASE WHEN n > 1 THEN n - 1 END AS duplicates FROM kept")
+def collapse_duplicates(spark, d):
+    out = recall.collapse(recall.adjust(_fused(spark, d), _pages(spark, d), _asked(spark, d)))
+    return out.select("qid", "id", F.col("slot").cast("long").alias("slot"), "duplicates")
+
+
+@query(S.chain(*S.TO_FINAL, recursive=True) + "SELECT qid, id, place FROM final")
+def recency_tiebreak(spark, d):
+    out = recall.tiebreak(recall.collapse(recall.adjust(_fused(spark, d), _pages(spark, d), _asked(spark, d))))
+    return out.select("qid", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(S.chain(*S.TO_FINAL, recursive=True) + S.SHAPE)
+def recall_hybrid(spark, d):
+    return recall.recall(stage(_pages(spark, d)), _chunks(spark, d), _edges(spark, d), _asked(spark, d))
+
+
+@query(S.chain(*S.TO_FINAL, f"""
+words AS (SELECT f.qid, f.id, list_distinct(list_filter({S.TOKENS.format(c="query")}, lambda x: length(x) >= 2)) AS q, {S.TOKENS.format(c="concat_ws(chr(10), f.title, body)")} AS t
+  FROM final f JOIN asked a ON a.qid = f.qid JOIN pages p ON p.id = f.id WHERE place <= 20),
+rr AS (SELECT qid, id, len(list_filter(q, lambda x: list_contains(t, x))) / greatest(len(q), 1)::DOUBLE AS rr FROM words)""", recursive=True)
++ "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rr DESC NULLS LAST, place)::INT AS rank FROM final JOIN rr USING (qid, id) WHERE place <= 20 QUALIFY rank <= 5")
+def recall_rerank(spark, d):
+    out = recall.recall(stage(_pages(spark, d)), _chunks(spark, d), _edges(spark, d), _asked(spark, d), reranker=recall.term_overlap)
+    return out.select("qid", "id", "rank")
+
+
+# Graph.
+
+
+@query(S.chain(S.LAST, S.CHUNKS, S.ASKED) + """SELECT qid, id, floor(similarity * 1000 + 0.5) / 1000 AS similarity, rnk FROM (
+SELECT qid, page_id AS id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, page_id) - 1 AS rnk FROM
+(SELECT qid, page_id, round(list_cosine_similarity(q.v, h.v), 9) AS similarity FROM vectors q JOIN heads h ON page_id <> qid)) WHERE rnk < 8""")
+def neighbors_similar(spark, d):
+    asked = _asked(spark, d).select(F.col("qid").alias("id"))
+    return graph.neighbours_similar(_chunks(spark, d), asked).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+@query(S.chain(S.LAST, S.CHUNKS, S.ASKED, S.EDGES) + """, e AS (SELECT source AS qid, 'out' AS direction, type, target AS other, weight FROM links
+UNION ALL SELECT target, 'in', type, source, weight FROM links)
+SELECT e.qid, direction, e.type, other, p.title, weight FROM e JOIN asked USING (qid) LEFT JOIN pages p ON p.id = other""")
+def neighbors_edges(spark, d):
+    return graph.neighbour_edges(_edges(spark, d), _pages(spark, d), _asked(spark, d).select(F.col("qid").alias("id")))
+
+
+_TYPED = S.chain(S.LAST, S.EDGES) + ", typed AS (SELECT * FROM links WHERE source IN (SELECT id FROM pages) AND target IN (SELECT id FROM pages)), pair AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM typed WHERE source <> target)"
+_FAMILY = "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(x) for x in kinds)}) THEN '{f}'" for f, kinds in R.FAMILIES.items() if f != "structural") + " ELSE 'structural' END"
+
+
+def _typed(spark, d):
+    return graph.typed_edges(_edges(spark, d), _pages(spark, d))
+
+
+@query(_TYPED + f" SELECT source, type, target, weight, {_FAMILY} AS family FROM typed")
+def graph_typed_edges(spark, d):
+    return _typed(spark, d)
+
+
+@query(_TYPED + "," + S.CHUNKS + "," + S.ASKED + """, s AS (SELECT qid, page_id AS id, round(list_cosine_similarity(q.v, h.v), 9) AS similarity FROM vectors q JOIN heads h ON page_id <> qid),
+n AS (SELECT * FROM s WHERE similarity >= 0.35 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) <= 6)
+SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(floor(similarity * 1000 + 0.5) / 1000) AS weight FROM n
+WHERE NOT EXISTS (SELECT 1 FROM pair WHERE a = least(qid, id) AND b = greatest(qid, id)) GROUP BY ALL""")
+def graph_similarity_edges(spark, d):
+    asked = _asked(spark, d).select(F.col("qid").alias("id"))
+    return graph.similarity_edges(_chunks(spark, d), _typed(spark, d), asked, cutoff=0.35)
+
+
+@query(_TYPED + " SELECT id, count(*) AS degree FROM (SELECT a AS id FROM pair UNION ALL SELECT b FROM pair) GROUP BY id")
+def graph_degree(spark, d):
+    return graph.degree(_typed(spark, d))
+
+
+@query()
+def graph_communities(spark, d):
+    return graph.communities(_typed(spark, d))
+
+
+def _bucketed(lines: str, last: str) -> str:
+    return f""", h AS (SELECT sha256(line) AS h FROM ({lines})),
+b AS (SELECT substr(h, 1, 3) AS b, sha256(array_to_string(list(h ORDER BY h), ',')) AS x, count(*) AS n FROM h GROUP BY 1)
+SELECT {last}(array_to_string(list(x ORDER BY b), ',')) AS digest, coalesce(sum(n), 0)::BIGINT AS n FROM b"""
+
+
+@query(S.chain(S.LAST) + _bucketed("SELECT id || ',' || content_hash AS line FROM live", "md5"))
+def graph_fingerprint(spark, d):
+    nodes = table(spark, d, "nodes")
+    live = pages.current_pages(nodes).select("id").join(_last_rows(nodes), "id")
+    return graph.bucketed_hash(live.select(F.concat_ws(",", "id", "content_hash").alias("line")), "md5")
+
+
+def _last_rows(nodes):
+    last = nodes.groupBy("id").agg(F.max(F.struct("indexed_at", "row_no")).getField("row_no").alias("row_no"))
+    return nodes.join(last.select("row_no"), "row_no", "left_semi").select("id", "content_hash", "row_no", F.col("removed_at").isNull().alias("live"))
+
+
+@query(S.chain(S.LAST) + _bucketed("SELECT to_json([coalesce(path, id || '.md'), content_hash, trust])::VARCHAR AS line FROM live", "sha256"))
+def generation_hash(spark, d):
+    nodes = table(spark, d, "nodes")
+    rows = pages.current_pages(nodes).select("id", "path", "trust").join(_last_rows(nodes), "id")
+    return graph.bucketed_hash(rows.select(F.to_json(F.array("path", "content_hash", "trust")).alias("line")))
+
+
+# Ingest and maintenance.
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(path, '\.md$', ''), '^.*/', '') AS name, path, replace(regexp_replace(text, '^\x{feff}', ''), chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL AND path IS NOT NULL),
+f AS (SELECT *, regexp_matches(t, '(?s)^---\n(?:(.*?)\n)?---(?:\n(.*))?$') AS has FROM t),
+g AS (SELECT *, CASE WHEN has THEN regexp_extract(t, '(?s)^---\n(?:(.*?)\n)?---(?:\n(.*))?$', 1) END AS fm, CASE WHEN has THEN regexp_extract(t, '(?s)^---\n(?:(.*?)\n)?---(?:\n(.*))?$', 2) ELSE t END AS body FROM f)
+SELECT path, coalesce(nullif(trim(regexp_extract(fm, '(?m)^title:[ \t]*(\S.*)$', 1)), ''), name) AS title, length(body) AS body_length,
+coalesce(len(string_split(nullif(regexp_extract(fm, '(?m)^tags:[ \t]*\[(.*)\][ \t]*$', 1), ''), ',')), 0) AS tags FROM g""")
+def markdown_items(spark, d):
+    out = markdown.items(table(spark, d, "documents").select("path", "text"))
+    return out.select("path", "title", F.length("body").cast("long").alias("body_length"), F.size("tags").cast("long").alias("tags"))
+
+
+@query(S.chain(S.LAST) + r"""SELECT DISTINCT id, 'related-to' AS type, target FROM (SELECT id, regexp_replace(trim(unnest(regexp_extract_all(body, '\[\[([^\]|#\n]+?)(?:[#|][^\]\n]*)?\]\]', 1))), '\.md$', '') AS target FROM pages) WHERE target <> ''""")
+def wikilink_edges(spark, d):
+    return markdown.link_edges(_pages(spark, d).select("id", "body")).select("id", "type", "target")
+
+
+@query(S.chain(S.LAST) + "SELECT string_split(id, '/')[-1] AS name, CASE WHEN count(*) = 1 THEN min(id) END AS page FROM pages GROUP BY 1")
+def basename_map(spark, d):
+    return markdown.basename_map(_pages(spark, d))
+
+
+@query(S.chain(S.LAST, S.EDGES) + """, names AS (SELECT string_split(id, '/')[-1] AS name, CASE WHEN count(*) = 1 THEN min(id) END AS page FROM pages GROUP BY 1),
+al AS (SELECT alias, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS entity FROM (SELECT id, unnest(aliases) AS alias FROM entities) WHERE alias IS NOT NULL AND NOT contains(alias, '/') GROUP BY 1)
+SELECT source, type, target, CASE WHEN contains(target, '/') THEN target WHEN name IS NOT NULL THEN coalesce(page, target) ELSE coalesce(entity, target) END AS resolved
+FROM links LEFT JOIN names ON name = target LEFT JOIN al ON alias = target""")
+def resolve_edge_targets(spark, d):
+    out = markdown.resolve_targets(_edges(spark, d), markdown.basename_map(_pages(spark, d)), markdown.alias_map(table(spark, d, "entities")))
+    return out.select("source", "type", "target", "resolved")
+
+
+@query()
+def chunk_text(spark, d):
+    return chunking.chunk_pages(_pages(spark, d)).select("id", "ord", "lo", "hi")
+
+
+_HASH = "substr(sha256(coalesce(title, '') || chr(0) || coalesce(body, '') || chr(0) || {e}), 1, 16)"
+_NUM = "CASE WHEN e.weight = floor(e.weight) THEN floor(e.weight)::BIGINT::VARCHAR ELSE e.weight::VARCHAR END"
+_JSON = "'[' || array_to_string(list_transform(coalesce(edges, []), lambda e: '{\"type\":' || to_json(coalesce(e.type, ''))::VARCHAR || ',\"target\":' || to_json(coalesce(e.target, ''))::VARCHAR || coalesce(',\"weight\":' || " + _NUM + ", '') || '}'), ',') || ']'"
+
+
+@query(f"SELECT item_seq, {_HASH.format(e=_JSON)} AS content_hash FROM memory_items")
+def hash_item(spark, d):
+    h = maintenance.content_hash(F.col("title"), F.col("body"), maintenance.edges_json(F.col("edges")))
+    return table(spark, d, "memory_items").select("item_seq", h.alias("content_hash"))
+
+
+@query("""SELECT item_seq, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'item') AS slug,
+'out_memory/' || coalesce(nullif(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'item') || '-' || substr(sha256(title || chr(10) || body), 1, 6) AS memory_id
+FROM memory_items WHERE title IS NOT NULL""")
+def memory_id(spark, d):
+    items = table(spark, d, "memory_items").filter("title is not null")
+    return items.select("item_seq", T.slug(F.col("title")).alias("slug"), T.memory_id(F.col("title"), F.col("body")).alias("memory_id"))
+
+
+@query(r"""SELECT doc_id, md5(s) AS digest, length(s) AS n FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text,
+'\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(\x07|\x1b\\)|\x1b', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n?', chr(10), 'g'), 1, 100000) AS s FROM documents)""")
+def sanitize_text(spark, d):
+    s = T.sanitize(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(s).alias("digest"), F.length(s).cast("long").alias("n"))
+
+
+@query(f"SELECT type, {S.RELATION.format(c='type')} AS normal, {_FAMILY.replace('type IN', S.RELATION.format(c='type') + ' IN')} AS family, count(*) AS n FROM edges GROUP BY ALL")
+def normalize_relation(spark, d):
+    kind = T.relation(F.col("type"))
+    return table(spark, d, "edges").groupBy("type", kind.alias("normal"), R.family(kind).alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(S.chain(S.LAST) + f"SELECT {S.ZONE} AS zone, coalesce(trust, 'untrusted') AS trust, count(*) AS n FROM pages GROUP BY ALL")
+def zone_counts(spark, d):
+    return _pages(spark, d).groupBy(R.zone(F.col("path")).alias("zone"), F.coalesce("trust", F.lit("untrusted")).alias("trust")).agg(F.count("*").alias("n"))
+
+
+@query(S.chain(S.LAST) + r"""SELECT id FROM pages WHERE NOT (regexp_matches(path, '^in_mail/.*$') OR regexp_matches(path, '^logs/[^/]*\.md$'))
+AND len(list_intersect(string_split(path, '/'), ['node_modules', 'dist', 'build', 'vendor', 'target'])) = 0""")
+def scope_exclude(spark, d):
+    return _pages(spark, d).filter(~markdown.out_of_scope(F.col("path"), ("in_mail/**", "logs/*.md"))).select("id")
+
+
+_ITEMS = "items AS (SELECT * FROM memory_items WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST, item_seq DESC) = 1)"
+_BARE = _HASH.format(e="'[]'")
+
+
+def _incoming(spark, d):
+    return maintenance.latest_items(table(spark, d, "memory_items"))
+
+
+def _bare(df):
+    return df.withColumn("content_hash", maintenance.content_hash(F.col("title"), F.col("body"), F.lit("[]")))
+
+
+@query(S.chain(S.LAST, _ITEMS) + f""", a AS (SELECT id, {_BARE} AS h FROM items), b AS (SELECT id, {_BARE} AS h FROM live)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'absent' WHEN b.id IS NULL THEN 'new' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.id = b.id""")
+def upsert_diff(spark, d):
+    return maintenance.classify(_bare(_incoming(spark, d)), _bare(pages.current_pages(table(spark, d, "nodes"))))
+
+
+@query(S.chain(S.LAST, _ITEMS) + """, x AS (SELECT a.id, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in maintenance.META) + """], lambda x: x IS NOT NULL), ',') AS fields,
+coalesce(nullif(a.write_actor, 'unknown'), b.write_actor) AS write_actor FROM items a JOIN live b ON a.id = b.id) SELECT * FROM x WHERE fields <> ''""")
+def metadata_sync(spark, d):
+    return maintenance.metadata_changes(_incoming(spark, d), pages.current_pages(table(spark, d, "nodes")))
+
+
+@query(S.chain(S.LAST, _ITEMS) + "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN a.title ELSE b.title END AS title, coalesce(nullif(a.write_actor, 'unknown'), b.write_actor, a.write_actor) AS write_actor FROM items a FULL JOIN live b ON a.id = b.id")
+def upsert_result(spark, d):
+    cols = ["id", "title", "body", "trust", "write_actor"]
+    old = pages.current_pages(table(spark, d, "nodes")).select(*cols)
+    return maintenance.upsert(old, _incoming(spark, d).select(*cols)).select("id", "title", "write_actor")
+
+
+@query(S.chain(S.LAST) + "SELECT c.chunk_id FROM chunks c WHERE page_id IN (SELECT id FROM pages)")
+def prune_anti(spark, d):
+    return maintenance.prune(table(spark, d, "chunks"), _pages(spark, d), "page_id").select("chunk_id")
+
+
+@query(S.chain(S.LAST) + "SELECT edge_id FROM edges WHERE source IS NULL OR source NOT IN (SELECT id FROM last WHERE removed_at IS NOT NULL)")
+def remove_ids(spark, d):
+    gone = _last_rows(table(spark, d, "nodes")).filter("not live").select("id")
+    return maintenance.remove_ids(table(spark, d, "edges"), gone, "source").select("edge_id")
+
+
+@query("SELECT edge_id FROM edges QUALIFY row_number() OVER (PARTITION BY source, type, target ORDER BY edge_id) = 1")
+def edge_dedup(spark, d):
+    return maintenance.distinct_edges(table(spark, d, "edges")).select("edge_id")
+
+
+def _stats(spark, d):
+    return maintenance.recall_stats(table(spark, d, "events").withColumnRenamed("user_id", "memory"))
+
+
+@query("SELECT user_id AS memory, count(*) AS hits, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1")
+def recall_stats(spark, d):
+    return _stats(spark, d).select("memory", "hits", F.unix_micros(F.col("last").cast("timestamp")).alias("last_us"))
+
+
+@query(S.chain(S.LAST) + """SELECT id, title, hits FROM (SELECT user_id AS memory, count(*) AS hits, max(ts) AS last FROM events GROUP BY 1) s JOIN live ON row_no = memory
+WHERE trust = 'trusted' ORDER BY hits DESC, last DESC NULLS LAST, id LIMIT 20""")
+def hotlist(spark, d):
+    nodes = table(spark, d, "nodes")
+    live = pages.current_pages(nodes).join(_last_rows(nodes).select("id", "row_no"), "id")
+    return maintenance.hotlist(_stats(spark, d), live).select("id", "title", "hits")
+
+
+@query(S.chain(S.LAST, S.EDGES, S.CHUNKS) + "SELECT (SELECT count(*) FROM pages) AS nodes, (SELECT count(*) FROM links) AS edges, (SELECT count(*) FROM parts) AS chunks")
+def index_stats(spark, d):
+    one = [df.agg(F.count("*").alias(n)) for n, df in (("nodes", _pages(spark, d)), ("edges", _edges(spark, d)), ("chunks", _chunks(spark, d)))]
+    rows = one[0].select(F.lit("nodes").alias("k"), F.col("nodes").alias("n"))
+    for name, df in (("edges", one[1]), ("chunks", one[2])):
+        rows = rows.unionByName(df.select(F.lit(name).alias("k"), F.col(name).alias("n")))
+    return rows.groupBy().pivot("k", ["nodes", "edges", "chunks"]).agg(F.max("n"))
+
+
+@query(S.chain(S.LAST) + "SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, count(*) AS files, min(path) AS first FROM pages GROUP BY 1")
+def tree_level(spark, d):
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    return _pages(spark, d).groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.min("path").alias("first"))
+
+
+@query(S.chain(S.LAST) + "SELECT m.item_seq, p.id, p.title FROM memory_items m JOIN pages p ON p.id = m.id OR p.path = m.path")
+def indexed_page(spark, d):
+    asked = table(spark, d, "memory_items").select("item_seq", F.explode(F.array_distinct(F.array_compact(F.array("id", F.regexp_replace("path", r"\.md$", ""))))).alias("id")).distinct()
+    return asked.join(_pages(spark, d).select("id", "title"), "id").select("item_seq", "id", "title").distinct()
