@@ -18,14 +18,20 @@ class Fingerprint:
     """``segments`` of ``symbols`` min-hash symbols each; any one symbol of a segment may differ.
 
     Two records with similarity s agree in a symbol with probability s. A segment's Hamming ball of radius one
-    holds the other record with probability s^4 + 4 s^3 (1 - s), 0.475 at 0.6, and all twelve miss it with
-    probability 0.0004.
+    holds the other record with probability s^4 + 4 s^3 (1 - s), 0.475 at 0.6, and all ten miss it with
+    probability 0.0016. The complete distance is taken over ``length`` symbols, of four bits each.
     """
 
-    segments: int = 12
+    segments: int = 10
     symbols: int = 4
+    length: int = 64
     seed: int = 11
 
+    def least_agreement(self, least: float) -> int:
+        """Equal symbols that records as alike as ``least`` have, less four standard deviations."""
+        p = least + (1 - least) / 16
+        return int(self.length * p - 4 * (self.length * p * (1 - p)) ** 0.5)
+
 
 def record_words(title: Column, body: Column) -> Column:
     """Lower-case words of title and body."""
@@ -41,8 +47,9 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def _fingerprints(kind: Fingerprint, least_words: int):
-    """Arrow batches of (item, h1, h2, n, shingles, words) with the shingles replaced by the fingerprint's symbols;
-    items of too few words are dropped here, so that the words are not cut out twice."""
+    """Arrow batches of (item, h1, h2, n, shingles, words) with the shingles replaced by the fingerprint: two bytes
+    for each symbol of a segment, and four bits for each of all symbols in s0 to s3. Items of too few words are
+    dropped here, so that the words are not cut out twice."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -50,9 +57,10 @@ def _fingerprints(kind: Fingerprint, least_words: int):
         import pyarrow.compute
 
         rng = np.random.default_rng(kind.seed)
-        n = kind.segments * kind.symbols
-        mult = rng.integers(1, 2**63 - 1, n, dtype=np.uint64) | np.uint64(1)
-        add = rng.integers(1, 2**63 - 1, n, dtype=np.uint64)
+        mult = rng.integers(1, 2**63 - 1, kind.length, dtype=np.uint64) | np.uint64(1)
+        add = rng.integers(1, 2**63 - 1, kind.length, dtype=np.uint64)
+        used = kind.segments * kind.symbols
+        place = np.uint64(4) * np.arange(16, dtype=np.uint64)
         for batch in batches:
             batch = batch.filter(pa.compute.greater_equal(batch.column(5), least_words))
             if not batch.num_rows:
@@ -60,14 +68,17 @@ def _fingerprints(kind: Fingerprint, least_words: int):
             lists = batch.column(4)
             values = lists.flatten().to_numpy().view(np.uint64)
             starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-            out = np.empty((len(starts), n), np.int32)
-            for i in range(n):
+            least = np.empty((len(starts), kind.length), np.uint64)
+            for i in range(kind.length):
                 h = values * mult[i] + add[i]
                 h ^= h >> np.uint64(29)
                 h *= np.uint64(0xBF58476D1CE4E5B9)
-                out[:, i] = (np.minimum.reduceat(h, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            symbols = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * n, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], symbols], names=["item", "h1", "h2", "n", "symbols"])
+                least[:, i] = np.minimum.reduceat(h, starts) >> np.uint64(8)
+            symbols = least[:, :used].astype(np.uint16)
+            nibbles = ((least >> np.uint64(16)) & np.uint64(15)).reshape(len(starts), 4, 16)
+            sketch = np.left_shift(nibbles, place).sum(2).view(np.int64)
+            packed = pa.array([r.tobytes() for r in symbols], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed, *(pa.array(sketch[:, i]) for i in range(4))], names=["item", "h1", "h2", "n", "symbols", "s0", "s1", "s2", "s3"])
 
     return run
 
@@ -78,14 +89,19 @@ def ball_keys(kind: Fingerprint) -> Column:
     keys = []
     for s in range(kind.segments):
         for free in range(kind.symbols):
-            kept = [F.col("symbols")[s * kind.symbols + i] for i in range(kind.symbols) if i != free]
+            kept = [F.substring("symbols", 2 * (s * kind.symbols + i) + 1, 2) for i in range(kind.symbols) if i != free]
             keys.append(F.xxhash64(F.lit(s * kind.symbols + free), *kept))
     return F.array(*keys)
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """How many symbols of two fingerprints are equal: their length less the Hamming distance."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def agreement(pairs: list[tuple[Column, Column]]) -> Column:
+    """How many of sixteen four-bit symbols in each pair of numbers are equal: the length less the Hamming distance."""
+    total = F.lit(0)
+    for a, b in pairs:
+        x = a.bitwiseXOR(b)
+        any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + 16 - F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_words: int = 20, kind: Fingerprint = Fingerprint(), ident: str = "item_seq") -> tuple[DataFrame, DataFrame]:
@@ -98,7 +114,7 @@ def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_w
     words = record_words(F.col("title"), F.col("body"))
     sets = items.select(F.col(ident).alias("item"), words.alias("w")).select("item", F.size("w").alias("words"), shingles(F.col("w"), size).alias("sh"))
     hashed = sets.select("item", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("n"), "sh", "words")
-    prints = stage(hashed.mapInArrow(_fingerprints(kind, max(least_words, size)), "item long, h1 long, h2 int, n int, symbols array<int>"))
+    prints = stage(hashed.mapInArrow(_fingerprints(kind, max(least_words, size)), "item long, h1 long, h2 int, n int, symbols binary, s0 long, s1 long, s2 long, s3 long"))
     keyed = prints.select("item", "h1", "h2", "n")
     classes = keyed.groupBy("h1", "h2", "n").agg(F.min("item").alias("rep"), F.count("*").alias("size"))
     copies = stage(keyed.join(classes.filter("size > 1"), ["h1", "h2", "n"]).select("item", "rep"))
@@ -107,11 +123,13 @@ def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_w
     keys = heads.select("rep", F.explode(ball_keys(kind)).alias("key"))
     # A key that only one record has, as most are, gives no pair.
     pairs = keys.join(keys.withColumnRenamed("rep", "b"), "key").filter("rep < b").select(F.col("rep").alias("a"), "b")
-    pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("hits")))
+    side = lambda k: prints.select(F.col("item").alias(k), *[F.col(f"s{i}").alias(f"{k}{i}") for i in range(4)])
+    near = agreement([(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(4)]) >= kind.least_agreement(least)
+    pairs = stage(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b"))
     wanted = sized(stage(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()), SMALL_ROWS)
     # Only the candidates' texts are read again for their sets.
     kept = items.join(wanted, items[ident] == wanted["item"], "left_semi").select(F.col(ident).alias("item"), words.alias("w"))
-    kept = kept.select("item", shingles(F.col("w"), size).alias("sh"))
+    kept = kept.select("item", shingles(F.col("w"), size).alias("sh")).select("item", F.transform("sh", lambda h: F.shiftright(h, 32).cast("int")).alias("sh"))
     x, y = kept.select(F.col("item").alias("a"), F.col("sh").alias("x")), kept.select(F.col("item").alias("b"), F.col("sh").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
