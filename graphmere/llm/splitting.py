@@ -15,7 +15,7 @@ LIMIT, OVERLAP = 1800, 200
 _SPACE = re.compile(r"\s+(?=\S)")
 
 #: Boundaries by strength: blank line, line, sentence; finer ones only inside what is still too long.
-_COARSE = re.compile(r"(?P<b4>\n[ \t\r]*\n\s*)|(?P<b3>\r?\n)|(?P<b2>(?:(?<!\n\d)(?<!\n\d\d)[.!?…]+[\"'”’»)\]]*\s+)|[。！？]+[」』”]*)")
+_COARSE = re.compile(r"(?P<b4>\n[ \t\r]*\n\s*)|(?P<b3>\r?\n)|(?P<b2>(?:(?<!\n\d)(?<!\n\d\d)[.!?…]+[\"'”’»)\]]*[ \t]+(?![ \t\r\n]))|[。！？]+[」』”]*)")
 _FINE = (re.compile(r"[,;:、；：，][ \t]*|[ \t][–—-][ \t]"), re.compile(r"\s+"))
 
 
@@ -85,12 +85,12 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
 
 def _overlap_start(text: str, ends: list[int], first: int, at: int, overlap: int) -> int:
     """Where a piece begins that shares up to ``overlap`` with the one before it, at a boundary if there is one."""
-    low = max(first, at - overlap)
+    low = max(first + 1, at - overlap)
     i = bisect_left(ends, low)
     if i < len(ends) and ends[i] < at:
         return ends[i]
     m = _SPACE.search(text, low, at)
-    return m.end() if m else low
+    return m.end() if m else at if text[low:at].isspace() else low
 
 
 def _pieces(limit: int, overlap: int):
