@@ -64,7 +64,8 @@ def p4_counts(spark, d):
     return orphans.count_orphans(_orphans(spark, d).open).select(F.lit("edges").alias("referring"), "side", "month", "orphans")
 
 
-# Retrieval. The queries are the titles of the pages whose row_no is divisible by 100, against all pages.
+# Retrieval. The queries are the titles of the items whose item_seq is divisible by 100, against all pages; those
+# of neighbourhoods are the pages whose row_no is.
 
 
 def _pages(spark, d):
@@ -80,13 +81,14 @@ def _chunks(spark, d):
 
 
 def _asked(spark, d):
-    """(qid, query, v): v is the page's head vector, null if it has none."""
-    nodes = table(spark, d, "nodes")
-    last = nodes.groupBy("id").agg(F.max(F.struct("indexed_at", "row_no", F.col("removed_at").isNull().alias("live"))).alias("m"))
-    rows = last.filter("m.live and m.row_no % 100 = 0").select(F.col("m.row_no").alias("row_no"))
-    asked = nodes.join(rows, "row_no", "left_semi").filter("title is not null").select(F.col("id").alias("qid"), F.col("title").alias("query"))
-    heads = _chunks(spark, d).filter("ord = 0").select(F.col("page_id").alias("qid"), "v")
-    return stage(asked.join(heads, "qid", "left"))
+    """(qid, query, v): v is the head vector of the item's page, null if it has none."""
+    asked = table(spark, d, "memory_items").filter("item_seq % 100 = 0 and title is not null")
+    heads = _chunks(spark, d).filter("ord = 0").select(F.col("page_id").alias("id"), "v")
+    return stage(asked.select(F.col("item_seq").cast("string").alias("qid"), F.col("title").alias("query"), "id").join(heads, "id", "left").drop("id"))
+
+
+def _asked_pages(spark, d):
+    return _last_rows(table(spark, d, "nodes")).filter("live and row_no % 100 = 0").select("id")
 
 
 N = retrieval.list_length(5)
@@ -148,13 +150,13 @@ def vec_cosine_topk(spark, d):
     return _vector_arm(spark, d).select("qid", "id", F.round("similarity", 6).alias("similarity"), F.col("rnk").cast("long").alias("rnk"))
 
 
-@query(S.chain(*S.TO_TERMS, S.VEC) + "SELECT qid, page_id AS id, ord::INT AS ord, round(similarity, 6) AS similarity FROM sims QUALIFY row_number() OVER (PARTITION BY qid, page_id ORDER BY similarity DESC, ord) = 1")
+@query(S.chain(*S.TO_TERMS, S.VEC) + "SELECT qid, page_id AS id, ord::INT AS ord, round(similarity, 4) AS similarity FROM sims QUALIFY row_number() OVER (PARTITION BY qid, page_id ORDER BY similarity DESC, ord) = 1")
 def vec_best_chunk_per_page(spark, d):
     chunks, asked = _chunks(spark, d), _asked(spark, d).filter("v is not null")
     every = chunks.count()
     scan = retrieval.vector_scan(chunks, asked, max(1, every)).join(chunks.select("chunk_id", "page_id", "ord"), "chunk_id")
     best = scan.groupBy("qid", F.col("page_id").alias("id")).agg(F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("ord")).alias("o"))).alias("m"))
-    return best.select("qid", "id", (-F.col("m.o")).cast("int").alias("ord"), F.round("m.s", 6).alias("similarity"))
+    return best.select("qid", "id", (-F.col("m.o")).cast("int").alias("ord"), F.round("m.s", 4).alias("similarity"))
 
 
 @query(S.chain(*S.TO_SEEDS, S.OUT, S.graph_list("SELECT * FROM outs")) + "SELECT qid, id, round(score, 6) AS score, rnk FROM graph")
@@ -231,19 +233,19 @@ def recall_rerank(spark, d):
 # Graph.
 
 
-@query(S.chain(S.LAST, S.CHUNKS, S.ASKED) + """SELECT qid, id, floor(similarity * 1000 + 0.5) / 1000 AS similarity, rnk FROM (
+@query(S.chain(S.LAST, S.CHUNKS, S.ASKED_PAGES) + """SELECT qid, id, floor(similarity * 1000 + 0.5) / 1000 AS similarity, rnk FROM (
 SELECT qid, page_id AS id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, page_id) - 1 AS rnk FROM
 (SELECT qid, page_id, round(list_cosine_similarity(q.v, h.v), 9) AS similarity FROM vectors q JOIN heads h ON page_id <> qid)) WHERE rnk < 8""")
 def neighbors_similar(spark, d):
-    asked = _asked(spark, d).select(F.col("qid").alias("id"))
+    asked = _asked_pages(spark, d)
     return graph.neighbours_similar(_chunks(spark, d), asked).withColumn("rnk", F.col("rnk").cast("long"))
 
 
-@query(S.chain(S.LAST, S.CHUNKS, S.ASKED, S.EDGES) + """, e AS (SELECT source AS qid, 'out' AS direction, type, target AS other, weight FROM links
+@query(S.chain(S.LAST, S.CHUNKS, S.ASKED_PAGES, S.EDGES) + """, e AS (SELECT source AS qid, 'out' AS direction, type, target AS other, weight FROM links
 UNION ALL SELECT target, 'in', type, source, weight FROM links)
 SELECT e.qid, direction, e.type, other, p.title, weight FROM e JOIN asked USING (qid) LEFT JOIN pages p ON p.id = other""")
 def neighbors_edges(spark, d):
-    return graph.neighbour_edges(_edges(spark, d), _pages(spark, d), _asked(spark, d).select(F.col("qid").alias("id")))
+    return graph.neighbour_edges(_edges(spark, d), _pages(spark, d), _asked_pages(spark, d))
 
 
 _TYPED = S.chain(S.LAST, S.EDGES) + ", typed AS (SELECT * FROM links WHERE source IN (SELECT id FROM pages) AND target IN (SELECT id FROM pages)), pair AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM typed WHERE source <> target)"
@@ -259,12 +261,12 @@ def graph_typed_edges(spark, d):
     return _typed(spark, d)
 
 
-@query(_TYPED + "," + S.CHUNKS + "," + S.ASKED + """, s AS (SELECT qid, page_id AS id, round(list_cosine_similarity(q.v, h.v), 9) AS similarity FROM vectors q JOIN heads h ON page_id <> qid),
+@query(_TYPED + "," + S.CHUNKS + "," + S.ASKED_PAGES + """, s AS (SELECT qid, page_id AS id, round(list_cosine_similarity(q.v, h.v), 9) AS similarity FROM vectors q JOIN heads h ON page_id <> qid),
 n AS (SELECT * FROM s WHERE similarity >= 0.35 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) <= 6)
 SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(floor(similarity * 1000 + 0.5) / 1000) AS weight FROM n
 WHERE NOT EXISTS (SELECT 1 FROM pair WHERE a = least(qid, id) AND b = greatest(qid, id)) GROUP BY ALL""")
 def graph_similarity_edges(spark, d):
-    asked = _asked(spark, d).select(F.col("qid").alias("id"))
+    asked = _asked_pages(spark, d)
     return graph.similarity_edges(_chunks(spark, d), _typed(spark, d), asked, cutoff=0.35)
 
 

@@ -23,7 +23,10 @@ parts AS (SELECT chunk_id, page_id, ord, embedding::DOUBLE[] AS v FROM (SELECT *
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 heads AS (SELECT page_id, v FROM parts WHERE ord = 0)"""
 ASKED = """
-asked AS (SELECT id AS qid, title AS query FROM live WHERE row_no % 100 = 0 AND title IS NOT NULL),
+asked AS (SELECT item_seq::VARCHAR AS qid, title AS query, id AS page FROM memory_items WHERE item_seq % 100 = 0 AND title IS NOT NULL),
+vectors AS (SELECT qid, v FROM asked JOIN heads ON page_id = page)"""
+ASKED_PAGES = """
+asked AS (SELECT id AS qid FROM live WHERE row_no % 100 = 0),
 vectors AS (SELECT qid, v FROM asked JOIN heads ON page_id = qid)"""
 TERMS = f"""
 qterms AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({TOKENS.format(c="query")}) AS term FROM asked) WHERE length(term) >= 2 GROUP BY ALL)"""
