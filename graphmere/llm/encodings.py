@@ -185,7 +185,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
 
     A form counts if a word of the corpus, written and read by one chain, gives it. A form that only swaps
     single characters must be LEAST_RATIO times rarer than its original, or it may be a word in its own right.
-    ``sure`` is false where several clean originals give one form. ``words`` is from :func:`document_words`.
+    ``sure`` is false where several clean originals of like frequency give one form. ``words`` is from :func:`document_words`.
     """
     vocabulary = stage(words.groupBy("word", "kind").agg(F.count("*").alias("n")))
     # The characters of all words, no more than Unicode has; what they may become is worked out once.
@@ -198,8 +198,9 @@ def garbled_words(words: DataFrame) -> DataFrame:
     garbled = hits.select(F.col("word").alias("original"), "kind", F.lit(1).alias("dirty")).distinct()
     hits = hits.join(garbled, ["original", "kind"], "left").withColumn("dirty", F.coalesce("dirty", F.lit(0)))
     best = F.min_by(F.struct("original", "chain"), F.struct("dirty", -F.col("n_original"), "original", "chain")).alias("best")
-    clean = F.count_distinct(F.when(F.col("dirty") == 0, F.col("original"))).alias("clean")
-    return hits.groupBy("word", "kind").agg(best, clean).select("word", "kind", "best.*", (F.col("clean") <= 1).alias("sure"))
+    clean = F.sort_array(F.collect_set(F.when(F.col("dirty") == 0, F.struct("n_original", "original"))), asc=False).alias("c")
+    sure = (F.size("c") < 2) | (F.get("c", F.lit(0)).n_original >= LEAST_RATIO * F.get("c", F.lit(1)).n_original)
+    return hits.groupBy("word", "kind").agg(best, clean).select("word", "kind", "best.*", sure.alias("sure"))
 
 
 def find_garbled(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

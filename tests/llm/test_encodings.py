@@ -39,8 +39,9 @@ def test_found_and_restored(spark):
     restored = {r["doc_id"]: r["restored"] for r in restore_garbled(df).collect()}
     # Of lost characters only those in words with one possible original come back.
     assert restored[90_000].startswith("Some words: La décision de l’équipe précède la forêt") and restored[90_001] == CLEAN[0]
-    right = sum(restored[n] == t for n, t in origin.items())
-    assert right >= 0.9 * len(origin), [(restored[n], t) for n, t in origin.items() if restored[n] != t]
+    words = [(a, b, g) for n, t in origin.items() for a, b, g in zip(restored[n].split(), t.split(), dict((r[0], r[1]) for r in bad)[n].split()) if b != g]
+    right = sum(a == b for a, b, _ in words)
+    assert right >= 0.9 * len(words), [w for w in words if w[0] != w[1]]
 
 
 def test_empty_and_clean(spark):
