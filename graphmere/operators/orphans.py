@@ -77,10 +77,9 @@ def existence_spans(rows: DataFrame) -> DataFrame:
 
 def _salted_join(refs: DataFrame, index: DataFrame) -> DataFrame:
     """Left join on key; keys with a large share of the references are spread over salts."""
-    share = refs.groupBy("key").count()
-    total = share.agg(F.sum("count").alias("total"))
-    hot = share.join(F.broadcast(total)).filter(F.col("count") * HOT_KEYS >= F.col("total")).select("key", F.lit(True).alias("hot"))
-    hot = F.broadcast(hot)  # at most HOT_KEYS rows
+    least = max(1, refs.count() / HOT_KEYS)
+    hot = refs.groupBy("key").count().filter(F.col("count") >= least).select("key", F.lit(True).alias("hot"))
+    hot = F.broadcast(stage(hot))  # at most HOT_KEYS rows
     refs = refs.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("edge_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     index = index.join(hot, "key", "left").withColumn("salt", F.explode(salts)).drop("hot")
