@@ -72,9 +72,10 @@ def communities(typed: DataFrame, rounds: int = 5) -> DataFrame:
         seen = near.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.count("*").alias("n"))
         labels = stage(seen.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    order = Window.orderBy(F.desc("size"), "label")
-    top = sizes.filter("size > 1").withColumn("place", F.row_number().over(order) - 1)
-    return labels.join(top, "label", "left").select("id", F.col("label").alias("community"), F.coalesce("size", F.lit(1)).alias("size"), "place")
+    # The place is the number of larger communities; only the few different sizes are put in order.
+    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.groupBy("size").agg(F.count("*").alias("n")).select("size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("place"))
+    return labels.join(sizes.join(places, "size"), "label").select("id", F.col("label").alias("community"), "size", "place")
 
 
 def bucketed_hash(lines: DataFrame, algorithm: str = "sha256") -> DataFrame:
