@@ -19,7 +19,7 @@ def window_bounds(text: Column, size: int = SIZE, overlap: int = OVERLAP, most:
 
     def step(acc: Column, _: Column) -> Column:
         piece = F.substring(text, acc.start + 1, size)
-        blank = F.length(F.regexp_replace(piece, r"[^ \n\t]*$", "")) - 1
+        blank = F.length(F.regexp_replace(piece, r"[^ \n\t]*\z", "")) - 1
         cut = F.when(acc.start + size >= length, length).when(blank > size / 2, acc.start + blank).otherwise(acc.start + size)
         near = cut - overlap
         tail = F.substring(text, near + 1, overlap)

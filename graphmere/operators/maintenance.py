@@ -10,7 +10,6 @@ META = ("trust", "volatile", "description", "resource", "source")
 
 def edges_json(edges: Column) -> Column:
     """Compact JSON of an edge list in authored order; a null weight is left out, whole numbers have no fraction."""
-    quote = lambda s: F.get_json_object(F.to_json(F.struct(s.alias("v"))), "$.v")  # noqa: E731, F841
     text = lambda s: F.regexp_extract(F.to_json(F.array(F.coalesce(s, F.lit("")))), r"(?s)^\[(.*)\]$", 1)
     number = lambda w: F.when(w == F.floor(w), F.floor(w).cast("string")).otherwise(w.cast("string"))
     one = lambda e: F.concat(F.lit('{"type":'), text(e.type), F.lit(',"target":'), text(e.target), F.coalesce(F.concat(F.lit(',"weight":'), number(e.weight)), F.lit("")), F.lit("}"))

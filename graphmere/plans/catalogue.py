@@ -337,7 +337,19 @@ def resolve_edge_targets(spark, d):
     return out.select("source", "type", "target", "resolved")
 
 
-@query()
+def _window(start: str) -> str:
+    piece = f"length(regexp_replace(substr(t, {start} + 1, 1800), '[^ \\n\\t]*$', '')) - 1"
+    return f"CASE WHEN {start} + 1800 >= length(t) THEN length(t) WHEN {piece} > 900 THEN {start} + {piece} ELSE {start} + 1800 END"
+
+
+_NEXT = r"""CASE WHEN hi > 200 AND NOT regexp_matches(substr(t, hi - 200, 1), '[\s\p{Z}\x{85}]') AND length(regexp_extract(substr(t, hi - 199, 200), '^[^\s\p{Z}\x{85}]*')) < 200
+  THEN hi - 200 + length(regexp_extract(substr(t, hi - 199, 200), '^[^\s\p{Z}\x{85}]*')) + 1 ELSE hi - 200 END"""
+
+
+@query(S.chain(S.LAST, f"""
+texts AS (SELECT id, coalesce(title, '') || chr(10) || coalesce(body, '') AS t FROM pages),
+w AS (SELECT id, t, 0 AS ord, 0::BIGINT AS lo, ({_window("0")})::BIGINT AS hi FROM texts
+  UNION ALL SELECT id, t, ord + 1, nxt, ({_window("nxt")})::BIGINT FROM (SELECT *, ({_NEXT})::BIGINT AS nxt FROM w WHERE hi < length(t) AND ord < 255))""", recursive=True) + "SELECT id, ord::INT AS ord, lo::INT AS lo, hi::INT AS hi FROM w")
 def chunk_text(spark, d):
     return chunking.chunk_pages(_pages(spark, d)).select("id", "ord", "lo", "hi")
 

@@ -112,7 +112,7 @@ def windows(text, size, overlap):
         start = near
 
 
-@pytest.mark.parametrize("text", ["short", "w" * 500, " ".join(f"word{i}" for i in range(300)), "a b\n" * 90 + "z" * 210 + " end", ""])
+@pytest.mark.parametrize("text", ["short", "w" * 500, " ".join(f"word{i}" for i in range(300)), "a b\n" * 90 + "z" * 210 + " end", ("x" * 97 + " y\n") * 5, ""])
 def test_chunk_windows(spark, text):
     got = chunking.chunk_pages(spark.createDataFrame([("p", "", text)], "id string, title string, body string"), 100, 20)
     assert [(r["lo"], r["hi"]) for r in got.orderBy("ord").collect()] == windows("\n" + text, 100, 20)
