@@ -94,7 +94,10 @@ def _unit_pattern() -> str:
         rest = "".join(f"\\x{{{ord(t[b]):x}}}" for b in range(0x80, 0xC0))
         alternatives.append(f"[{lead}][{rest}\ufffd]{{2}}")
     twice = r"\x{c3}[\x{a2}-\x{af}](?:[\x{c2}\x{c3}\x{c5}\x{c6}\x{cb}][^\x00-\x7f]|\x{e2}[^\x00-\x7f]{2}){2}"
-    return "|".join([twice, *dict.fromkeys(alternatives)])
+    # Kana of the older Japanese encodings all begin with one byte; two in a row are a unit with what follows.
+    starts = {f"\\x{{{ord(_table(read, 'keep')[b]):x}}}" for read in TWICE for b in (0x82, 0xA4)}
+    kana = [f"(?:{c}[^\\x00-\\x7f]){{2,}}" for c in sorted(starts)]
+    return "|".join([*kana, twice, *dict.fromkeys(alternatives)])
 
 
 def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, str]]], masks: dict[str, int], lossy: bool) -> Iterator[tuple[str, str, bool]]:
@@ -167,14 +170,15 @@ def document_words(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(doc, word, kind), distinct in a document.
 
     kind: 'word'; 'fragment', a run of other than ASCII characters; 'unit', a piece of a fragment that may be
-    one garbled character, for scripts without blanks; 'char', such a script's characters.
+    one garbled character, for scripts without blanks; 'char', such a script's characters and runs of kana.
     """
     found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
     cut = documents.select(F.col(ident).alias("doc"), found.alias("found")).filter("size(found) > 0")
     cut = cut.withColumn("parts", F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "found"), F.lit(FRAGMENT), F.lit(0))))
     joined = F.concat_ws(" ", "parts")
     kinds = {"word": F.col("found"), "fragment": F.col("parts"), "unit": F.array_distinct(F.regexp_extract_all(joined, F.lit(_unit_pattern()), F.lit(0)))}
-    kinds["char"] = F.array_distinct(F.regexp_extract_all(joined, F.lit(r"[\x{800}-\x{d7ff}\x{e000}-\x{fffc}]"), F.lit(0)))
+    some = [F.regexp_extract_all(joined, F.lit(p), F.lit(0)) for p in (r"[\x{800}-\x{d7ff}\x{e000}-\x{fffc}]", r"[\x{3041}-\x{3093}]{2,}")]
+    kinds["char"] = F.array_distinct(F.concat(*some))
     tag = lambda k: lambda w: F.struct(w.alias("word"), F.lit(k).alias("kind"))
     tagged = [F.transform(c, tag(k)) for k, c in kinds.items()]
     return cut.select("doc", F.explode(F.concat(*tagged)).alias("w")).select("doc", "w.word", "w.kind")
@@ -206,7 +210,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
 def find_garbled(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, words, chains, fixes): documents with garbled words, by a hash join of their words.
 
-    One garbled word or fragment is enough, or two different units. ``fixes`` maps garbled text to its original
+    One garbled word or fragment is enough, or a unit of more than one character, or two different ones. ``fixes`` maps garbled text to its original
     where there is just one; lost characters often leave several. Null, empty and plain ASCII texts have no words
     and are never found; repeated rows of one id count as one document; further columns are ignored; an empty
     table gives an empty result.
@@ -217,7 +221,7 @@ def find_garbled(documents: DataFrame, ident: str = "doc_id", text: str = "text"
     fix = F.when(F.col("sure"), F.struct(F.col("word").alias("key"), F.struct("kind", "original").alias("value")))
     grouped = hits.groupBy("doc").agg(
         F.count_distinct("word").alias("words"),
-        F.max((F.col("kind") != "unit").cast("int")).alias("plain"),
+        F.max(((F.col("kind") != "unit") | (F.length("word") > 3)).cast("int")).alias("plain"),
         F.sort_array(F.collect_set("chain")).alias("chains"),
         F.sort_array(F.collect_set(fix)).alias("f"),
     )
@@ -233,7 +237,7 @@ def _substitute(text: pd.Series, fixes: pd.Series) -> pd.Series:
 
     def restore(t, f):
         f = dict(f)
-        units = sorted((k for k in f if len(k) > 2 and len(f[k]) == 1), key=len, reverse=True)
+        units = sorted((k for k in f if len(k) > 2 and f[k] > "\u07ff" and k not in f[k]), key=len, reverse=True)
         unit = re.compile("|".join(map(re.escape, units)) or r"(?!)")
         inner = lambda m: f[m[0]] if m[0] in f else unit.sub(lambda u: f[u[0]], m[0])
         return word.sub(lambda m: f[m[0]] if m[0] in f else part.sub(inner, m[0]), t)
