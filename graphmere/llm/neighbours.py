@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from graphmere.session import sized, stage
 
 DIM = 64
-#: A bucket with more rows is cut by slices of the sketch, so that no task gets an unbounded one.
+#: A bucket with more rows is cut into blocks of about so many, so that no task gets an unbounded one.
 FULL_BUCKET = 5000
-SLICES, SLICE_BITS = 4, 12
 SKETCH_BITS = 128
 HOT_ROWS = 200_000
 
@@ -119,12 +118,20 @@ def hash_rows(vectors: DataFrame, index: Index, queries: bool) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(_hash_batches(index, queries), "bucket int, id long, s0 long, s1 long")
 
 
-def _slice_full(rows: DataFrame, full: DataFrame) -> DataFrame:
-    """Rows of full buckets go to a bucket for each of several slices of their sketch."""
-    part = lambda i: F.shiftrightunsigned("s0", i * SLICE_BITS).bitwiseAND((1 << SLICE_BITS) - 1)
-    cut = F.array(*[F.hash("bucket", F.lit(i), part(i)) for i in range(SLICES)])
-    joined = rows.join(full, "bucket", "left").withColumn("to", F.when(F.col("full"), cut).otherwise(F.array("bucket")))
-    return joined.select(F.explode("to").alias("bucket"), "id", "s0", "s1")
+def _block_full(home: DataFrame, probe: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``cell``: in full buckets every block of home rows meets every block of probes, each pair once."""
+    probes = probe.join(full, "bucket").groupBy("bucket").agg(F.count("*").alias("p"))
+    blocks = lambda n: F.ceil(F.col(n) / FULL_BUCKET).cast("int")
+    grid = full.join(probes, "bucket").select("bucket", blocks("n").alias("rows"), blocks("p").alias("columns"))
+    grid = sized(stage(grid), HOT_ROWS)
+
+    def spread(side: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        cell = lambda i: at * F.col("columns") + i if own == "rows" else i * F.col("columns") + at
+        cells = F.when(F.col(own).isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col(other) - 1), cell))
+        return side.join(grid, "bucket", "left").select("bucket", F.explode(cells).alias("cell"), "id", "s0", "s1")
+
+    return spread(home, "rows", "columns"), spread(probe, "columns", "rows")
 
 
 def sketch_bits(least: float) -> int:
@@ -136,15 +143,16 @@ def sketch_bits(least: float) -> int:
 def candidate_pairs(vectors: DataFrame, index: Index, least: float) -> DataFrame:
     """(a, b), a < b, distinct: vectors that share a probed bucket and whose sketches are near enough for ``least``."""
     home = hash_rows(vectors, index, False)
-    counts = stage(home.groupBy("bucket").count().filter(F.col("count") > FULL_BUCKET).select("bucket", F.lit(True).alias("full")))
+    full = stage(home.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > FULL_BUCKET))
     probe = hash_rows(vectors, index, True)
-    if counts.take(1):
-        full = sized(counts, HOT_ROWS)
-        home, probe = _slice_full(home, full), _slice_full(probe, full)
-    q = probe.select("bucket", F.col("id").alias("q"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
+    keys = ["bucket"]
+    if full.take(1):
+        home, probe = _block_full(home, probe, sized(full, HOT_ROWS))
+        keys.append("cell")
+    q = probe.select(*keys, F.col("id").alias("q"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("q1")))
     near = apart <= sketch_bits(least)
-    pairs = home.join(q, "bucket").filter((F.col("id") != F.col("q")) & near)
+    pairs = home.join(q, keys).filter((F.col("id") != F.col("q")) & near)
     return pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
 
 

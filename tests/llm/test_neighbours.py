@@ -59,5 +59,20 @@ def test_full_buckets_are_cut(spark, monkeypatch):
     assert len(got) >= 196
 
 
+def test_full_buckets_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    v = centre + rng.standard_normal((160, 64)) * 0.24
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<float>")
+    index = N.Index(functions=6)
+    whole = {tuple(r) for r in N.candidate_pairs(df, index, 0.92).collect()}
+    monkeypatch.setattr(N, "FULL_BUCKET", 10)
+    cut = {tuple(r) for r in N.candidate_pairs(df, index, 0.92).collect()}
+    s = v @ v.T
+    near = {(i, j) for i in range(160) for j in range(i + 1, 160) if 0.92 <= s[i, j] <= 0.96}
+    assert len(near) > 1000 and cut == whole and len(near & cut) >= 0.9 * len(near)
+
+
 def test_empty(spark):
     assert N.most_similar(spark.createDataFrame([], SCHEMA)).count() == 0
