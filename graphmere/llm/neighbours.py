@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cache
 from math import acos, ceil, log, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ DIM = 64
 FULL_BUCKET = 5000
 SKETCH_BITS = 128
 HOT_ROWS = 200_000
+#: The least probability with which a pair just as alike as asked for shares a probed bucket, at any size.
+LEAST_HIT = 0.95
 
 
 @dataclass(frozen=True)
@@ -31,9 +34,13 @@ class Index:
     seed: int = 7
 
     @staticmethod
-    def for_rows(n: int, dim: int = DIM) -> Index:
-        """Functions grow with the logarithm of the rows, so that a bucket holds about as many far vectors at any size."""
-        return Index(functions=max(6, ceil(1.75 * log(max(n, 2)))), dim=dim)
+    def for_rows(n: int, dim: int = DIM, least: float = 0.92) -> Index:
+        """Functions grow with the logarithm of the rows, so that a bucket holds about as many far vectors at any size.
+
+        Tables grow with the functions, so that a pair of similarity ``least`` is found with LEAST_HIT at any size.
+        """
+        one = Index(functions=max(6, ceil(1.75 * log(max(n, 2)))), tables=1, dim=dim)
+        return replace(one, tables=max(3, ceil(log(1 - LEAST_HIT) / log(1 - hit_probability(one, least)))))
 
 
 def usable_vectors(chunks: DataFrame, dim: int = DIM) -> DataFrame:
@@ -72,6 +79,29 @@ def probe_order(functions: int, probes: int) -> list[list[int]]:
     return out
 
 
+@cache
+def hit_probability(index: Index, least: float, trials: int = 20_000) -> float:
+    """How likely a pair of similarity ``least`` shares a probed bucket of one table, found from either side.
+
+    Simulated with a fixed seed, less two standard errors. Tables are independent of each other.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(index.seed)
+    x = rng.random((trials, index.functions))
+    y = x + rng.standard_normal(x.shape) * sqrt(max(0.0, 2 - 2 * least)) / index.width
+    step = np.floor(y)
+    found = np.zeros(trials, bool)
+    for part, move in ((x, step), (y - step, -step)):
+        near = np.argsort(np.concatenate([part, 1 - part], 1), 1)
+        needed = np.take_along_axis(np.concatenate([move == -1, move == 1], 1), near, 1)
+        reached = (np.abs(move) < 2).all(1)
+        for s in probe_order(index.functions, index.probes):
+            found |= reached & (needed.sum(1) == len(s)) & needed[:, s].all(1)
+    p = float(found.mean())
+    return min(max(p - 2 * sqrt(p * (1 - p) / trials), 1 / trials), 1 - 1e-9)
+
+
 def _hash_batches(index: Index, queries: bool):
     """Arrow batches of (id, v) to (bucket, id, s0, s1), with a sketch of signs: the home buckets, or all probed ones of ``queries``."""
 
@@ -174,7 +204,7 @@ def most_similar(chunks: DataFrame, k: int = 10, least: float = 0.92, index: Ind
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     copies = stage(keyed.join(classes, ["h1", "h2"]).select("id", "rep"))
     heads = vectors.join(sized(copies.filter("id != rep").select("id"), HOT_ROWS), "id", "left_anti")
-    index = index or Index.for_rows(vectors.count())
+    index = index or Index.for_rows(vectors.count(), least=least)
     pairs = stage(candidate_pairs(heads, index, least))
     wanted = sized(stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), HOT_ROWS)
     vectors = vectors.join(wanted, "id", "left_semi")

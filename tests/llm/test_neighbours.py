@@ -74,5 +74,19 @@ def test_full_buckets_lose_no_pair(spark, monkeypatch):
     assert len(near) > 1000 and cut == whole and len(near & cut) >= 0.9 * len(near)
 
 
+def test_recall_at_the_threshold_does_not_fall_with_size(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((2, 600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.921 * a + np.sqrt(1 - 0.921**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.concatenate([a, b]))], "id long, v array<float>")
+    for n, functions in ((180_000, 22), (1_800_000, 26)):
+        index = N.Index.for_rows(n)
+        assert index.functions == functions
+        got = {tuple(r) for r in N.candidate_pairs(df, index, 0.92).collect()}
+        assert sum((i, i + 600) in got for i in range(600)) >= 0.93 * 600, index
+
+
 def test_empty(spark):
     assert N.most_similar(spark.createDataFrame([], SCHEMA)).count() == 0
