@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +20,8 @@ SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi
 MULTI = ("utf-8", "shift_jis", "euc_jp", "gb18030")
 #: What UTF-8 is read as twice in a row.
 TWICE = ("cp1252", "iso8859-1")
-#: A form made by a chain of single bytes needs so many characters, and its original so many times its documents.
+#: A form made by a chain of single bytes needs so many characters, and its original so many times its documents,
+#: alone or together with other words of one document under the same chain.
 LEAST_LENGTH, LEAST_RATIO = 3, 3
 SMALL_ROWS = 200_000
 
@@ -184,11 +186,30 @@ def document_words(documents: DataFrame, ident: str, text: str) -> DataFrame:
     return cut.select("doc", F.explode(F.concat(*tagged)).alias("w")).select("doc", "w.word", "w.kind")
 
 
+def confirmed_swaps(words: DataFrame, swaps: DataFrame) -> DataFrame:
+    """(word, chain): forms about as frequent as their originals that the other words of their documents confirm.
+
+    A document is taken as garbled by a chain if it has at least two of the chain's forms and the ratios of
+    originals to forms multiply to LEAST_RATIO. In clean text under the chain's inverse the ratios are the
+    other way round. A form is confirmed if most of its documents are taken so. ``swaps`` should be staged.
+    """
+    near = (F.col("n_original") < LEAST_RATIO * F.col("n")) & (F.col("n_original") * LEAST_RATIO > F.col("n"))
+    pairs = swaps.groupBy("word", "chain").agg(F.max("n").alias("n"), F.max("n_original").alias("n_original")).withColumn("near", near)
+    pairs = stage(pairs.join(F.broadcast(pairs.filter("near").select("chain").distinct()), "chain", "left_semi"))
+    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("chain", F.log(F.col("n_original") / F.col("n")).alias("weight"), "near")).alias("c"))
+    seen = words.filter("kind = 'word'").join(sized(stage(listed), SMALL_ROWS), "word").select("doc", "word", F.inline("c"))
+    taken = seen.groupBy("doc", "chain").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.collect_list(F.when(F.col("near"), F.col("word"))).alias("near"))
+    taken = taken.filter((F.size("near") > 0) & (F.col("n") > 1) & (F.col("weight") > log(LEAST_RATIO) - 1e-9))
+    sure = taken.select("chain", F.explode("near").alias("word")).groupBy("word", "chain").agg(F.count("*").alias("taken"))
+    return sure.join(pairs, ["word", "chain"]).filter(2 * F.col("taken") > F.col("n")).select("word", "chain")
+
+
 def garbled_words(words: DataFrame) -> DataFrame:
     """(word, kind, original, chain, sure): the corpus's garbled words with their most frequent clean original.
 
     A form counts if a word of the corpus, written and read by one chain, gives it. A form that only swaps
-    single characters must be LEAST_RATIO times rarer than its original, or it may be a word in its own right.
+    single characters must be LEAST_RATIO times rarer than its original or confirmed by other words of its
+    documents, or it may be a word in its own right.
     ``sure`` is false where several clean originals of like frequency give one form. ``words`` is from :func:`document_words`.
     """
     vocabulary = stage(words.groupBy("word", "kind").agg(F.count("*").alias("n")))
@@ -198,7 +219,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
     ways = chains(charset)
     shared = words.sparkSession.sparkContext.broadcast((_word_filter(vocabulary), [(w.name, w.swap, w.table) for w in ways], character_masks(charset, ways)))
     forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(shared), "word string, kind string, original string, n_original long, chain string, swap boolean")
-    hits = stage(forms.join(vocabulary, ["word", "kind"]).filter((~F.col("swap")) | (F.col("n_original") >= LEAST_RATIO * F.col("n"))).drop("n"))
+    hits = stage(forms.join(vocabulary, ["word", "kind"]))
+    confirmed = confirmed_swaps(words, hits.filter("swap")).withColumn("confirmed", F.lit(True))
+    hits = hits.join(sized(stage(confirmed), SMALL_ROWS), ["word", "chain"], "left")
+    hits = stage(hits.filter((~F.col("swap")) | (F.col("n_original") >= LEAST_RATIO * F.col("n")) | F.col("confirmed")).drop("n", "confirmed"))
     garbled = hits.select(F.col("word").alias("original"), "kind", F.lit(1).alias("dirty")).distinct()
     hits = hits.join(garbled, ["original", "kind"], "left").withColumn("dirty", F.coalesce("dirty", F.lit(0)))
     best = F.min_by(F.struct("original", "chain"), F.struct("dirty", -F.col("n_original"), "original", "chain")).alias("best")

@@ -44,6 +44,18 @@ def test_found_and_restored(spark):
     assert right >= 0.9 * len(words), [w for w in words if w[0] != w[1]]
 
 
+def test_a_third_garbled_by_a_swap(spark):
+    texts = ["Общая запись хранит раздел памяти", "Каждый раздел памяти хранит старую запись", "Новая запись обновила общий раздел"]
+    clean = rows(texts * 4)
+    bad = rows([garble(t, "cp1251", "koi8-r") for t in texts * 2], 100)
+    once = "Сегодня запись хранит редкое слово"
+    bad += rows([garble(once, "cp1251", "koi8-r")], 200)
+    df = spark.createDataFrame(clean + bad + rows([once], 300), SCHEMA)
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == {r[0] for r in bad}
+    restored = {r["doc_id"]: r["restored"] for r in restore_garbled(df).collect()}
+    assert restored[100] == texts[0] and restored[200] == once
+
+
 def test_empty_and_clean(spark):
     assert find_garbled(spark.createDataFrame([], SCHEMA)).count() == 0
     assert find_garbled(spark.createDataFrame(rows(CLEAN + NATURAL) + rows(["é" * 20_000], 500), SCHEMA)).count() == 0
