@@ -270,6 +270,16 @@ def graph_similarity_edges(spark, d):
     return graph.similarity_edges(_chunks(spark, d), _typed(spark, d), asked, cutoff=0.35)
 
 
+def _similar(spark, d):
+    ids = _pages(spark, d).select("id")
+    return graph.similarity_edges(maintenance.prune(_chunks(spark, d), ids, "page_id"), _typed(spark, d), ids, cutoff=0.35)
+
+
+@query()
+def graph_similarity_edges_all(spark, d):
+    return _similar(spark, d)
+
+
 @query(_TYPED + " SELECT id, count(*) AS degree FROM (SELECT a AS id FROM pair UNION ALL SELECT b FROM pair) GROUP BY id")
 def graph_degree(spark, d):
     return graph.degree(_typed(spark, d))

@@ -128,3 +128,19 @@ def test_graph_operators(spark):
     assert set(com) == set("abcd")
     lines = spark.createDataFrame([(str(i),) for i in range(100)], "line string")
     assert graph.bucketed_hash(lines).first() == graph.bucketed_hash(lines.repartition(7)).first()
+
+
+def test_similarity_edges_of_all_pages(spark, data):
+    import numpy as np
+
+    from graphmere.plans import catalogue as C
+
+    live = {r["id"] for r in C._pages(spark, data).select("id").collect()}
+    heads = [(r["page_id"], r["v"]) for r in C._chunks(spark, data).filter("ord = 0").collect() if r["page_id"] in live]
+    typed = {tuple(r) for r in graph.pairs(C._typed(spark, data)).collect()}
+    s, want = np.round(np.array([v for _, v in heads]) @ np.array([v for _, v in heads]).T, 9), set()
+    for i, (a, _) in enumerate(heads):
+        near = sorted((-s[i, j], b) for j, (b, _) in enumerate(heads) if j != i and s[i, j] >= 0.35)[:6]
+        want |= {(min(a, b), max(a, b)) for _, b in near}
+    got = {(r["a"], r["b"]) for r in C.QUERIES["graph_similarity_edges_all"](spark, data).collect()}
+    assert len(got) > 20 and got == want - typed
