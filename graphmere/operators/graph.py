@@ -60,22 +60,48 @@ def degree(typed: DataFrame) -> DataFrame:
     return pairs(typed).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def communities(typed: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community, size, place): label propagation; each page takes the most frequent label around it.
-
-    Synchronous, ties to the smaller label, a fixed number of rounds, so the result depends on the graph only.
-    Label counts are combined before the shuffle, so a hub costs a row for each label it sees, not for each edge.
+def communities(typed: DataFrame, rounds: int | None = None, similar: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """(id, community, size, place): communities merged while that gains modularity, named by their lowest page.
+
+    Typed pairs have the largest of their weights; ``similar`` (a, b, weight) adds pairs, ``ids`` pages without
+    links, each its own community. In each round a community proposes to the one it gains most with, if that is
+    the larger; one that proposes to none takes its suitors in the order of their gain while each still gains
+    after all before it. So every merger adds modularity, the best of a round takes place, and the end is
+    reached when no merger of two communities gains. ``rounds`` limits the rounds; by default nothing does.
     """
-    near = stage(pairs(typed).select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*"))
-    labels = near.select("id").distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
-        seen = near.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.count("*").alias("n"))
-        labels = stage(seen.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    links = typed.filter("source != target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max("weight").cast("double").alias("weight"))
+    if similar is not None:
+        links = links.unionByName(similar.select("a", "b", F.col("weight").cast("double").alias("weight"))).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    links = stage(links.filter("weight > 0"))
+    every = links.select(F.explode(F.array("a", "b")).alias("id"))
+    labels = stage((every if ids is None else every.unionByName(ids.select("id"))).distinct().withColumn("label", F.col("id")))
+    total = 2 * (links.agg(F.sum("weight")).first()[0] or 0.0)
+    both = lambda x, y: F.explode(F.array(F.struct(x.alias("own"), y.alias("other")), F.struct(y.alias("own"), x.alias("other"))))
+    # Pairs of communities with the weight between them, both ways, and the weight of all ends in each.
+    between = stage(links.select(both(F.col("a"), F.col("b")).alias("e"), "weight").select("e.*", "weight"))
+    ends = stage(between.groupBy("own").agg(F.sum("weight").alias("ends")))
+    done = 0
+    while total and (rounds is None or done < rounds):
+        done += 1
+        rows = between.join(ends, "own").join(ends.select(F.col("own").alias("other"), F.col("ends").alias("theirs")), "other")
+        rows = rows.withColumn("gain", F.col("weight") - F.col("ends") * F.col("theirs") / total).filter(F.col("gain") > 1e-9 * F.col("weight"))
+        best = stage(rows.groupBy("own").agg(F.min_by(F.struct("other", "weight", "ends", "theirs", "gain"), F.struct(-F.col("gain"), -F.col("theirs"), "other")).alias("m")).select("own", "m.*"))
+        suitors = best.filter(F.struct("theirs", "other") > F.struct("ends", "own"))
+        suitors = suitors.join(suitors.select(F.col("own").alias("other")), "other", "left_anti")
+        before = Window.partitionBy("other").orderBy(F.desc("gain"), "own").rowsBetween(Window.unboundedPreceding, -1)
+        room = F.col("weight") - F.col("ends") * (F.col("theirs") + F.coalesce(F.sum("ends").over(before), F.lit(0.0))) / total
+        moves = stage(suitors.withColumn("room", room).filter("room > 0").select("own", F.col("other").alias("to")))
+        if not moves.take(1):
+            break
+        moved = lambda df, c: df.join(moves.select(F.col("own").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        labels = stage(moved(labels, "label"))
+        between = stage(moved(moved(between, "own"), "other").filter("own != other").groupBy("own", "other").agg(F.sum("weight").alias("weight")))
+        ends = stage(moved(ends, "own").groupBy("own").agg(F.sum("ends").alias("ends")))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("community"))
     # The place is the number of larger communities; only the few different sizes are put in order.
     larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     places = sizes.groupBy("size").agg(F.count("*").alias("n")).select("size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("place"))
-    return labels.join(sizes.join(places, "size"), "label").select("id", F.col("label").alias("community"), "size", "place")
+    return labels.join(sizes.join(places, "size"), "label").select("id", "community", "size", "place")
 
 
 def bucketed_hash(lines: DataFrame, algorithm: str = "sha256") -> DataFrame:

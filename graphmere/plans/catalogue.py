@@ -287,7 +287,7 @@ def graph_degree(spark, d):
 
 @query()
 def graph_communities(spark, d):
-    return graph.communities(_typed(spark, d))
+    return graph.communities(_typed(spark, d), similar=_similar(spark, d), ids=_pages(spark, d))
 
 
 def _bucketed(lines: str, last: str) -> str:

@@ -130,6 +130,18 @@ def test_graph_operators(spark):
     assert graph.bucketed_hash(lines).first() == graph.bucketed_hash(lines.repartition(7)).first()
 
 
+def test_communities_of_the_whole_graph(spark):
+    clique = lambda p: [(f"{p}{i}", f"{p}{j}", "t", 1.0) for i in range(4) for j in range(i)]
+    rows = [("hub", f"leaf{i}", "t", 1.0) for i in range(9)] + clique("a") + clique("b") + [("a0", "b0", "t", 1.0)]
+    typed = spark.createDataFrame(rows, "source string, target string, type string, weight double")
+    similar = spark.createDataFrame([("sim1", "sim2", 0.9)], "a string, b string, weight double")
+    ids = spark.createDataFrame([("alone",), ("a1",)], "id string")
+    found = {}
+    for r in graph.communities(typed, similar=similar, ids=ids).collect():
+        found.setdefault(r["community"], set()).add(r["id"])
+    assert sorted(map(sorted, found.values())) == [["a0", "a1", "a2", "a3"], ["alone"], ["b0", "b1", "b2", "b3"], ["hub", *[f"leaf{i}" for i in range(9)]], ["sim1", "sim2"]]
+
+
 def test_similarity_edges_of_all_pages(spark, data):
     import numpy as np
 
