@@ -425,6 +425,20 @@ def upsert_diff(spark, d):
     return maintenance.classify(_bare(_incoming(spark, d)), _bare(pages.current_pages(table(spark, d, "nodes"))))
 
 
+def _hashed(df, edges):
+    """With the hash of title, body and the distinct edges in order; ends and types as they are meant, on both sides alike."""
+    lists = pages.current_edges(edges).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("type", "target", "weight"))).alias("list"))
+    keyed = df.select("id", "title", "body", orphans.composed(orphans.reference_key(F.col("id"))).alias("source"))
+    return keyed.join(lists, "source", "left").select("id", maintenance.content_hash(F.col("title"), F.col("body"), maintenance.edges_json(F.col("list"))).alias("content_hash"))
+
+
+@query()
+def upsert_diff_edges(spark, d):
+    items = _incoming(spark, d)
+    given = items.select("id", F.posexplode("edges").alias("edge_id", "e")).select("edge_id", F.col("id").alias("source"), "e.type", "e.target", "e.weight")
+    return maintenance.classify(_hashed(items, given), _hashed(pages.current_pages(table(spark, d, "nodes")), table(spark, d, "edges")))
+
+
 @query(S.chain(S.LAST, _ITEMS) + """, x AS (SELECT a.id, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in maintenance.META) + """], lambda x: x IS NOT NULL), ',') AS fields,
 coalesce(nullif(a.write_actor, 'unknown'), b.write_actor) AS write_actor FROM items a JOIN live b ON a.id = b.id) SELECT * FROM x WHERE fields <> ''""")
 def metadata_sync(spark, d):

@@ -66,3 +66,14 @@ def test_publish_and_stream(spark, tmp_path):
     now = store.read_pointer(spark, root)
     assert not store.publish(spark, root, {"items": one}, now["generation"])
     assert store.collectable(["g1", "g2", "g3"], "g3", {"g2": 100.0}, 150.0) == ["g1"]
+
+
+def test_changed_links_change_the_hash(spark):
+    from graphmere.plans import catalogue as C
+
+    pages = spark.createDataFrame([(x, "t", "b") for x in ("w/a", "w/b", "w/c")], "id string, title string, body string")
+    schema = "edge_id long, source string, type string, target string, weight double"
+    old = spark.createDataFrame([(1, "w/a", "cites", "w/b", 1.0), (2, "w/a", "cites", "w/c", None), (3, "w/b", "cites", "w/a", 1.0)], schema)
+    new = spark.createDataFrame([(0, "w/a", "cites", "w/c", 1.0), (1, "w/a", "cites", "w/b", None), (0, "w/b", "cites", "w/c", 1.0)], schema)
+    got = {r["id"]: r["status"] for r in M.classify(C._hashed(pages, new), C._hashed(pages, old)).collect()}
+    assert got == {"w/a": "unchanged", "w/b": "changed", "w/c": "unchanged"}
