@@ -2,7 +2,7 @@
 
 The text is parsed with a few anchored patterns into calendar parts. A time that carries its own offset is
 shifted by it. A local time is matched as-of against the zone's offset intervals, expressed in local time and
-exploded to one row per zone and year: two intervals that hold it mean an ambiguous time, none a nonexistent
+exploded to one row per zone and year that occurs: two intervals that hold it mean an ambiguous time, none a nonexistent
 one, exactly one gives the offset.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmere.session import stage
+from graphmere.session import sized, stage
 
 # English month names, and zone abbreviations with their fixed offset in minutes.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -26,8 +26,9 @@ ABBREVIATIONS = {
     "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
 }
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
 DAY_US = 86_400_000_000
+#: Up to so many pairs of zone and year are broadcast.
+ZONE_YEARS = 100_000
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?(?: ?([AaPp][Mm]))?"
 _ZONE = r" ?([+-]\d{2}(?::?\d{2})?|[A-Za-z]{1,5}|[A-Z][A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)?(?: ?\[([A-Za-z0-9_/+-]+)\])?"
@@ -101,57 +102,69 @@ def _calendar(p: Column) -> dict[str, Column]:
 
 
 def _zone_years(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each zone name the intervals of constant offset, per year, with local bounds in microseconds."""
-    from zoneinfo import ZoneInfo
+    """For each zone name and year the intervals of constant offset, with local bounds in microseconds."""
+    from zoneinfo import ZoneInfo, available_timezones
 
+    if not available_timezones():
+        raise RuntimeError("this worker has no zone database")
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     us = lambda t: (t - epoch) // timedelta(microseconds=1)
+    day = timedelta(days=1)
     for batch in batches:
-        for name in batch["zone"]:
+        rows = []
+        for name, year in zip(batch["zone"], batch["year"]):
             try:
                 z = ZoneInfo(name)
-            except Exception:
+            except (KeyError, ValueError, OSError):  # no such zone
                 continue
             off = lambda t, z=z: t.astimezone(z).utcoffset()
-            t, end = datetime(FIRST_YEAR - 1, 1, 1, tzinfo=timezone.utc), datetime(LAST_YEAR + 2, 1, 1, tzinfo=timezone.utc)
+            t = datetime(max(year - 1, 1), 12, 28, tzinfo=timezone.utc) if year > 1 else datetime(1, 1, 3, tzinfo=timezone.utc)
+            end = datetime(year + 1, 1, 5, tzinfo=timezone.utc) if year < 9999 else datetime(9999, 12, 29, tzinfo=timezone.utc)
             spans, start, now = [], None, off(t)
             while t < end:
-                step = t + timedelta(days=9)
-                if (then := off(step)) != now:
-                    lo, hi = t, step
+                if (then := off(t + day)) != now:
+                    lo, hi = t, t + day
                     while hi - lo > timedelta(seconds=1):
-                        mid = lo + (hi - lo) / 2
-                        mid = mid.replace(microsecond=0)
+                        mid = (lo + (hi - lo) / 2).replace(microsecond=0)
                         lo, hi = (mid, hi) if off(mid) == now else (lo, mid)
                     spans.append((start, hi, now))
                     start, now = hi, then
-                t = step
-            spans.append((start, None, now))
+                t += day
             local = []
-            for a, b, o in spans:
+            for a, b, o in [*spans, (start, None, now)]:
                 shift = o // timedelta(microseconds=1)
-                local.append((-(2**62) if a is None else us(a) + shift, 2**62 if b is None else us(b) + shift, shift))
-            rows = []
-            for year in range(FIRST_YEAR, LAST_YEAR + 1):
-                a = us(datetime(year, 1, 1, tzinfo=timezone.utc)) - 2 * DAY_US
-                b = us(datetime(year + 1, 1, 1, tzinfo=timezone.utc)) + 2 * DAY_US
-                a, b = (-(2**62) if year == FIRST_YEAR else a), (2**62 if year == LAST_YEAR else b)
-                rows.append((name, year, [{"lo": s, "hi": e, "off": o} for s, e, o in local if s < b and e > a]))
-            yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
+                local.append({"lo": -(2**62) if a is None else us(a) + shift, "hi": 2**62 if b is None else us(b) + shift, "off": shift})
+            rows.append((name, year, local))
+        yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
 
-def zone_intervals(zones: DataFrame) -> DataFrame:
-    """(zone, year, spans<lo, hi, off>) for the valid names in ``zones``; at most 201 rows for each IANA zone."""
-    return zones.select("zone").distinct().mapInPandas(_zone_years, "zone string, year int, spans array<struct<lo:long,hi:long,off:long>>")
+def zone_intervals(zone_years: DataFrame) -> DataFrame:
+    """(zone, year, spans<lo, hi, off>) for the valid names in ``zone_years`` (zone, year), each pair once.
+
+    Only the years that occur are worked out, so no year is too early or too late. A worker without a zone
+    database is an error, an unknown name gives no row.
+    """
+    return zone_years.select("zone", "year").distinct().mapInPandas(_zone_years, "zone string, year int, spans array<struct<lo:long,hi:long,off:long>>")
+
+
+def epoch_seconds(text: Column) -> Column:
+    """The instant of a written time in seconds since 1970; UTC where it names no zone, null if it is no time.
+
+    For headers of pages, which have no actor. A named region is not looked up and gives null.
+    """
+    t = parse_written_time(text)
+    c = _calendar(t["p"])
+    local = F.when(c["region"].isNull(), c["local_us"] - F.coalesce(c["offset_min"].cast("long"), F.lit(0).cast("long")) * 60_000_000)
+    return F.coalesce(t["epoch_us"], local) / 1_000_000
 
 
 def normalise_times(items: DataFrame, actors: DataFrame, key: str = "item_seq", fields: tuple[str, ...] = ("authored", "freshness")) -> DataFrame:
     """One row (key, field, written, utc_us, status) for each non-null written time of ``fields``.
 
     status: 'offset' (own offset, abbreviation, epoch number or date), 'zone' (one interval holds it),
-    'ambiguous' (two: the first is taken), 'nonexistent' (none: the offset before the gap), 'invalid' (utc_us
-    is null). A time without zone takes the actor's home zone, else UTC; unknown home zones count as UTC, an
-    unknown zone written in the text makes it invalid. Of several rows of one actor the smallest zone counts.
+    'ambiguous' (two: the first is taken), 'nonexistent' (none: the offset before the gap), 'utc' (neither the
+    text nor the actor has a known zone), 'invalid' (utc_us is null). A time without zone takes the actor's home
+    zone, else UTC; an unknown zone written in the text makes it invalid. Of several rows of one actor the smallest zone counts.
     Nulls give no row, empty texts are invalid, repeated rows come out as often as they go in, other columns
     are ignored, empty tables give an empty result.
     """
@@ -164,10 +177,11 @@ def normalise_times(items: DataFrame, actors: DataFrame, key: str = "item_seq",
         "zone", F.when(F.col("local_us").isNotNull() & F.col("epoch_us").isNull() & F.col("offset_min").isNull(), F.coalesce("region", "home_zone"))
     )
     rows = stage(rows.select("key", "field", "written", "epoch_us", "local_us", "offset_min", "region", "zone"))
-    # As many zones as the IANA database names, whatever the input: this side may be broadcast.
-    spans = F.broadcast(zone_intervals(rows.filter("zone is not null")))
-    year = F.least(F.greatest(F.year(F.date_from_unix_date(F.floor(F.col("local_us") / DAY_US).cast("int"))), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR))
-    rows = rows.withColumn("year", F.when(F.col("zone").isNotNull(), year)).join(spans, ["zone", "year"], "left")
+    year = F.year(F.date_from_unix_date(F.floor(F.col("local_us") / DAY_US).cast("int")))
+    rows = rows.withColumn("year", F.when(F.col("zone").isNotNull(), year))
+    # One row for each zone and year that occurs, whatever the number of items.
+    spans = sized(stage(zone_intervals(rows.filter("zone is not null"))), ZONE_YEARS)
+    rows = rows.join(spans, ["zone", "year"], "left")
     held = F.filter("spans", lambda s: (s.lo <= F.col("local_us")) & (F.col("local_us") < s.hi))
     before = F.array_max(F.transform(F.filter("spans", lambda s: s.hi <= F.col("local_us")), lambda s: F.struct(s.hi, s.off)))
     rows = rows.withColumn("held", held)
@@ -177,7 +191,7 @@ def normalise_times(items: DataFrame, actors: DataFrame, key: str = "item_seq",
         F.when(F.col("epoch_us").isNotNull(), "offset")
         .when(F.col("local_us").isNull(), "invalid")
         .when(F.col("offset_min").isNotNull(), "offset")
-        .when(F.col("spans").isNull(), F.when(lost, "invalid").otherwise("offset"))
+        .when(F.col("spans").isNull(), F.when(lost, "invalid").otherwise("utc"))
         .when(F.size("held") == 0, "nonexistent")
         .when(F.size("held") == 1, "zone")
         .otherwise("ambiguous")

@@ -29,13 +29,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-@query()
+@query(S.chain(S.WRITTEN) + "SELECT item_seq, field, utc_us FROM instants WHERE utc_us IS NOT NULL")
 def p1_found(spark, d):
     out = times.normalise_times(table(spark, d, "memory_items"), table(spark, d, "actors"))
     return out.filter("utc_us is not null").select("item_seq", "field", "utc_us")
 
 
-@query()
+@query(S.chain(S.WRITTEN) + "SELECT field, status, count(*) AS n FROM instants GROUP BY ALL")
 def p1_status(spark, d):
     out = times.normalise_times(table(spark, d, "memory_items"), table(spark, d, "actors"))
     return out.groupBy("field", "status").agg(F.count("*").alias("n"))

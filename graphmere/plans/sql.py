@@ -60,6 +60,52 @@ back AS (SELECT * FROM (SELECT seed, cand, row_number() OVER (PARTITION BY seed
   (SELECT DISTINCT target AS seed, source AS cand FROM links WHERE target IN (SELECT id FROM fit) AND source IN (SELECT id FROM pages))) WHERE i <= {A.CAP_IN}),
 ins AS (SELECT qid, cand AS id, {A.IN_WEIGHT} / (1 + best) / log2(2 + fit.deg) / log2(2 + o.deg) AS score FROM back JOIN fit ON seed = fit.id JOIN outdeg o ON o.id = cand)"""
 
+# Written times by DuckDB's own calendar and zone rules. A local time is tried with the offsets of a day before and after.
+WRITTEN = r"""
+cells AS (SELECT item_seq, write_actor, 'authored' AS field, authored AS written FROM memory_items WHERE authored IS NOT NULL
+  UNION ALL SELECT item_seq, write_actor, 'freshness', freshness FROM memory_items WHERE freshness IS NOT NULL),
+trimmed AS (SELECT *, regexp_replace(written, '^[\s\p{Z}"''“”‘’`]+|[\s\p{Z}"''“”‘’`]+$', '', 'g') AS s FROM cells),
+number AS (SELECT *, CASE WHEN regexp_matches(s, '^\d{10}$') THEN s::BIGINT * 1000000 WHEN regexp_matches(s, '^\d{13}$') THEN s::BIGINT * 1000 WHEN regexp_matches(s, '^\d{16}$') THEN s::BIGINT
+  WHEN regexp_matches(s, '^\d{10}[.,]\d+$') THEN s[1:10]::BIGINT * 1000000 + rpad(s[12:17], 6, '0')::BIGINT END AS epoch_us FROM trimmed),
+dashed AS (SELECT *, CASE WHEN regexp_matches(s, '^\d{8}$') THEN s[1:4] || '-' || s[5:6] || '-' || s[7:8]
+  WHEN regexp_matches(s, '^\d{8}[Tt ]\d{2}:?\d{2}') THEN s[1:4] || '-' || s[5:6] || '-' || s[7:8] || ' ' || regexp_replace(s[10:], '^(\d{2}):?(\d{2}):?(\d{2})?', CASE WHEN regexp_matches(s[10:], '^\d{2}:?\d{2}:?\d{2}') THEN '\1:\2:\3' ELSE '\1:\2' END)
+  ELSE s END AS w FROM number),
+cut AS (SELECT *, regexp_extract(w, '^(.*?)(?:(?:[Tt]|,? )(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?(?: ?([AaPp])[Mm])?(| ?[+-]\d{2}(?::?\d{2})?| ?[A-Za-z]{1,5}| ?[A-Z][A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)(?: ?\[([A-Za-z0-9_/+-]+)\])?)?$',
+  ['day', 'hour', 'minute', 'second', 'fraction', 'half', 'zone', 'region']) AS x FROM dashed WHERE length(s) <= 100),
+named AS (SELECT *, trim(x.zone) AS zone_text, regexp_replace(x.day, '^(?:[Mm]on|[Tt]ue|[Ww]ed|[Tt]hu|[Ff]ri|[Ss]at|[Ss]un)[a-z]*,? ', '') AS day FROM cut),
+parts AS (SELECT *, CASE WHEN regexp_matches(day, '^\d{4}-\d{2}-\d{2}$') THEN regexp_extract(day, '^(\d+)-(\d+)-(\d+)$', ['y', 'm', 'd'])
+  WHEN regexp_matches(day, '^\d{1,2}\.\d{1,2}\.\d{4}$') THEN regexp_extract(day, '^(\d+)\.(\d+)\.(\d+)$', ['d', 'm', 'y'])
+  WHEN regexp_matches(day, '^\d{1,2}/\d{1,2}/\d{4}$') THEN regexp_extract(day, '^(\d+)/(\d+)/(\d+)$', ['m', 'd', 'y'])
+  WHEN regexp_matches(day, '^\d{1,2} [A-Za-z]{3,9}\.? \d{4}$') THEN regexp_extract(day, '^(\d+) ([A-Za-z]+)\.? (\d+)$', ['d', 'm', 'y'])
+  WHEN regexp_matches(day, '^[A-Za-z]{3,9}\.? \d{1,2},? \d{4}$') THEN regexp_extract(day, '^([A-Za-z]+)\.? (\d+),? (\d+)$', ['m', 'd', 'y']) END AS p FROM named),
+dated AS (SELECT *, try_cast(printf('%04d-%02d-%02d', try_cast(p.y AS INT), CASE WHEN regexp_matches(p.m, '^\d+$') THEN try_cast(p.m AS INT) ELSE
+  list_position(list_transform(['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'],
+    lambda n: starts_with(n, lower(p.m)) AND (length(p.m) <= 4 OR n = lower(p.m))), true) END, try_cast(p.d AS INT)) AS DATE) AS date,
+  CASE WHEN x.half = '' THEN try_cast(x.hour AS INT) WHEN try_cast(x.hour AS INT) BETWEEN 1 AND 12 THEN try_cast(x.hour AS INT) % 12 + CASE WHEN lower(x.half) = 'p' THEN 12 ELSE 0 END END AS h FROM parts WHERE p IS NOT NULL AND x.hour <> ''
+  UNION ALL SELECT *, try_cast(printf('%04d-%02d-%02d', try_cast(p.y AS INT), CASE WHEN regexp_matches(p.m, '^\d+$') THEN try_cast(p.m AS INT) ELSE
+  list_position(list_transform(['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'],
+    lambda n: starts_with(n, lower(p.m)) AND (length(p.m) <= 4 OR n = lower(p.m))), true) END, try_cast(p.d AS INT)) AS DATE), NULL FROM parts WHERE p IS NOT NULL AND x.hour = ''),
+clocked AS (SELECT *, epoch_us(date::TIMESTAMP) + CASE WHEN x.hour = '' THEN 0 WHEN h <= 23 AND try_cast(x.minute AS INT) <= 59 AND coalesce(try_cast(x.second AS INT), 0) <= 59
+  THEN (h * 3600 + try_cast(x.minute AS INT) * 60 + coalesce(try_cast(x.second AS INT), 0))::BIGINT * 1000000 + try_cast(rpad(x.fraction[1:6], 6, '0') AS BIGINT) END AS local_us FROM dated),
+zones AS (SELECT DISTINCT name FROM pg_timezone_names()),
+homes AS (SELECT write_actor AS actor, min(home_zone) AS home FROM actors WHERE write_actor IS NOT NULL GROUP BY 1),
+shifted AS (SELECT *, CASE WHEN x.hour = '' THEN 0
+  WHEN regexp_matches(zone_text, '^[+-]') THEN CASE WHEN try_cast(zone_text[2:3] AS INT) <= 18 AND coalesce(try_cast(replace(zone_text[4:], ':', '') AS INT), 0) < 60
+    THEN (CASE WHEN zone_text[1] = '-' THEN -1 ELSE 1 END) * (try_cast(zone_text[2:3] AS INT) * 60 + coalesce(try_cast(replace(zone_text[4:], ':', '') AS INT), 0)) END
+  WHEN upper(zone_text) IN ('Z', 'UTC', 'GMT', 'UT') THEN 0 WHEN upper(zone_text) IN ('CET', 'MEZ') THEN 60 WHEN upper(zone_text) IN ('CEST', 'MESZ') THEN 120
+  WHEN upper(zone_text) = 'EDT' THEN -240 WHEN upper(zone_text) IN ('EST', 'CDT') THEN -300 WHEN upper(zone_text) IN ('CST', 'MDT') THEN -360
+  WHEN upper(zone_text) IN ('MST', 'PDT') THEN -420 WHEN upper(zone_text) IN ('PST', 'AKDT') THEN -480 WHEN upper(zone_text) = 'AKST' THEN -540 WHEN upper(zone_text) = 'HST' THEN -600 END AS minutes,
+  CASE WHEN contains(zone_text, '/') THEN zone_text WHEN zone_text = '' AND x.region <> '' THEN x.region END AS given FROM clocked),
+placed_zone AS (SELECT c.*, CASE WHEN c.minutes IS NULL THEN z.name END AS zone FROM shifted c LEFT JOIN homes ON actor = write_actor LEFT JOIN zones z ON z.name = coalesce(c.given, home)),
+offsets AS (SELECT *, epoch_us(make_timestamptz(local_us - 86400000000) AT TIME ZONE zone) - (local_us - 86400000000) AS o1, epoch_us(make_timestamptz(local_us + 86400000000) AT TIME ZONE zone) - (local_us + 86400000000) AS o2 FROM placed_zone),
+tried AS (SELECT *, epoch_us(make_timestamptz(local_us - o1) AT TIME ZONE zone) = local_us AS v1, epoch_us(make_timestamptz(local_us - o2) AT TIME ZONE zone) = local_us AS v2 FROM offsets),
+judged AS (SELECT item_seq, field, CASE WHEN local_us IS NULL OR (zone_text <> '' AND minutes IS NULL AND given IS NULL) OR (given IS NOT NULL AND minutes IS NULL AND zone IS NULL) THEN 'invalid' WHEN minutes IS NOT NULL THEN 'offset'
+  WHEN zone IS NULL THEN 'utc' WHEN o1 <> o2 AND v1 AND v2 THEN 'ambiguous' WHEN v1 OR v2 THEN 'zone' ELSE 'nonexistent' END AS status,
+  CASE WHEN minutes IS NOT NULL THEN local_us - minutes::BIGINT * 60000000 WHEN zone IS NULL THEN local_us WHEN v1 AND v2 THEN least(local_us - o1, local_us - o2)
+  WHEN v2 THEN local_us - o2 ELSE local_us - o1 END AS us FROM tried),
+instants AS (SELECT n.item_seq, n.field, CASE WHEN n.epoch_us IS NOT NULL THEN 'offset' ELSE coalesce(j.status, 'invalid') END AS status,
+  CASE WHEN n.epoch_us IS NOT NULL THEN n.epoch_us WHEN j.status <> 'invalid' THEN j.us END AS utc_us FROM number n LEFT JOIN judged j ON j.item_seq = n.item_seq AND j.field = n.field)"""
+
 
 def graph_list(found: str) -> str:
     return f"""

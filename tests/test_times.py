@@ -6,7 +6,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from graphmere.operators.times import normalise_times
+from graphmere.operators.times import _zone_years, epoch_seconds, normalise_times
 
 SCHEMA = "item_seq long, write_actor string, authored string, freshness string, zone string, key string"
 ACTORS = [("ny", "America/New_York"), ("syd", "Australia/Sydney"), ("none", None), ("bad", "Mars/Phobos")]
@@ -25,10 +25,10 @@ CASES = [
     ("ny", "20240305T100000Z", us(2024, 3, 5, 10), "offset"),
     ("ny", "20240305", us(2024, 3, 5), "offset"),
     ("ny", "2024-01-05 10:00", us(2024, 1, 5, 15), "zone"),
-    ("none", "2024-01-05 10:00", us(2024, 1, 5, 10), "offset"),
-    ("bad", "2024-01-05 10:00", us(2024, 1, 5, 10), "offset"),
-    (None, "2024-01-05 10:00", us(2024, 1, 5, 10), "offset"),
-    ("nobody", "2024-01-05 10:00", us(2024, 1, 5, 10), "offset"),
+    ("none", "2024-01-05 10:00", us(2024, 1, 5, 10), "utc"),
+    ("bad", "2024-01-05 10:00", us(2024, 1, 5, 10), "utc"),
+    (None, "2024-01-05 10:00", us(2024, 1, 5, 10), "utc"),
+    ("nobody", "2024-01-05 10:00", us(2024, 1, 5, 10), "utc"),
     ("ny", "2023-11-05 01:30", us(2023, 11, 5, 5, 30), "ambiguous"),
     ("ny", "2024-03-10 02:30", us(2024, 3, 10, 7, 30), "nonexistent"),
     ("syd", "2024-04-07 02:30", us(2024, 4, 6, 15, 30), "ambiguous"),
@@ -40,6 +40,10 @@ CASES = [
     ("syd", "5 January 2024", us(2024, 1, 5), "offset"),
     ("syd", "2024-07-05T10:00:00[Europe/Berlin]", us(2024, 7, 5, 8), "zone"),
     ("syd", "2024-07-05 10:00:00 Asia/Kathmandu", us(2024, 7, 5, 4, 15), "zone"),
+    ("ny", "2150-07-05 10:00", us(2150, 7, 5, 14), "zone"),
+    ("ny", "1850-07-05 10:00", us(1850, 7, 5, 14, 56, 2), "zone"),
+    ("ny", "9999-12-31 23:00", us(9999, 12, 31, 23) + 5 * 3_600_000_000, "zone"),
+    ("syd", "0001-01-01 00:30", us(1, 1, 1, 0, 30) - 36_292_000_000, "zone"),
     ("syd", "1700000000", 1_700_000_000_000_000, "offset"),
     ("syd", "1700000000.25", 1_700_000_000_250_000, "offset"),
     ("syd", "1700000000123", 1_700_000_000_123_000, "offset"),
@@ -78,3 +82,17 @@ def test_every_hour_of_a_year_of_changes(spark):
     for i, t in enumerate(hours):
         want = (t.replace(tzinfo=zone, fold=0).astimezone(timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
         assert got[i] == want, t
+
+
+def test_seconds_of_headers(spark):
+    rows = [("2024-03-05",), ("2024-03-05 10:00",), ("2024-03-05T10:00:00.5+02:00",), ("1700000000",), ("soon",), (None,), ("2024-03-05 10:00 Europe/Berlin",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(epoch_seconds(F.col("t"))).collect()]
+    assert got == [us(2024, 3, 5) / 1e6, us(2024, 3, 5, 10) / 1e6, us(2024, 3, 5, 8) / 1e6 + 0.5, 1.7e9, None, None, None]
+
+
+def test_worker_without_zone_database(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr("zoneinfo.available_timezones", set)
+    with pytest.raises(RuntimeError):
+        list(_zone_years(iter([pd.DataFrame({"zone": ["Europe/Berlin"], "year": [2024]})])))
