@@ -318,14 +318,35 @@ def generation_hash(spark, d):
 # Ingest and maintenance.
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(path, '\.md$', ''), '^.*/', '') AS name, path, replace(regexp_replace(text, '^\x{feff}', ''), chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL AND path IS NOT NULL),
-f AS (SELECT *, regexp_matches(t, '(?s)^---\n(?:(.*?)\n)?---(?:\n(.*))?$') AS has FROM t),
-g AS (SELECT *, CASE WHEN has THEN regexp_extract(t, '(?s)^---\n(?:(.*?)\n)?---(?:\n(.*))?$', 1) END AS fm, CASE WHEN has THEN regexp_extract(t, '(?s)^---\n(?:(.*?)\n)?---(?:\n(.*))?$', 2) ELSE t END AS body FROM f)
-SELECT path, coalesce(nullif(trim(regexp_extract(fm, '(?m)^title:[ \t]*(\S.*)$', 1)), ''), name) AS title, length(body) AS body_length,
-coalesce(len(string_split(nullif(regexp_extract(fm, '(?m)^tags:[ \t]*\[(.*)\][ \t]*$', 1), ''), ',')), 0) AS tags FROM g""")
+# The headers of the documents hold one-line titles and inline tags; the SQL cuts lines and knows which plain titles
+# YAML takes for something else.
+_HEADED = r"""
+texts AS (SELECT path, replace(regexp_replace(text, '^\x{feff}', ''), chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL AND path IS NOT NULL),
+lined AS (SELECT *, string_split(t, chr(10)) AS l FROM texts),
+fenced AS (SELECT *, CASE WHEN l[1] = '---' THEN list_position(l[2:], '---') END AS f FROM lined),
+heads AS (SELECT *, list_filter(l[2:f], lambda x: trim(x) <> '') AS h FROM fenced),
+plain AS (SELECT *, f IS NOT NULL AND len(list_filter(h, lambda x: NOT regexp_matches(x, '^[a-z_]+: ?') OR regexp_matches(x, '^[a-z_]+: .*(: |:$)') OR regexp_matches(x, '^[a-z_]+: *[@`%&*!|>{}\],?"'']'))) = 0
+  AND len(list_distinct(list_transform(h, lambda x: split_part(x, ':', 1)))) = len(h) AS fine FROM heads),
+headed AS (SELECT *, CASE WHEN fine THEN array_to_string(l[f + 2:], chr(10)) ELSE t END AS body,
+  CASE WHEN fine THEN nullif(trim(regexp_replace(list_filter(h, lambda x: starts_with(x, 'title:'))[1][7:], ' #.*$', '')), '') END AS title,
+  CASE WHEN fine THEN string_split(nullif(trim(list_filter(h, lambda x: starts_with(x, 'tags:'))[1][6:], ' []'), ''), ', ') END AS tags,
+  regexp_replace(path, '\.md$', '') AS id FROM plain)"""
+
+
+@query(S.chain(_HEADED) + f"""SELECT path, id, coalesce(title, string_split(id, '/')[-1]) AS title, length(body) AS body_length, md5(body) AS body_digest, coalesce(array_to_string(tags, ';'), '') AS tags,
+CASE WHEN {S.ZONE} = 'incoming' THEN 'untrusted' ELSE 'trusted' END AS trust, FALSE AS volatile, FALSE AS tombstoned, NULL::DOUBLE AS freshness FROM headed""")
 def markdown_items(spark, d):
     out = markdown.items(table(spark, d, "documents").select("path", "text"))
-    return out.select("path", "title", F.length("body").cast("long").alias("body_length"), F.size("tags").cast("long").alias("tags"))
+    return out.select("path", "id", "title", F.length("body").cast("long").alias("body_length"), F.md5("body").alias("body_digest"), F.array_join("tags", ";").alias("tags"), "trust", "volatile", "tombstoned", "freshness")
+
+
+@query(r"""WITH given AS (SELECT item_seq AS id, 0 AS part, i, e.type AS type, e.target AS target, e.weight AS weight FROM (SELECT item_seq, unnest(edges) AS e, generate_subscripts(edges, 1) AS i FROM memory_items) WHERE e.target <> ''),
+linked AS (SELECT item_seq AS id, 1, unnest(range(len(f))) AS i, 'related-to', unnest(f) AS raw, NULL FROM (SELECT item_seq, regexp_extract_all(body, '\[\[([^\]|#\n]+)[^\[\]\n]*\]\]', 1) AS f FROM memory_items)),
+every AS (SELECT * FROM given UNION ALL SELECT id, 1, i, 'related-to', CASE WHEN ends_with(trim(raw), '.md') THEN trim(raw)[:-4] ELSE trim(raw) END, NULL FROM linked)
+SELECT id, type, target, weight FROM every WHERE target <> '' QUALIFY row_number() OVER (PARTITION BY id, replace(lower(trim(type)), '_', '-'), target ORDER BY part, i) = 1""")
+def front_matter_edges(spark, d):
+    rows = table(spark, d, "memory_items").select(F.col("item_seq").alias("id"), "body", F.filter(F.transform("edges", lambda e: e), lambda e: e.target != "").alias("edges"))
+    return markdown.link_edges(rows).select("id", "type", "target", "weight")
 
 
 @query(S.chain(S.LAST) + r"""SELECT DISTINCT id, 'related-to' AS type, target FROM (SELECT id, regexp_replace(trim(unnest(regexp_extract_all(body, '\[\[([^\]|#\n]+?)(?:[#|][^\]\n]*)?\]\]', 1))), '\.md$', '') AS target FROM pages) WHERE target <> ''""")
@@ -494,10 +515,10 @@ def index_stats(spark, d):
     return rows.groupBy().pivot("k", ["nodes", "edges", "chunks"]).agg(F.max("n"))
 
 
-@query(S.chain(S.LAST) + "SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, count(*) AS files, min(path) AS first FROM pages GROUP BY 1")
+@query(S.chain(S.LAST) + r"""SELECT DISTINCT kind, name, path, CASE WHEN kind = 'folder' THEN CASE WHEN name = 'raw' OR starts_with(name, 'in_') THEN 'incoming' WHEN name = 'out' OR starts_with(name, 'out_') THEN 'output' ELSE 'wiki' END END AS zone
+FROM (SELECT CASE WHEN contains(path, '/') THEN 'folder' ELSE 'page' END AS kind, split_part(path, '/', 1) AS name, split_part(path, '/', 1) AS path FROM pages WHERE NOT regexp_matches(path, '(^|/)\.')) WHERE kind = 'folder' OR ends_with(name, '.md')""")
 def tree_level(spark, d):
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    return _pages(spark, d).groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.min("path").alias("first"))
+    return markdown.tree(_pages(spark, d))
 
 
 @query(S.chain(S.LAST) + "SELECT m.item_seq, p.id, p.title FROM memory_items m JOIN pages p ON p.id = m.id OR p.path = m.path")

@@ -1,9 +1,12 @@
 import json
 import os
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphmere.operators import maintenance as M
+from graphmere.operators.joins import spread_join
 from graphmere.sources import markdown, store
 from graphmere.streaming import ingest
 
@@ -44,6 +47,58 @@ def test_markdown(spark, tmp_path):
     assert (got["wiki/d.md"]["title"], got["wiki/d.md"]["body"], got["wiki/d.md"]["tombstoned"]) == ("d", "---\nno end", False)
     links = {(r["type"], r["target"]) for r in markdown.link_edges(rows.filter("path = 'wiki/a.md'")).collect()}
     assert links == {("cites", "wiki/s"), ("related-to", "t")}
+    assert markdown.newer_than(spark, str(tmp_path), datetime(2020, 1, 1)) and not markdown.newer_than(spark, str(tmp_path), datetime(2120, 1, 1))
+
+
+HEADERS = {
+    'volatile: "true"': {"volatile": False},
+    "volatile: True\nforgotten: true": {"volatile": True, "forgotten": True, "tombstoned": True},
+    "volatile: yes\nas_of: 2026-07-01": {"volatile": False, "freshness": 1782864000.0},
+    "description: |\n  one\n  two\ntitle: 'it''s'": {"description": "one\ntwo\n", "title": "it's"},
+    "description: >-\n  one\n  two": {"description": "one two"},
+    'tags: ["a, b", c]': {"tags": ["a, b", "c"]},
+    "title: a: b": {"title": "p", "body": "---\ntitle: a: b\n---\nBODY [[t]]"},
+    "title: [": {"title": "p", "body": "---\ntitle: [\n---\nBODY [[t]]"},
+    "- a\n- b": {"title": "p", "body": "---\n- a\n- b\n---\nBODY [[t]]"},
+    "title: 1.0\ntitle: b": {"title": "p"},
+    "title: 12\ntype: null\nsource: true\nresource: 0x10": {"title": "12", "type": None, "source": "true", "resource": "16"},
+    "title: a\x85b \u2028c # note": {"title": "a\x85b \u2028c"},
+    "updated: soon\nauthored: 2024-03-05T10:00:00+02:00": {"freshness": None, "authored": 1709625600.0},
+    "": {"title": "p", "body": "BODY [[t]]"},
+    "edges:\n  - type: Part_Of\n    target: x\n    weight: 0.5\n  - {target: y}\n  - {type: part-of, target: x}\n  - {type: a}\n  - z\n  - {type: related_to, target: t}\nsources: ['[[s.md|S]]', plain]\npeople: ['[[ann]]']": {
+        "edges": [("Part_Of", "x", 0.5), ("related_to", "y", None), ("related_to", "t", None), ("cites", "s", None), ("mentions", "ann", None)]},
+}
+
+
+def test_headers(spark):
+    texts = [f"---\n{h}\n---\nBODY [[t]]" if h else "---\n---\nBODY [[t]]" for h in HEADERS]
+    df = spark.createDataFrame([(f"d{i}/p.md", t, 1) for i, t in enumerate(texts)] + [(None, "x", 1), ("n.md", None, 1), ("e/.md", "", 1)], "path string, text string, tags int")
+    got = {r["path"]: r for r in markdown.items(df.select("path", "text")).collect()}
+    assert len(got) == len(HEADERS) + 1 and got["e/.md"]["body"] == ""
+    for i, (h, want) in enumerate(HEADERS.items()):
+        row = got[f"d{i}/p.md"].asDict()
+        row["edges"] = [tuple(e) for e in row["edges"]]
+        assert {k: row[k] for k in want} == want, h
+
+
+def test_resolved_items_and_tree(spark):
+    pages = [("a/one.md", "[[two]] [[uno]] [[c/x]]"), ("b/two.md", "---\naliases: [uno, ' dos.md ']\n---\n"), ("in_x/three.md", "[[dos]] [[three]]"), ("dist/four.md", "[[two]]"), (".g/x.md", "y"), ("top.md", ""), ("a/pic.png", "")]
+    df = spark.createDataFrame(pages, "path string, text string")
+    got = {r["id"]: [(e["type"], e["target"]) for e in r["edges"]] for r in markdown.resolved_items(df).collect()}
+    assert got["a/one"] == [("related-to", "b/two"), ("related-to", "b/two"), ("related-to", "c/x")] and got["in_x/three"] == [("related-to", "b/two"), ("related-to", "in_x/three")]
+    assert "dist/four" not in got and got["top"] == []
+    level = {tuple(r) for r in markdown.tree(df).collect()}
+    assert level == {("folder", "a", "a", "wiki"), ("folder", "b", "b", "wiki"), ("folder", "in_x", "in_x", "incoming"), ("folder", "dist", "dist", "wiki"), ("page", "top.md", "top.md", None)}
+    assert [tuple(r) for r in markdown.tree(df, "a/").collect()] == [("page", "one.md", "a/one.md", None)]
+    assert [r["path"] for r in markdown.scan_first(df, 2).collect()] == [".g/x.md", "a/one.md"]
+
+
+@pytest.mark.parametrize("rows", [2, 1_000_000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join(spark, rows, how):
+    a = spark.createDataFrame([("hot", i) for i in range(9)] + [("hot", 1)] * 3 + [(None, i) for i in range(5)] + [("x", 1), ("y", 2)], "k string, v int")
+    b = spark.createDataFrame([("hot", "h"), ("x", "x"), (None, "n"), ("z", "z")], "k string, w string")
+    assert sorted(map(str, spread_join(a, b, "k", how, rows).collect())) == sorted(map(str, a.join(b, "k", how).collect()))
 
 
 def test_resolution(spark):
