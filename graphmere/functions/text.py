@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,7 @@ def _folding() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _folding()
+# The patterns below for tokens, escapes, slugs and links.
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -44,11 +45,38 @@ def match_expression(text: Column) -> Column:
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
 
 
-def sanitize(text: Column, limit: int = 100_000) -> Column:
-    """Terminal escapes and control characters removed, line ends unified, length capped."""
+def ascii_terms(text: Column) -> Column:
+    """Lower-case ASCII words of two characters and more, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
+
+
+def any_of(text: Column) -> Column:
+    """The same as an expression of a text-search engine that joins terms with |; empty if there are none."""
+    return F.array_join(ascii_terms(text), " | ")
+
+
+def optional_text(text: Column) -> Column:
+    """Text, null if it is empty."""
+    return F.nullif(text, F.lit(""))
+
+
+def listed(text: Column) -> Column:
+    """The parts between commas, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+
+
+def counted(value: Column, default: int, most: int) -> Column:
+    """A positive number up to ``most``, else ``default``."""
+    n = value.try_cast("double")
+    return F.when(n > 0, F.least(n, F.lit(float(most)))).otherwise(float(default)).cast("int")
+
+
+def sanitize(text: Column, limit: int | None = None) -> Column:
+    """Terminal escapes and control characters removed, line ends unified; cut to ``limit`` characters if given."""
     s = F.regexp_replace(text, r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(\x07|\x1b\\)|\x1b", "")
     s = F.regexp_replace(s, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    return F.substring(F.regexp_replace(s, r"\r\n?", "\n"), 1, limit)
+    s = F.regexp_replace(s, r"\r\n?", "\n")
+    return s if limit is None else F.substring(s, 1, limit)
 
 
 def slug(title: Column) -> Column:
@@ -63,6 +91,25 @@ def memory_id(title: Column, body: Column, folder: str = "out_memory", width: in
     return F.concat(F.lit(folder + "/"), slug(title), F.lit("-"), digest)
 
 
+def memory_ids(new: DataFrame, existing: DataFrame, folder: str = "out_memory") -> DataFrame:
+    """(title, body, id) of new memories (title, body), each distinct one once.
+
+    An id ends in six digits of the content's hash, or in more, by steps of four up to all 64, as long as it is
+    taken: by a memory of another content in ``existing`` (id, title, body), or by one in ``new`` whose hash is lower.
+    """
+    widths = [*range(6, 64, 4), 64]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    digest = lambda: F.sha2(F.concat(text("title"), F.lit("\n"), text("body")), 256)
+    rows = new.select("title", "body").distinct().withColumn("h", digest())
+    each = rows.select("h", slug(text("title")).alias("s"), F.explode(F.array(*map(F.lit, widths))).alias("w"))
+    each = each.select("h", "w", F.concat(F.lit(folder + "/"), "s", F.lit("-"), F.substring("h", F.lit(1), F.col("w"))).alias("id"))
+    taken = existing.select("id", digest().alias("t"))
+    each = each.join(taken, "id", "left").groupBy("id", "h", "w").agg(F.max((F.col("t") != F.col("h")).cast("int")).alias("x"))
+    first = each.groupBy("id").agg(F.min("h").alias("first"))
+    free = each.join(first, "id").filter("coalesce(x, 0) = 0 and h = first")
+    return rows.join(free.groupBy("h").agg(F.min_by("id", "w").alias("id")), "h").select("title", "body", "id")
+
+
 def relation(kind: Column) -> Column:
     """Comparable spelling of a relation type."""
     return F.translate(F.lower(F.trim(kind)), "_", "-")

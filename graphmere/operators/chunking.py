@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, OVERLAP, MOST = 1800, 200, 256
+SIZE, OVERLAP = 1800, 200
 
 
-def window_bounds(text: Column, size: int = SIZE, overlap: int = OVERLAP, most: int = MOST) -> Column:
-    """Array of (lo, hi): windows of at most ``size`` characters that overlap.
+def window_bounds(text: str, size: int, overlap: int, most: int | None = None) -> list[tuple[int, int]]:
+    """(lo, hi) of the windows: at most ``size`` characters that overlap with the next.
 
     A cut goes back to the last blank if this leaves more than half a window; the next start goes on past a
-    partial word. The feature itself ends after ``most`` windows. The fold runs in the JVM.
+    partial word. ``most`` ends the list after so many windows.
     """
-    length = F.length(text)
-    zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        piece = F.substring(text, acc.start + 1, size)
-        blank = F.length(F.regexp_replace(piece, r"[^ \n\t]*\z", "")) - 1
-        cut = F.when(acc.start + size >= length, length).when(blank > size / 2, acc.start + blank).otherwise(acc.start + size)
+    out, start, length = [], 0, len(text)
+    while most is None or len(out) < most:
+        cut = start + size
+        if cut >= length:
+            out.append((start, length))
+            break
+        blank = max(text.rfind(c, start, cut) for c in " \n\t")
+        if blank - start > size / 2:
+            cut = blank
+        out.append((start, cut))
         near = cut - overlap
-        tail = F.substring(text, near + 1, overlap)
-        word = F.length(F.regexp_extract(tail, r"(?U)^\S*", 0))
-        inside = (near > 0) & ~F.substring(text, near, 1).rlike(r"(?U)\s")
-        nxt = F.when(inside & (word < F.length(tail)), near + word + 1).otherwise(near)
-        new = F.struct(nxt.cast("int").alias("start"), (cut >= length).alias("done"), F.concat(acc.out, F.array(F.struct(acc.start.cast("int").alias("lo"), cut.cast("int").alias("hi")))).alias("out"))
-        return F.when(acc.done, acc).otherwise(new)
-
-    rounds = F.least(F.lit(most), F.ceil(length / (size // 2 - overlap)) + 1).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), rounds), zero, step, lambda a: a.out)
-
-
-def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
-    """(id, ord, lo, hi, text) of title, line feed and body; null counts as empty."""
-    t = pages.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("t"))
-    rows = t.select("id", "t", F.posexplode(window_bounds(F.col("t"), size, overlap, most)).alias("ord", "w"))
-    return rows.select("id", "ord", "w.lo", "w.hi", F.substring("t", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo")).alias("text"))
+        if near > 0 and not text[near - 1].isspace():
+            after = next((i for i in range(near, cut) if text[i].isspace()), None)
+            near = near if after is None else after + 1
+        start = near
+    return out
+
+
+def _windows(size: int, overlap: int, most: int | None, with_text: bool):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, ords, los, his, texts = [], [], [], [], []
+            for ident, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, (lo, hi) in enumerate(window_bounds(t, size, overlap, most)):
+                    ids.append(ident), ords.append(i), los.append(lo), his.append(hi)
+                    if with_text:
+                        texts.append(t[lo:hi])
+            columns = [pa.array(ids, pa.string()), *(pa.array(x, pa.int32()) for x in (ords, los, his))]
+            names = ["id", "ord", "lo", "hi"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names=names + ["text"] * with_text)
+
+    return run
+
+
+def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, most: int | None = None, with_text: bool = True) -> DataFrame:
+    """(id, ord, lo, hi, text) of title, line feed and body; null counts as empty.
+
+    Whole texts, unless ``most`` limits the windows of one. Pages are cut where they are, in Arrow batches.
+    """
+    t = pages.select(F.col("id").cast("string").alias("id"), F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("t"))
+    return t.mapInArrow(_windows(size, overlap, most, with_text), "id string, ord int, lo int, hi int" + ", text string" * with_text)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphmere.functions import ranking as R
 from graphmere.functions import text as T
 from graphmere.operators import retrieval as A
+from graphmere.operators.joins import spread_join
 from graphmere.session import stage
 
 
@@ -20,7 +21,7 @@ def neighbours_similar(chunks: DataFrame, asked: DataFrame, k: int = 8, least: f
     """(qid, id, similarity, rnk): the k pages most like each asked page, by head vectors, itself excluded."""
     heads = stage(head_vectors(chunks))
     vectors = heads.join(asked.select(F.col("id").alias("page_id")), "page_id").select(F.col("page_id").alias("qid"), "v")
-    found = A.vector_scan(heads, vectors, k + 1).join(heads.select("chunk_id", F.col("page_id").alias("id")), "chunk_id").filter("qid != id")
+    found = A.vector_scan(heads, vectors, k + 1, ("page_id",)).withColumnRenamed("page_id", "id").filter("qid != id")
     found = found.withColumn("similarity", F.round("similarity", 9))
     if least is not None:
         found = found.filter(F.col("similarity") >= least)
@@ -39,7 +40,8 @@ def neighbour_edges(edges: DataFrame, pages: DataFrame, asked: DataFrame) -> Dat
 def typed_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Edges of which both ends exist, with the family of their type."""
     ids = pages.select("id")
-    kept = edges.join(ids, edges["source"] == ids["id"], "left_semi").join(ids, edges["target"] == ids["id"], "left_semi")
+    kept = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(*edges.columns)
+    kept = spread_join(kept, ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
     return kept.withColumn("family", R.family(F.col("type")))
 
 
@@ -104,14 +106,32 @@ def communities(typed: DataFrame, rounds: int | None = None, similar: DataFrame
     return labels.join(sizes.join(places, "size"), "label").select("id", "community", "size", "place")
 
 
-def bucketed_hash(lines: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """One row (digest, n): a hash of a set of ``line`` strings, whatever their order.
+def set_hash(lines: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """One row (digest, n): a hash of a bag of ``line`` strings, whatever their order.
 
-    Lines are hashed, put in order within 4096 buckets by their first three digits, and the buckets' hashes are
-    hashed; no task sorts or concatenates all lines.
+    The four 64-bit parts of the lines' hashes are added up modulo 2^64 and the sums are hashed: partial sums are
+    combined before they are shuffled, and no task sees or sorts all lines. Null lines count as empty.
     """
-    h = lines.select(F.sha2("line", 256).alias("h"))
-    buckets = h.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.count("*").alias("n"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x.h), ",")
-    digest = F.sha2(whole, 256) if algorithm == "sha256" else F.md5(whole)
-    return buckets.agg(digest.alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    h = lines.select(F.sha2(F.coalesce("line", F.lit("")), 256).alias("h"))
+    part = lambda i: F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = h.agg(*(F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)), F.count("*").alias("n"))
+    whole = F.concat_ws(",", *(F.pmod(F.col(f"s{i}"), F.lit(str(2**64)).cast("decimal(38,0)")).cast("string") for i in range(4)))
+    return sums.select((F.sha2(whole, 256) if algorithm == "sha256" else F.md5(whole)).alias("digest"), "n")
+
+
+def signature(live: DataFrame, k: int = 6, cutoff: float = 0.8) -> str:
+    """What a stored graph was made from: number and content of the pages (id, content_hash), and its parameters."""
+    row = set_hash(live.select(F.concat_ws(",", "id", "content_hash").alias("line")), "md5").first()
+    return f"graph:{row['n']}:{row['digest']}:sim{k}@{cutoff:g}"
+
+
+def graph_tables(edges: DataFrame, pages: DataFrame, chunks: DataFrame, k: int = 6, cutoff: float = 0.8) -> dict[str, DataFrame]:
+    """The whole graph as tables: nodes (id, label, type, trust, degree, community, place) and links (a, b, type, family, weight)."""
+    typed = stage(typed_edges(edges, pages))
+    similar = stage(similarity_edges(chunks.join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi"), typed, pages.select("id"), k, cutoff))
+    found = communities(typed, similar=similar, ids=pages)
+    nodes = pages.select("id", T.label(F.col("title"), F.col("id")).alias("label"), "type", "trust")
+    nodes = nodes.join(found.select("id", "community", "place"), "id", "left").join(degree(typed), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    links = typed.select(F.col("source").alias("a"), F.col("target").alias("b"), "type", "family", "weight")
+    near = similar.select("a", "b", F.lit("similar-to").alias("type"), F.lit("similarity").alias("family"), "weight")
+    return {"nodes": nodes, "links": links.unionByName(near)}

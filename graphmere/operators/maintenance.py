@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-META = ("trust", "volatile", "description", "resource", "source")
+# What may change of a page without a change of its content.
+META = ("trust", "volatile", "freshness", "description", "resource", "source", "authored")
 
 
 def edges_json(edges: Column) -> Column:
@@ -37,11 +38,14 @@ def classify(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def metadata_changes(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(id, fields, write_actor): what differs besides content; an unknown actor keeps the one that is stored."""
+    """(id, fields, write_actor): what differs besides content; an unknown actor keeps the one that is stored.
+
+    Both sides have trust and volatile as they are stored, with defaults filled in, and times in seconds.
+    """
     a, b = incoming.alias("a"), existing.alias("b")
-    differs = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in META]))
     actor = F.coalesce(F.nullif(F.col("a.write_actor"), F.lit("unknown")), F.col("b.write_actor"))
-    return a.join(b, F.col("a.id") == F.col("b.id")).select(F.col("a.id").alias("id"), F.array_join(differs, ",").alias("fields"), actor.alias("write_actor")).filter("fields != ''")
+    differs = [F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in META] + [F.when(~actor.eqNullSafe(F.col("b.write_actor")), "write_actor")]
+    return a.join(b, F.col("a.id") == F.col("b.id")).select(F.col("a.id").alias("id"), F.array_join(F.array_compact(F.array(*differs)), ",").alias("fields"), actor.alias("write_actor")).filter("fields != ''")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -72,9 +76,14 @@ def prune(table: DataFrame, keep: DataFrame, owner: str) -> DataFrame:
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    """The first written of edges that are equal in source, type as spelled, and target."""
-    w = Window.partitionBy("source", "type", "target").orderBy("edge_id")
-    return edges.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i")
+    """The first written of edges that are equal in source, type as spelled, and target; only keys are shuffled."""
+    first = edges.groupBy("source", "type", "target").agg(F.min("edge_id").alias("edge_id"))
+    return edges.join(first.select("edge_id"), "edge_id", "left_semi")
+
+
+def recall_events(rows: DataFrame, at: Column | None = None) -> DataFrame:
+    """(memory, qid, rank, ts): recalled rows as events to append, for :func:`recall_stats`."""
+    return rows.select(F.col("id").alias("memory"), "qid", "rank", (F.current_timestamp() if at is None else at).alias("ts"))
 
 
 def recall_stats(events: DataFrame) -> DataFrame:

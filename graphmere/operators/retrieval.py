@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmere.functions import text as T
+from graphmere.operators.joins import spread_join
 from graphmere.session import sized, stage
 
 # BM25 and its field weights, fusion constants, limits of the graph walk.
@@ -25,6 +26,15 @@ def list_length(k: int) -> int:
     return max(4 * k, 20)
 
 
+def asked_for(k, default: int = 5, most: int = 50) -> int:
+    """How many results: a positive number up to ``most``, else the default."""
+    try:
+        k = float(k)
+    except (TypeError, ValueError):
+        return default
+    return int(min(k, most)) or default if k > 0 else default
+
+
 def ranked(df: DataFrame, limit: int, *order) -> DataFrame:
     """The first ``limit`` rows of each query with their zero-based rank ``rnk``."""
     w = Window.partitionBy("qid").orderBy(*order)
@@ -37,19 +47,25 @@ def field_tokens(pages: DataFrame) -> DataFrame:
     return t.withColumn("dl", F.size("title") + F.size("description") + F.size("body"))
 
 
-def postings(pages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """The inverted index (term, id, wtf, dl) with field-weighted frequencies; only of ``terms`` if these are given."""
-    t = field_tokens(pages)
-    parts = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f).alias("tokens")) for f, w in FIELDS.items()])
-    flat = t.select("id", "dl", F.explode(parts).alias("p")).select("id", "dl", "p.w", F.explode("p.tokens").alias("term"))
-    if terms is not None:
-        flat = flat.join(terms, "term", "left_semi")
-    return flat.groupBy("term", "id", "dl").agg(F.sum("w").alias("wtf"))
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """The inverted index (term, id, dl, tf_title, tf_description, tf_body) of :func:`field_tokens`."""
+    parts = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("tokens")) for i, f in enumerate(FIELDS)])
+    flat = tokens.select("id", "dl", F.explode(parts).alias("p")).select("id", "dl", "p.f", F.explode("p.tokens").alias("term"))
+    return flat.groupBy("term", "id", "dl").agg(*(F.count_if(F.col("f") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(FIELDS)))
+
+
+def postings(pages: DataFrame) -> DataFrame:
+    return postings_of(field_tokens(pages))
+
 
+def weighted(postings: DataFrame) -> DataFrame:
+    """(term, id, dl, wtf) with field-weighted frequencies."""
+    return postings.select("term", "id", "dl", sum((F.col(f"tf_{f}") * w for f, w in FIELDS.items()), F.lit(0.0)).alias("wtf"))
 
-def corpus_stats(pages: DataFrame) -> DataFrame:
-    """One row (n, avgdl)."""
-    return field_tokens(pages).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of (id, dl)."""
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -57,53 +73,99 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(T.query_tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score): every page that has a term of the query."""
+def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, score): every page that has a term of the query.
+
+    ``index`` has the postings and ``lengths`` the lengths of all pages. Of a stored index only the terms of the
+    queries are used; no text is read.
+    """
     terms = stage(query_terms(queries))
-    index = stage(postings(pages, sized(stage(terms.select("term").distinct()), SMALL_ROWS)))
-    stats = corpus_stats(pages).first()
+    wanted = stage(terms.select("term").distinct())
+    used = stage(weighted(index.join(sized(wanted, SMALL_ROWS), "term", "left_semi")))
+    stats = corpus_stats(lengths).first()
     n, avgdl = float(stats["n"]), float(stats["avgdl"] or 1.0)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    df = used.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.join(df, "term").select("qid", "term", (F.col("times") * F.when(raw > 0, raw).otherwise(LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return index.join(sized(stage(terms), SMALL_ROWS), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    return used.join(sized(stage(terms), SMALL_ROWS), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
-def text_arm(pages: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def text_arm(index: DataFrame, lengths: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(qid, id, score, rnk)."""
-    scored = bm25(pages, queries).withColumn("score", F.round("score", 9))
+    scored = bm25(index, lengths, queries).withColumn("score", F.round("score", 9))
     return ranked(scored, n, F.desc("score"), "id")
 
 
-def _best_in_batch(ids: list, matrix, most: int):
+def rank_arm(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(qid, id, score, rnk) by the other ranking: the sum over a term's places of weight / place^2, averaged over
+    the query's terms. A title word weighs 1, others 0.1; title words have the first places; 256 places count."""
+    terms = queries.select("qid", F.explode(F.array_distinct(T.ascii_terms(F.col("query")))).alias("term"))
+    size = terms.groupBy("qid").agg(F.count("*").alias("size"))
+    squares = lambda k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + 1 / (j * j))
+    head, rest = F.least(F.col("tf_title"), F.lit(256)), F.least(F.col("tf_title") + F.col("tf_description") + F.col("tf_body"), F.lit(256))
+    used = index.join(sized(stage(terms.select("term").distinct()), SMALL_ROWS), "term", "left_semi")
+    used = used.select("term", "id", ((squares(head) + 0.1 * (squares(rest) - squares(head))) / 1.64493406685).alias("w"))
+    scored = used.join(sized(stage(terms), SMALL_ROWS), "term").groupBy("qid", "id").agg(F.sum("w").alias("w")).join(size, "qid")
+    return ranked(scored.select("qid", "id", F.round(F.col("w") / F.col("size"), 9).alias("score")), n, F.desc("score"), "id")
+
+
+def _best_of(matrix, ids: list, most: int):
+    """The best of one partition's rows (v, *columns) for each query vector, kept over all its batches."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        q = matrix.value
+        q, kept, best = matrix.value, [], None
         for batch in batches:
             rows = batch.num_rows
             if not rows:
                 continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-            take = min(most, rows)
-            chunk = batch.column(0).to_numpy()
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            edge = np.full(len(ids), -np.inf) if best is None else best[:, 0]
+            found_q, found_r, found_s = [], [], []
             for a in range(0, len(ids), 256):
                 s = q[a : a + 256] @ v.T
-                # All that tie with the last one stay in, so that ties are broken after all batches.
-                edge = np.partition(s, rows - take, axis=1)[:, rows - take : rows - take + 1] - 1e-9
-                i, j = np.nonzero(s >= edge)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a + x] for x in i], pa.string()), pa.array(chunk[j]), pa.array(s[i, j])], names=["qid", "chunk_id", "similarity"])
+                take = min(most, rows)
+                own = np.partition(s, rows - take, axis=1)[:, rows - take]
+                # Rows below the partition's best so far, or below the batch's own, can't be among the best.
+                i, j = np.nonzero(s >= np.maximum(edge[a : a + 256], own)[:, None] - 1e-9)
+                found_q.append(i + a), found_r.append(j), found_s.append(s[i, j])
+            i, j, s = (np.concatenate(x) for x in (found_q, found_r, found_s))
+            kept.append((i, s, batch.select(range(1, batch.num_columns)).take(pa.array(j))))
+            best = np.full((len(ids), most), -np.inf) if best is None else best
+            order = np.lexsort((-s, i))
+            place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+            few = order[place < most]
+            fresh = np.full((len(ids), most), -np.inf)
+            fresh[i[few], place[place < most]] = s[few]
+            best = np.partition(np.concatenate([best, fresh], 1), most, axis=1)[:, most:]
+            best.sort(1)
+            if sum(len(x[0]) for x in kept) > 4 * most * len(ids):
+                kept = [_above(x, best[:, 0]) for x in kept]
+        for i, s, rows in (_above(x, best[:, 0]) for x in kept):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array(s), *rows.columns], names=["qid", "similarity", *rows.schema.names])
 
     return run
 
 
-def vector_scan(chunks: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """(qid, chunk_id, similarity): exact; for each query at least its ``most`` best chunks of each batch.
+def _above(found: tuple, edge):
+    import pyarrow as pa
+
+    i, s, rows = found
+    fine = s >= edge[i] - 1e-9
+    return i[fine], s[fine], rows.filter(pa.array(fine))
+
+
+def vector_scan(chunks: DataFrame, vectors: DataFrame, most: int, carry: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """(qid, similarity, *carry): exact; for each query at least its ``most`` best chunks of each partition.
 
-    A stated query set against all chunks, in blocks of at most BLOCK query vectors; each is multiplied with
-    the Arrow batches of the chunks where these are.
+    A stated query set against all chunks, in blocks of at most BLOCK query vectors; each is multiplied with the
+    Arrow batches of the chunks where these are, and a partition keeps its best ``most``, and what ties with the last
+    one, over all batches. ``carry`` are the columns of ``chunks`` to come along. The result of each block is
+    staged, so that one block at a time is held by the executors.
     """
     import numpy as np
 
@@ -111,25 +173,33 @@ def vector_scan(chunks: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     vectors = stage(vectors.select("qid", "v"))
     count = -(-vectors.count() // BLOCK)
     block = vectors.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, count))))
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in carry)
     out = None
     for b in range(count):
         rows = block.filter(F.col("block") == b).collect()
         if not rows:
             continue
         matrix = spark.sparkContext.broadcast(np.array([r["v"] for r in rows], dtype=np.float64))
-        part = chunks.select("chunk_id", "v").mapInArrow(_best_in_batch([r["qid"] for r in rows], matrix, most), "qid string, chunk_id long, similarity double")
+        part = chunks.select("v", *carry).mapInArrow(_best_of(matrix, [r["qid"] for r in rows], most), f"qid string, similarity double, {kinds}")
+        if count > 1:
+            part = stage(part)
+            matrix.destroy()
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], "qid string, chunk_id long, similarity double") if out is None else out
+    return spark.createDataFrame([], f"qid string, similarity double, {kinds}") if out is None else out
 
 
-def vector_arm(chunks: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """(qid, id, similarity, rnk): the first 3n chunks by (distance, page, ord), then the first n pages of these."""
-    best = vector_scan(chunks, vectors, 3 * n).join(chunks.select("chunk_id", "page_id", "ord"), "chunk_id")
-    best = best.withColumn("similarity", F.round("similarity", 9))
+def best_chunks(chunks: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """(qid, id, ord, similarity, rnk): of the first 3n chunks by (distance, page, ord) the best of each page, the first n pages."""
+    best = vector_scan(chunks, vectors, 3 * n, ("page_id", "ord")).withColumn("similarity", F.round("similarity", 9))
     top = ranked(best, 3 * n, F.desc("similarity"), "page_id", "ord")
     page = Window.partitionBy("qid", "page_id").orderBy("rnk")
-    first = top.withColumn("i", F.row_number().over(page)).filter("i = 1").withColumnRenamed("rnk", "place").drop("i", "chunk_id", "ord")
-    return ranked(first, n, "place").select("qid", F.col("page_id").alias("id"), "similarity", "rnk")
+    first = top.withColumn("i", F.row_number().over(page)).filter("i = 1").withColumnRenamed("rnk", "place")
+    return ranked(first, n, "place").select("qid", F.col("page_id").alias("id"), "ord", "similarity", "rnk")
+
+
+def vector_arm(chunks: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """(qid, id, similarity, rnk)."""
+    return best_chunks(chunks, vectors, n).drop("ord")
 
 
 def seeds(text: DataFrame, vector: DataFrame, k: int) -> DataFrame:
@@ -147,8 +217,9 @@ def degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _walk(edges: DataFrame, seed: DataFrame, here: str, there: str, ids: DataFrame, cap: int) -> DataFrame:
     """Distinct existing neighbours of each seed, the first ``cap`` by id."""
-    pairs = edges.select(F.col(here).alias("seed"), F.col(there).alias("cand")).distinct()
-    pairs = pairs.join(seed.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi").join(ids.select(F.col("id").alias("cand")), "cand", "left_semi")
+    wanted = sized(stage(seed.select(F.col("id").alias("seed")).distinct()), SMALL_ROWS)
+    pairs = edges.select(F.col(here).alias("seed"), F.col(there).alias("cand")).join(wanted, "seed", "left_semi").distinct()
+    pairs = spread_join(pairs, ids.select(F.col("id").alias("cand")), "cand", "left_semi")
     w = Window.partitionBy("seed").orderBy("cand")
     return pairs.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= cap).drop("i")
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmere.functions import ranking as R
 from graphmere.functions import text as T
-from graphmere.operators import chunking, graph, maintenance, orphans, pages, recall, retrieval, times
+from graphmere.operators import chunking, graph, index, lifecycle, maintenance, orphans, pages, recall, retrieval, times
+from graphmere.operators.embedding import hashed_words
 from graphmere.plans import sql as S
-from graphmere.session import stage, table
+from graphmere.session import scratch, stage, stage_table, table
 from graphmere.sources import markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,16 +69,34 @@ def p4_counts(spark, d):
 # of neighbourhoods are the pages whose row_no is.
 
 
+def _tables(spark, d):
+    """Pages, edges and chunks as they stand now, from the given tables."""
+    return pages.current_pages(table(spark, d, "nodes"), table(spark, d, "entities")), pages.current_edges(table(spark, d, "edges")), pages.current_chunks(table(spark, d, "chunks"))
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d):
+    """The stored index of the given tables, built by the first query of a session that needs it and then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        root = scratch(spark, "index")
+        index.build(spark, root, *_tables(spark, d), "given")
+        _BUILT[key] = root
+    return index.open_index(spark, _BUILT[key])
+
+
 def _pages(spark, d):
-    return pages.current_pages(table(spark, d, "nodes"), table(spark, d, "entities"))
+    return stored_index(spark, d).nodes
 
 
 def _edges(spark, d):
-    return pages.current_edges(table(spark, d, "edges"))
+    return stored_index(spark, d).edges
 
 
 def _chunks(spark, d):
-    return pages.current_chunks(table(spark, d, "chunks"))
+    return stored_index(spark, d).chunks
 
 
 def _asked(spark, d):
@@ -95,7 +114,8 @@ N = retrieval.list_length(5)
 
 
 def _text_arm(spark, d):
-    return retrieval.text_arm(_pages(spark, d), _asked(spark, d), N)
+    ix = stored_index(spark, d)
+    return retrieval.text_arm(ix.postings, ix.lengths, _asked(spark, d), N)
 
 
 def _vector_arm(spark, d):
@@ -107,11 +127,7 @@ def _seeds(spark, d):
 
 
 def _fused(spark, d, k=retrieval.RRF_K):
-    return retrieval_candidates(spark, d, rrf_k=k)
-
-
-def retrieval_candidates(spark, d, **more):
-    return recall.candidates(_pages(spark, d), _chunks(spark, d), _edges(spark, d), _asked(spark, d), 5, **more)
+    return recall.candidates(stored_index(spark, d), _asked(spark, d), 5, rrf_k=k)
 
 
 @query(S.chain(*S.TO_TERMS) + "SELECT qid, term, times FROM qterms")
@@ -127,12 +143,12 @@ def fts_tokenize(spark, d):
 
 @query(S.chain(*S.TO_TERMS, S.POSTINGS) + "SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM corpus")
 def fts_corpus_stats(spark, d):
-    return retrieval.corpus_stats(_pages(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return retrieval.corpus_stats(stored_index(spark, d).lengths).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(S.chain(S.LAST, S.POSTINGS.replace("WHERE term IN (SELECT term FROM qterms) ", "")) + "SELECT term, count(*) AS pages, round(sum(wtf), 3) AS weight FROM post GROUP BY term")
 def fts_postings(spark, d):
-    return retrieval.postings(_pages(spark, d)).groupBy("term").agg(F.count("*").alias("pages"), F.round(F.sum("wtf"), 3).alias("weight"))
+    return retrieval.weighted(stored_index(spark, d).postings).groupBy("term").agg(F.count("*").alias("pages"), F.round(F.sum("wtf"), 3).alias("weight"))
 
 
 @query(S.chain(*S.TO_FTS) + "SELECT qid, id, round(score, 6) AS score, rnk FROM fts")
@@ -150,13 +166,26 @@ def vec_cosine_topk(spark, d):
     return _vector_arm(spark, d).select("qid", "id", F.round("similarity", 6).alias("similarity"), F.col("rnk").cast("long").alias("rnk"))
 
 
-@query(S.chain(*S.TO_TERMS, S.VEC) + "SELECT qid, page_id AS id, ord::INT AS ord, round(similarity, 4) AS similarity FROM sims QUALIFY row_number() OVER (PARTITION BY qid, page_id ORDER BY similarity DESC, ord) = 1")
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2) AS t FROM documents) SELECT doc_id, array_to_string(t, ' | ') AS q FROM t""")
+def fts_query_any(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.any_of(F.col("text")).alias("q"))
+
+
+@query(S.chain(*S.TO_TERMS, S.POSTINGS) + """, ask AS (SELECT qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: length(x) >= 2))) AS term FROM asked),
+size AS (SELECT qid, count(*) AS size FROM ask GROUP BY 1),
+places AS (SELECT term, id, row_number() OVER (PARTITION BY term, id ORDER BY w DESC) AS j, CASE WHEN w = 10 THEN 1.0 ELSE 0.1 END AS w FROM flat WHERE term IN (SELECT term FROM ask)),
+part AS (SELECT term, id, sum(w / (j * j)) / 1.64493406685 AS w FROM places WHERE j <= 256 GROUP BY ALL),
+ranked AS (SELECT qid, id, round(sum(w) / any_value(size), 9) AS score FROM part JOIN ask USING (term) JOIN size USING (qid) GROUP BY ALL)
+SELECT qid, id, round(score, 6) AS score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rnk FROM ranked) WHERE rnk < 20""")
+def fts_rank_topk(spark, d):
+    out = retrieval.rank_arm(stored_index(spark, d).postings, _asked(spark, d), N)
+    return out.select("qid", "id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(S.chain(*S.TO_TERMS, S.VEC) + ", best AS (SELECT qid, page_id AS id, ord::INT AS ord, round(similarity, 4) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY place) AS i FROM firstv) SELECT qid, id, ord, similarity FROM best WHERE i <= 20")
 def vec_best_chunk_per_page(spark, d):
-    chunks, asked = _chunks(spark, d), _asked(spark, d).filter("v is not null")
-    every = chunks.count()
-    scan = retrieval.vector_scan(chunks, asked, max(1, every)).join(chunks.select("chunk_id", "page_id", "ord"), "chunk_id")
-    best = scan.groupBy("qid", F.col("page_id").alias("id")).agg(F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("ord")).alias("o"))).alias("m"))
-    return best.select("qid", "id", (-F.col("m.o")).cast("int").alias("ord"), F.round("m.s", 4).alias("similarity"))
+    best = retrieval.best_chunks(_chunks(spark, d), _asked(spark, d).filter("v is not null"), N)
+    return best.select("qid", "id", "ord", F.round("similarity", 4).alias("similarity"))
 
 
 @query(S.chain(*S.TO_SEEDS, S.OUT, S.graph_list("SELECT * FROM outs")) + "SELECT qid, id, round(score, 6) AS score, rnk FROM graph")
@@ -217,7 +246,7 @@ def recency_tiebreak(spark, d):
 
 @query(S.chain(*S.TO_FINAL, recursive=True) + S.SHAPE)
 def recall_hybrid(spark, d):
-    return recall.recall(stage(_pages(spark, d)), _chunks(spark, d), _edges(spark, d), _asked(spark, d))
+    return recall.recall(stored_index(spark, d), _asked(spark, d))
 
 
 @query(S.chain(*S.TO_FINAL, f"""
@@ -226,7 +255,7 @@ words AS (SELECT f.qid, f.id, list_distinct(list_filter({S.TOKENS.format(c="quer
 rr AS (SELECT qid, id, len(list_filter(q, lambda x: list_contains(t, x))) / greatest(len(q), 1)::DOUBLE AS rr FROM words)""", recursive=True)
 + "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rr DESC NULLS LAST, place)::INT AS rank FROM final JOIN rr USING (qid, id) WHERE place <= 20 QUALIFY rank <= 5")
 def recall_rerank(spark, d):
-    out = recall.recall(stage(_pages(spark, d)), _chunks(spark, d), _edges(spark, d), _asked(spark, d), reranker=recall.term_overlap)
+    out = recall.recall(stored_index(spark, d), _asked(spark, d), reranker=recall.term_overlap)
     return out.select("qid", "id", "rank")
 
 
@@ -290,17 +319,17 @@ def graph_communities(spark, d):
     return graph.communities(_typed(spark, d), similar=_similar(spark, d), ids=_pages(spark, d))
 
 
-def _bucketed(lines: str, last: str) -> str:
-    return f""", h AS (SELECT sha256(line) AS h FROM ({lines})),
-b AS (SELECT substr(h, 1, 3) AS b, sha256(array_to_string(list(h ORDER BY h), ',')) AS x, count(*) AS n FROM h GROUP BY 1)
-SELECT {last}(array_to_string(list(x ORDER BY b), ',')) AS digest, coalesce(sum(n), 0)::BIGINT AS n FROM b"""
+def _set_hash(lines: str, last: str) -> str:
+    part = lambda i: f"(coalesce(sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT), 0) % 18446744073709551616)::VARCHAR"
+    return f""", h AS (SELECT sha256(coalesce(line, '')) AS h FROM ({lines})),
+b AS (SELECT concat_ws(',', {", ".join(map(part, range(4)))}) AS x, count(*) AS n FROM h) {last} FROM b"""
 
 
-@query(S.chain(S.LAST) + _bucketed("SELECT id || ',' || content_hash AS line FROM live", "md5"))
+@query(S.chain(S.LAST) + _set_hash("SELECT concat_ws(',', id, content_hash) AS line FROM live", "SELECT md5(x) AS digest, n"))
 def graph_fingerprint(spark, d):
     nodes = table(spark, d, "nodes")
     live = pages.current_pages(nodes).select("id").join(_last_rows(nodes), "id")
-    return graph.bucketed_hash(live.select(F.concat_ws(",", "id", "content_hash").alias("line")), "md5")
+    return graph.set_hash(live.select(F.concat_ws(",", "id", "content_hash").alias("line")), "md5")
 
 
 def _last_rows(nodes):
@@ -308,11 +337,12 @@ def _last_rows(nodes):
     return nodes.join(last.select("row_no"), "row_no", "left_semi").select("id", "content_hash", "row_no", F.col("removed_at").isNull().alias("live"))
 
 
-@query(S.chain(S.LAST) + _bucketed("SELECT to_json([coalesce(path, id || '.md'), content_hash, trust])::VARCHAR AS line FROM live", "sha256"))
+@query(S.chain(S.LAST) + _set_hash(r"""SELECT to_json([nfc_normalize(regexp_replace(replace(coalesce(path, id || '.md'), '\', '/'), '^\./', '')), content_hash, trust, source, floor(authored * 1000000)::BIGINT::VARCHAR])::VARCHAR AS line FROM live""",
+"SELECT 'v1:' || sha256(concat_ws(chr(10), sha256(x), 'all', 'headers-links/2', 'hashed-words:64:trunc=2000:chunk1800o200', '3')) AS generation"))
 def generation_hash(spark, d):
     nodes = table(spark, d, "nodes")
-    rows = pages.current_pages(nodes).select("id", "path", "trust").join(_last_rows(nodes), "id")
-    return graph.bucketed_hash(rows.select(F.to_json(F.array("path", "content_hash", "trust")).alias("line")))
+    rows = pages.current_pages(nodes).join(_last_rows(nodes).select("id", "content_hash"), "id")
+    return spark.range(1).select(F.lit(index.generation(rows, hashed_words().signature())).alias("generation"))
 
 
 # Ingest and maintenance.
@@ -380,9 +410,9 @@ _NEXT = r"""CASE WHEN hi > 200 AND NOT regexp_matches(substr(t, hi - 200, 1), '[
 @query(S.chain(S.LAST, f"""
 texts AS (SELECT id, coalesce(title, '') || chr(10) || coalesce(body, '') AS t FROM pages),
 w AS (SELECT id, t, 0 AS ord, 0::BIGINT AS lo, ({_window("0")})::BIGINT AS hi FROM texts
-  UNION ALL SELECT id, t, ord + 1, nxt, ({_window("nxt")})::BIGINT FROM (SELECT *, ({_NEXT})::BIGINT AS nxt FROM w WHERE hi < length(t) AND ord < 255))""", recursive=True) + "SELECT id, ord::INT AS ord, lo::INT AS lo, hi::INT AS hi FROM w")
+  UNION ALL SELECT id, t, ord + 1, nxt, ({_window("nxt")})::BIGINT FROM (SELECT *, ({_NEXT})::BIGINT AS nxt FROM w WHERE hi < length(t)))""", recursive=True) + "SELECT id, ord::INT AS ord, lo::INT AS lo, hi::INT AS hi FROM w")
 def chunk_text(spark, d):
-    return chunking.chunk_pages(_pages(spark, d)).select("id", "ord", "lo", "hi")
+    return chunking.chunk_pages(_pages(spark, d), with_text=False)
 
 
 _HASH = "substr(sha256(coalesce(title, '') || chr(0) || coalesce(body, '') || chr(0) || {e}), 1, 16)"
@@ -404,8 +434,8 @@ def memory_id(spark, d):
     return items.select("item_seq", T.slug(F.col("title")).alias("slug"), T.memory_id(F.col("title"), F.col("body")).alias("memory_id"))
 
 
-@query(r"""SELECT doc_id, md5(s) AS digest, length(s) AS n FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text,
-'\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(\x07|\x1b\\)|\x1b', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n?', chr(10), 'g'), 1, 100000) AS s FROM documents)""")
+@query(r"""SELECT doc_id, md5(s) AS digest, length(s) AS n FROM (SELECT doc_id, (regexp_replace(regexp_replace(regexp_replace(text,
+'\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(\x07|\x1b\\)|\x1b', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n?', chr(10), 'g')) AS s FROM documents)""")
 def sanitize_text(spark, d):
     s = T.sanitize(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.md5(s).alias("digest"), F.length(s).cast("long").alias("n"))
@@ -453,17 +483,85 @@ def _hashed(df, edges):
     return keyed.join(lists, "source", "left").select("id", maintenance.content_hash(F.col("title"), F.col("body"), maintenance.edges_json(F.col("list"))).alias("content_hash"))
 
 
-@query()
+_LISTED = f"""
+given AS (SELECT id, {S.KEY.format(c="id")} AS source, unnest(edges) AS e, generate_subscripts(edges, 1) AS i FROM items),
+typed AS (SELECT source, {S.RELATION.format(c="coalesce(e.type, 'related_to')")} AS type, {S.KEY.format(c="e.target")} AS target, coalesce(e.weight, 1.0) AS weight, i FROM given),
+once AS (SELECT source, type, target, arg_min(weight, i) AS weight FROM typed WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL),
+lists AS (SELECT source, list({{'type': type, 'target': target, 'weight': weight}} ORDER BY type, target, weight) AS edges FROM once GROUP BY 1),
+kept AS (SELECT source, list({{'type': type, 'target': target, 'weight': weight}} ORDER BY type, target, weight) AS edges FROM links GROUP BY 1),
+a AS (SELECT id, {_HASH.format(e=_JSON)} AS h FROM (SELECT id, title, body, lists.edges FROM items LEFT JOIN lists ON lists.source = {S.KEY.format(c="id")})),
+b AS (SELECT id, {_HASH.format(e=_JSON)} AS h FROM (SELECT id, title, body, kept.edges FROM live LEFT JOIN kept ON kept.source = {S.KEY.format(c="id")}))"""
+
+
+@query(S.chain(S.LAST, _ITEMS, S.EDGES, _LISTED) + "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'absent' WHEN b.id IS NULL THEN 'new' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.id = b.id")
 def upsert_diff_edges(spark, d):
     items = _incoming(spark, d)
     given = items.select("id", F.posexplode("edges").alias("edge_id", "e")).select("edge_id", F.col("id").alias("source"), "e.type", "e.target", "e.weight")
     return maintenance.classify(_hashed(items, given), _hashed(pages.current_pages(table(spark, d, "nodes")), table(spark, d, "edges")))
 
 
-@query(S.chain(S.LAST, _ITEMS) + """, x AS (SELECT a.id, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in maintenance.META) + """], lambda x: x IS NOT NULL), ',') AS fields,
-coalesce(nullif(a.write_actor, 'unknown'), b.write_actor) AS write_actor FROM items a JOIN live b ON a.id = b.id) SELECT * FROM x WHERE fields <> ''""")
+def _timed(spark, d):
+    """The latest items as they are stored: defaults filled in, written times in seconds."""
+    items = _incoming(spark, d)
+    t = times.normalise_times(items, table(spark, d, "actors"))
+    at = lambda f: (F.max(F.when(F.col("field") == f, F.col("utc_us"))) / 1e6).alias(f)
+    found = t.groupBy("item_seq").agg(at("authored"), at("freshness"))
+    return items.drop("authored", "freshness").join(found, "item_seq", "left").withColumns({"trust": F.coalesce("trust", F.lit("untrusted")), "volatile": F.coalesce("volatile", F.lit(False))})
+
+
+_TIMED = """
+timed AS (SELECT i.id, i.title, i.body, i.edges, coalesce(i.trust, 'untrusted') AS trust, coalesce(i.volatile, FALSE) AS volatile, f.utc_us / 1e6 AS freshness, i.description, i.resource, i.source, w.utc_us / 1e6 AS authored, i.write_actor
+  FROM items i LEFT JOIN instants f ON f.item_seq = i.item_seq AND f.field = 'freshness' LEFT JOIN instants w ON w.item_seq = i.item_seq AND w.field = 'authored')"""
+
+
+@query(S.chain(S.LAST, _ITEMS, S.WRITTEN, _TIMED) + """, x AS (SELECT a.id, concat_ws(',', CASE WHEN a.trust IS DISTINCT FROM b.trust THEN 'trust' END, CASE WHEN a.volatile IS DISTINCT FROM b.volatile THEN 'volatile' END,
+CASE WHEN a.freshness IS DISTINCT FROM b.freshness THEN 'freshness' END, CASE WHEN a.description IS DISTINCT FROM b.description THEN 'description' END, CASE WHEN a.resource IS DISTINCT FROM b.resource THEN 'resource' END,
+CASE WHEN a.source IS DISTINCT FROM b.source THEN 'source' END, CASE WHEN a.authored IS DISTINCT FROM b.authored THEN 'authored' END,
+CASE WHEN coalesce(nullif(a.write_actor, 'unknown'), b.write_actor) IS DISTINCT FROM b.write_actor THEN 'write_actor' END) AS fields, coalesce(nullif(a.write_actor, 'unknown'), b.write_actor) AS write_actor FROM timed a JOIN live b ON a.id = b.id) SELECT * FROM x WHERE fields <> ''""")
 def metadata_sync(spark, d):
-    return maintenance.metadata_changes(_incoming(spark, d), pages.current_pages(table(spark, d, "nodes")))
+    return maintenance.metadata_changes(_timed(spark, d), pages.current_pages(table(spark, d, "nodes")))
+
+
+_RAW = "list_filter(coalesce(edges, []), lambda e: coalesce(e.target, '') <> '')"
+
+
+@query(S.chain(S.LAST, _ITEMS, S.EDGES, S.WRITTEN, _TIMED) + f""",
+kept AS (SELECT source, list({{'type': type, 'target': target, 'weight': weight}} ORDER BY type, target, weight) AS edges FROM links GROUP BY 1),
+a AS (SELECT *, {_HASH.format(e=_JSON.replace("coalesce(edges, [])", _RAW))} AS h FROM timed),
+b AS (SELECT *, {_HASH.format(e=_JSON)} AS h FROM (SELECT live.* EXCLUDE (content_hash), kept.edges FROM live LEFT JOIN kept ON kept.source = live.id)),
+s AS (SELECT CASE WHEN a.id IS NULL THEN 'absent' WHEN b.id IS NULL OR a.h <> b.h THEN 'indexed' WHEN (a.trust, a.volatile, a.freshness, a.description, a.resource, a.source, a.authored) IS DISTINCT FROM
+  (coalesce(b.trust, 'untrusted'), coalesce(b.volatile, FALSE), b.freshness, b.description, b.resource, b.source, b.authored) OR coalesce(nullif(a.write_actor, 'unknown'), coalesce(b.write_actor, 'unknown')) <> coalesce(b.write_actor, 'unknown') THEN 'synced' ELSE 'same' END AS s FROM a FULL JOIN b ON a.id = b.id),
+t AS (SELECT (SELECT count(*) FROM live) AS p, (SELECT count(*) FROM items) AS n)
+SELECT 1 AS run, p AS files, p AS indexed, 0 AS skipped, 0 AS pruned, 0 AS synced FROM t
+UNION ALL SELECT 2, any_value(n), count_if(s = 'indexed'), count_if(s IN ('synced', 'same')), count_if(s = 'absent'), count_if(s = 'synced') FROM s, t
+UNION ALL SELECT 3, n, 0, n, 0, 0 FROM t""")
+def reindex_counts(spark, d):
+    """Three runs over one index: the pages, then the items, which prune what they lack, then the items again."""
+    root, columns = scratch(spark, "reindex"), [*index.NODE[:6], *index.NODE[8:]]
+    old = pages.current_pages(table(spark, d, "nodes")).select(*columns)
+    lists = pages.current_edges(table(spark, d, "edges")).groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_list(F.struct("type", "target", "weight"))).alias("edges"))
+    old, new = stage_table(old.join(lists, "id", "left")), stage_table(_timed(spark, d).select(*columns, "edges"))
+    counts = [index.reindex(spark, root, rows, hashed_words()) for rows in (old, new, new)]
+    names = ("files", "indexed", "skipped", "pruned", "synced")
+    return spark.createDataFrame([(i, *(c[n] for n in names)) for i, c in enumerate(counts, 1)], "run int, " + ", ".join(f"{n} long" for n in names))
+
+
+@query("""SELECT item_seq, lead(item_seq) OVER (PARTITION BY id ORDER BY received_at NULLS FIRST, item_seq) AS superseded_by,
+last_value(item_seq) OVER (PARTITION BY id ORDER BY received_at NULLS FIRST, item_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS successor FROM memory_items WHERE id IS NOT NULL""")
+def supersede_chain(spark, d):
+    """Each delivery of a page is superseded by the next one; ``successor`` is the end of the chain."""
+    rows = table(spark, d, "memory_items").filter("id is not null")
+    w = Window.partitionBy("id").orderBy(F.col("received_at").asc_nulls_first(), "item_seq")
+    pairs = rows.select(F.col("item_seq").alias("old"), F.lead("item_seq").over(w).alias("new")).filter("new is not null")
+    items = rows.select(F.col("item_seq").alias("id"), F.col("id").alias("page"), F.lit(None).cast("long").alias("superseded_by"), F.lit(None).cast("boolean").alias("forgotten"))
+    done = lifecycle.supersede(items, pairs)
+    ends = done.filter(~lifecycle.tombstoned()).select("page", F.col("id").alias("successor"))
+    return done.join(ends, "page").select(F.col("id").alias("item_seq"), "superseded_by", "successor")
+
+
+@query("SELECT item_seq FROM (SELECT *, lead(item_seq) OVER (PARTITION BY id ORDER BY received_at NULLS FIRST, item_seq) AS n FROM memory_items WHERE id IS NOT NULL) WHERE n IS NULL")
+def tombstone_filter(spark, d):
+    return supersede_chain(spark, d).withColumn("forgotten", F.lit(False)).filter(~lifecycle.tombstoned()).select("item_seq")
 
 
 @query(S.chain(S.LAST, _ITEMS) + "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN a.title ELSE b.title END AS title, coalesce(nullif(a.write_actor, 'unknown'), b.write_actor, a.write_actor) AS write_actor FROM items a FULL JOIN live b ON a.id = b.id")

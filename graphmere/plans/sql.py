@@ -12,8 +12,8 @@ RELATION = "translate(lower(trim({c})), '_', '-')"
 LAST = """
 last AS (SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, row_no DESC) = 1),
 live AS (SELECT * FROM last WHERE removed_at IS NULL),
-pages AS (SELECT id, coalesce(path, id || '.md') AS path, title, type, description, body, trust, volatile, freshness FROM live
-  UNION ALL SELECT id, id || '.md', min(title), 'entity', NULL, '', 'trusted', FALSE, NULL FROM entities
+pages AS (SELECT id, coalesce(path, id || '.md') AS path, title, type, description, body, trust, volatile, freshness, resource, source, authored, write_actor FROM live
+  UNION ALL SELECT id, id || '.md', min(title), 'entity', NULL, '', 'trusted', FALSE, NULL, NULL, NULL, NULL, 'unknown' FROM entities
   WHERE removed_at IS NULL AND id IS NOT NULL AND id NOT IN (SELECT id FROM live) GROUP BY id)"""
 EDGES = f"""
 written AS (SELECT edge_id, {KEY.format(c="source")} AS source, {RELATION.format(c="coalesce(type, 'related_to')")} AS type, {KEY.format(c="target")} AS target, coalesce(weight, 1.0) AS weight FROM edges),
@@ -123,24 +123,25 @@ FOLDERS = "string_split(path, '/')[:-2]"
 ZONE = f"""CASE WHEN {FOLDERS}[1] = 'raw' OR len(list_filter({FOLDERS}, lambda x: starts_with(x, 'in_'))) > 0 THEN 'incoming'
   WHEN {FOLDERS}[1] = 'out' OR len(list_filter({FOLDERS}, lambda x: starts_with(x, 'out_'))) > 0 THEN 'output' ELSE 'wiki' END"""
 ADJUSTED = f"""
-rows AS (SELECT f.qid, f.id, f.score, path, title, trust, volatile, freshness, {ZONE} AS zone, query FROM fused f JOIN pages p ON p.id = f.id JOIN asked a ON a.qid = f.qid),
-adj AS (SELECT qid, id, path, title, trust, volatile, freshness, zone, round(score, 9) AS score, round(score
+rows AS (SELECT f.qid, f.id, f.score, path, title, trust, volatile, freshness, description, resource, source, authored, write_actor, {ZONE} AS zone, query FROM fused f JOIN pages p ON p.id = f.id JOIN asked a ON a.qid = f.qid),
+adj AS (SELECT qid, id, path, title, trust, volatile, freshness, description, resource, source, authored, write_actor, zone, round(score, 9) AS score, round(score
   * CASE trust WHEN 'trusted' THEN 1.0 WHEN 'derived' THEN 0.95 ELSE 0.85 END
   * CASE zone WHEN 'output' THEN CASE WHEN list_contains({FOLDERS}, 'out_distill') THEN {R.DISTILLED} ELSE 0.7 END WHEN 'incoming' THEN 0.8 ELSE 1.0 END
   * CASE WHEN trim(query) <> '' AND (lower(trim(query)) = lower(trim(coalesce(title, ''))) OR lower(trim(query)) = lower(string_split(id, '/')[-1])) THEN 1.5 ELSE 1.0 END, 12) AS adj FROM rows),
 placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY adj DESC, score DESC, id) AS pos FROM adj)"""
 COLLAPSED = """
 grp AS (SELECT *, CASE WHEN volatile AND freshness IS NOT NULL THEN floor(freshness / 86400) END AS day, lower(trim(coalesce(title, ''))) AS key FROM placed),
-win AS (SELECT *, min(pos) OVER g AS slot, count(*) OVER g AS n, first_value(day) OVER (g ORDER BY pos) AS head, max(day) OVER g AS top FROM grp WINDOW g AS (PARTITION BY qid, trust, zone, key)),
-kept AS (SELECT * FROM win WHERE CASE WHEN head IS NULL THEN pos = slot ELSE day = top END QUALIFY row_number() OVER (PARTITION BY qid, trust, zone, key ORDER BY pos) = 1)"""
+win AS (SELECT *, min(pos) OVER g AS slot, count(*) OVER g AS n, first_value(day) OVER (g ORDER BY pos) AS head, max(day) OVER g AS top FROM grp WINDOW g AS (PARTITION BY qid, coalesce(trust, 'untrusted'), zone, key)),
+kept AS (SELECT * FROM win WHERE CASE WHEN head IS NULL THEN pos = slot ELSE day = top END QUALIFY row_number() OVER (PARTITION BY qid, coalesce(trust, 'untrusted'), zone, key ORDER BY pos) = 1)"""
 TIED = f"""
 nr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot) AS i FROM kept),
 runs AS (SELECT qid, i, adj AS head, 1 AS run FROM nr WHERE i = 1 UNION ALL
   SELECT n.qid, n.i, CASE WHEN abs(r.head - n.adj) > {R.TIE} THEN n.adj ELSE r.head END, r.run + CASE WHEN abs(r.head - n.adj) > {R.TIE} THEN 1 ELSE 0 END FROM runs r JOIN nr n ON n.qid = r.qid AND n.i = r.i + 1),
 mixed AS (SELECT nr.*, run, max(coalesce(volatile, FALSE)::INT) OVER (PARTITION BY nr.qid, run) AS mixed FROM nr JOIN runs USING (qid, i)),
 final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY run, CASE WHEN mixed = 1 THEN freshness END DESC NULLS LAST, slot) AS place FROM mixed)"""
-SHAPE = """SELECT qid, place::INT AS rank, id, path, title, round(score, 6) AS score, coalesce(trust, 'untrusted') AS trust,
-  strftime(to_timestamp(floor(freshness)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS freshness, CASE WHEN n > 1 THEN n - 1 END::INT AS duplicates FROM final WHERE place <= 5"""
+SHAPE = """SELECT qid, place::INT AS rank, id, path, title, round(score, 6) AS score, coalesce(trust, 'untrusted') AS trust, CASE WHEN volatile THEN TRUE END AS volatile,
+  strftime(to_timestamp(floor(freshness)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS freshness, CASE WHEN n > 1 THEN n - 1 END::INT AS duplicates,
+  description, resource, source, strftime(make_timestamp(floor(authored * 1000)::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS authored, write_actor FROM final WHERE place <= 5"""
 
 
 def chain(*parts: str, recursive: bool = False) -> str:

@@ -43,17 +43,23 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder; it is deleted when the Python process ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete_written)
+    _written.append(path)
+    return path
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a written table in the checkpoint folder, for wide or repetitive rows.
 
     It is deleted when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_delete_written)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
