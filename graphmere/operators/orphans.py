@@ -1,9 +1,10 @@
 """References to records that do not exist, kept as incremental state.
 
-The state has a parent index (key -> disjoint spans of existence), the open orphans and the references that
-found their parent. A batch brings new references, which probe the index; arriving parents probe only the open
-orphans with their key and resolve them; deletions probe only the settled references with their key and reopen
-those seen at or after the deletion. Counts are snapshot after each batch.
+The state is a folder with three logs, cut into buckets by key and only ever appended to: what is known of parents
+(an arrival, or an end), the references with their verdict (a row when a reference arrives, and one whenever its
+verdict changes), and snapshots of the counts. A batch reads the buckets of its own keys: new references probe the
+parent index; arriving parents probe the open orphans of their key and resolve them; deletions probe the settled
+references of their key and reopen those seen at or after the deletion. What a batch doesn't touch stays as written.
 """
 
 from __future__ import annotations
@@ -13,15 +14,13 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphmere.session import stage
-
-#: A key with at least this share of the references of a batch is salted: at most HOT_KEYS keys can have it.
-HOT_KEYS = 200
-SALTS = 32
+from graphmere.operators.joins import KEY_ROWS, spread_join
+from graphmere.session import scratch, stage, stage_table
+from graphmere.sources import store
 
 _BLANK = r"[\s\p{Z}\x{85}]"
 
@@ -63,9 +62,13 @@ def parents(*tables: DataFrame) -> DataFrame:
     return out.filter("key is not null and lo is not null").withColumn("key", composed(F.col("key")))
 
 
-def existence_spans(rows: DataFrame) -> DataFrame:
-    """(key, spans): disjoint spans in order. Rows with one end are merged before anything is sorted by key."""
-    rows = rows.filter("hi is null or lo < hi").groupBy("key", "hi").agg(F.min("lo").alias("lo"))
+def existence_spans(log: DataFrame) -> DataFrame:
+    """(key, spans): disjoint spans in order, from arrivals (key, lo, hi null) and ends (key, lo, hi).
+
+    An end closes one arrival of its (key, lo); while there are more arrivals than ends the record exists.
+    """
+    rows = log.groupBy("key", "lo").agg(F.count_if(F.col("hi").isNull()).alias("n"), F.count("hi").alias("ended"), F.max("hi").alias("hi"))
+    rows = rows.select("key", "lo", F.when(F.col("n") <= F.col("ended"), F.col("hi")).alias("hi")).filter("hi is null or lo < hi")
     order = Window.partitionBy("key").orderBy("lo")
     far = F.lit(datetime(9999, 1, 1)).cast("timestamp")
     reach = F.max(F.coalesce("hi", far)).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -75,93 +78,117 @@ def existence_spans(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def _salted_join(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """Left join on key; keys with a large share of the references are spread over salts."""
-    least = max(1, refs.count() / HOT_KEYS)
-    hot = refs.groupBy("key").count().filter(F.col("count") >= least).select("key", F.lit(True).alias("hot"))
-    hot = F.broadcast(stage(hot))  # at most HOT_KEYS rows
-    refs = refs.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("edge_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    index = index.join(hot, "key", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return refs.join(index, ["key", "salt"], "left").drop("salt")
-
-
-def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
+def probe(refs: DataFrame, index: DataFrame, rows: int = KEY_ROWS) -> DataFrame:
     """refs with ``orphan``: no span of the key's parent holds ``seen_at`` (null: nothing holds it)."""
     held = F.exists("spans", lambda s: (s.lo <= F.col("seen_at")) & (F.col("seen_at") < s.hi))
-    out = _salted_join(refs, index)
-    return out.withColumn("orphan", ~F.coalesce(held, F.lit(False))).drop("spans")
+    return spread_join(refs, index, "key", "left", rows).withColumn("orphan", ~F.coalesce(held, F.lit(False))).drop("spans")
 
 
-@dataclass
+_REF = ("edge_id", "side", "key", "seen_at")
+
+
+@dataclass(frozen=True)
 class OrphanState:
-    """What is known after some batches."""
+    """The state under ``root``, as of the last batch."""
 
-    parents: DataFrame  # key, lo, hi
-    open: DataFrame  # edge_id, side, key, seen_at
-    settled: DataFrame  # the same columns
-    snapshots: DataFrame | None = None  # as_of, side, month, orphans
+    spark: SparkSession
+    root: str
 
+    def log(self, table: str, only: list[int] | None = None) -> DataFrame:
+        return store.open_table(self.spark, self.root, table, only=only)
 
-_REF = ("edge_id", "side", "key", "seen_at")
+    def references(self, only: list[int] | None = None) -> DataFrame:
+        """(edge_id, side, key, seen_at, n, orphan): each reference with its verdict and how often it is repeated."""
+        return verdicts(self.log("refs", only))
 
+    @property
+    def open(self) -> DataFrame:
+        """(edge_id, side, key, seen_at) of the orphans; repeated references as often as they came."""
+        rows = self.references().filter("orphan")
+        return rows.select(*_REF, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("_i")
 
-def advance(state: OrphanState | None, refs: DataFrame, arrived: DataFrame, removed: DataFrame, as_of: datetime | None = None) -> OrphanState:
-    """Apply one batch. ``arrived`` has new parents (key, lo, hi null), ``removed`` ends of known ones (key, lo, hi)."""
+    @property
+    def snapshots(self) -> DataFrame:
+        """(batch, as_of, side, month, orphans) after each batch."""
+        return self.log("snapshots")
+
+
+def verdicts(log: DataFrame) -> DataFrame:
+    return log.groupBy(*_REF).agg(F.sum("n").alias("n"), F.max_by("orphan", "batch").alias("orphan"))
+
+
+def advance(spark: SparkSession, root: str, refs: DataFrame, arrived: DataFrame, removed: DataFrame, as_of: datetime | None = None, buckets: int = 64, rows: int = KEY_ROWS) -> OrphanState:
+    """Apply one batch to the state under ``root`` and append what it changes.
+
+    ``refs`` has new references (edge_id, side, key, seen_at), ``arrived`` new parents (key, lo), ``removed`` ends of
+    known ones (key, lo, hi). A batch that fails leaves the state before it.
+    """
+    now, state = store.read_pointer(spark, root), OrphanState(spark, root)
+    batch = int(now["generation"]) + 1 if now else 1
+    n = now["tables"]["refs"]["buckets"] if now else buckets
     refs = refs.select(*_REF)
-    if state is None:
-        known, waiting, kept, settled = arrived, None, None, None
+    facts = arrived.select("key", "lo", F.lit(None).cast("timestamp").alias("hi")).unionByName(removed.select("key", "lo", "hi"))
+    new = refs.select(*_REF, F.lit(1).cast("long").alias("n"), F.lit(None).cast("boolean").alias("was"))
+    if now:
+        cells = lambda df: [r[0] for r in df.select(store.bucket(F.col("key"), n)).distinct().collect()]
+        moved = facts.groupBy("key").agg(F.min(F.when(F.col("hi").isNull(), F.col("lo"))).alias("lo"), F.min("hi").alias("hi"))
+        moved = stage(moved)
+        later = lambda c: F.coalesce(F.col("seen_at") >= F.col(c), F.lit(False))
+        known = spread_join(state.log("refs", cells(moved)), moved, "key", "inner", rows).filter(later("lo") | later("hi"))
+        known = known.groupBy(*_REF, "lo", "hi").agg(F.max_by("orphan", "batch").alias("was")).filter((F.col("was") & later("lo")) | (~F.col("was") & later("hi")))
+        keys = refs.select("key").unionByName(moved.select("key")).distinct()
+        index = existence_spans(state.log("parents", cells(keys)).unionByName(facts).join(keys, "key", "left_semi"))
+        new = new.unionByName(known.select(*_REF, F.lit(0).cast("long").alias("n"), "was"))
     else:
-        known = state.parents.unionByName(arrived)
-        touched = arrived.select("key").distinct()
-        waiting = state.open.join(touched, "key", "left_semi").select(*_REF)
-        kept = state.open.join(touched, "key", "left_anti").select(*_REF)
-        ended = removed.groupBy("key").agg(F.min("hi").alias("hi"))
-        hit = state.settled.join(ended, "key", "left").withColumn("again", F.coalesce(F.col("seen_at") >= F.col("hi"), F.lit(False)))
-        settled = hit.filter("not again").select(*_REF)
-        waiting = waiting.unionByName(hit.filter("again").select(*_REF))
-    ends = removed.select("key", "lo", F.col("hi").alias("end")).groupBy("key", "lo").agg(F.min("end").alias("end"), F.count("*").alias("n"))
-    # A known row whose end arrives is closed; of repeated equal rows as many as ends arrive.
-    numbered = known.withColumn("i", F.row_number().over(Window.partitionBy("key", "lo").orderBy(F.col("hi").asc_nulls_first())))
-    known = numbered.join(ends, ["key", "lo"], "left").select(
-        "key", "lo", F.when(F.col("hi").isNull() & (F.col("i") <= F.col("n")), F.col("end")).otherwise(F.col("hi")).alias("hi")
-    )
-    known = stage(known)
-    todo = refs if waiting is None else refs.unionByName(waiting)
-    probed = stage(probe(todo, existence_spans(known)))
-    open_ = probed.filter("orphan").select(*_REF)
-    done = probed.filter("not orphan").select(*_REF)
-    if state is not None:
-        open_, done = open_.unionByName(kept), stage(done.unionByName(settled))
-        open_ = stage(open_)
-    snap = count_orphans(open_).withColumn("as_of", F.lit(as_of).cast("timestamp"))
-    old = None if state is None else state.snapshots
-    return OrphanState(known, open_, done, snap if old is None else old.unionByName(snap))
+        index = existence_spans(facts)
+    probed = probe(new, index, rows).filter(F.col("was").isNull() | (F.col("was") != F.col("orphan")))
+    told = probed.select(*_REF, "n", "orphan", F.lit(batch).alias("batch"))
+
+    def counts(manifest: dict) -> DataFrame:
+        """The counts before, with what the batch's own rows add and take away."""
+        mine = store.open_table(spark, root, "refs", manifest).filter(F.col("batch") == batch)
+        sign = F.when(F.col("n") > 0, F.col("orphan").cast("long") * F.col("n")).otherwise(F.when(F.col("orphan"), 1).otherwise(-1).cast("long"))
+        change = mine.select("side", _month(), sign.alias("orphans"))
+        if now:
+            change = change.unionByName(state.snapshots.filter(F.col("batch") == batch - 1).select("side", "month", "orphans"))
+        total = change.groupBy("side", "month").agg(F.sum("orphans").alias("orphans")).filter("orphans > 0")
+        return total.select(F.lit(batch).alias("batch"), F.lit(as_of).cast("timestamp").alias("as_of"), "side", "month", "orphans")
+
+    tables = {"refs": told, "parents": facts, "snapshots": counts}
+    store.publish(spark, root, tables, str(batch), {"refs": "key", "parents": "key"}, n, append=True)
+    return state
+
+
+def _month() -> Column:
+    return F.date_format("seen_at", "yyyy-MM").alias("month")
 
 
 def count_orphans(open_refs: DataFrame) -> DataFrame:
     """(side, month, orphans): broken ends by side and month of seen_at."""
-    return open_refs.groupBy("side", F.date_format("seen_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("orphans"))
+    return open_refs.groupBy("side", _month()).agg(F.count("*").alias("orphans"))
 
 
-def orphan_state(edges: DataFrame, *tables: DataFrame, batches: int = 3) -> OrphanState:
+def orphan_state(edges: DataFrame, *tables: DataFrame, batches: int = 3, root: str | None = None, rows: int = KEY_ROWS) -> OrphanState:
     """Run the whole history through :func:`advance`, in ``batches`` equal periods of arrival.
 
     References arrive at loaded_at (null: in the last batch), parents at indexed_at, deletions at removed_at.
     Null and blank ends are no references; a null seen_at is held by no parent; parents without id or indexed_at
-    hold nothing; repeated rows count each; other columns are ignored; empty tables give an empty state.
+    hold nothing; repeated rows count each; other columns are ignored; empty tables give an empty state. ``root``
+    is the folder of the state, by default a new one below the checkpoint folder.
     """
-    refs, rows = stage(references(edges)), stage(parents(*tables))
+    spark = edges.sparkSession
+    root = root or scratch(spark, "orphans")
+    refs, known = stage_table(references(edges)), stage_table(parents(*tables))
     first, last = refs.agg(F.min("loaded_at"), F.max("loaded_at")).first()
     cuts = [] if first is None else [first + (last - first) * i / batches for i in range(1, batches)]
     bounds = [None, *cuts, None]
-    state = None
+    state, buckets = None, max(8, -(-refs.count() // KEY_ROWS))
     for a, b in zip(bounds, bounds[1:]):
         arrives = lambda c, a=a, b=b: F.lit(True) if a is None and b is None else (c < F.lit(b)) if a is None else (c >= F.lit(a)) if b is None else ((c >= F.lit(a)) & (c < F.lit(b)))
         loaded = arrives(F.col("loaded_at"))
         new = refs.filter(loaded | F.col("loaded_at").isNull() if b is None else loaded)
-        arrived = rows.filter(arrives(F.col("lo"))).select("key", "lo", F.lit(None).cast("timestamp").alias("hi"))
+        arrived = known.filter(arrives(F.col("lo")))
         # An end that is dated before its row arrived comes with the row.
-        removed = rows.filter(F.col("hi").isNotNull() & arrives(F.greatest("lo", "hi")))
-        state = advance(state, new, arrived, removed, b)
+        removed = known.filter(F.col("hi").isNotNull() & arrives(F.greatest("lo", "hi")))
+        state = advance(spark, root, new, arrived, removed, b, buckets, rows)
     return state

@@ -62,7 +62,18 @@ def p4_found(spark, d):
 
 @query(_BROKEN + "SELECT 'edges' AS referring, side, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS orphans FROM o GROUP BY ALL")
 def p4_counts(spark, d):
-    return orphans.count_orphans(_orphans(spark, d).open).select(F.lit("edges").alias("referring"), "side", "month", "orphans")
+    last = _orphans(spark, d).snapshots
+    return last.filter(F.col("batch") == last.agg(F.max("batch")).first()[0]).select(F.lit("edges").alias("referring"), "side", "month", "orphans")
+
+
+@query(_BROKEN.replace("WITH p AS", """WITH span AS (SELECT min(epoch_us(loaded_at)) AS a, max(epoch_us(loaded_at)) AS b FROM edges),
+cut AS (SELECT 1 AS batch, make_timestamptz(a + round((b - a) / 3.0)::BIGINT) AS t FROM span UNION ALL SELECT 2, make_timestamptz(a + round((b - a) * 2 / 3.0)::BIGINT) FROM span UNION ALL SELECT 3, NULL),
+p AS""").replace("seen_at FROM edges", "seen_at, loaded_at FROM edges").replace("o AS (SELECT edge_id, side, seen_at FROM r WHERE key IS NOT NULL", "o AS (SELECT batch, side, seen_at FROM r, cut WHERE key IS NOT NULL AND (t IS NULL OR loaded_at < t)")
+.replace("p.indexed_at <= r.seen_at AND (p.removed_at IS NULL OR", "p.indexed_at <= r.seen_at AND (t IS NULL OR p.indexed_at < t) AND (p.removed_at IS NULL OR greatest(p.indexed_at, p.removed_at) >= t OR")
++ "SELECT batch, side, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS orphans FROM o GROUP BY ALL")
+def p4_snapshots(spark, d):
+    """The counts after each third of the history, as they stood then."""
+    return _orphans(spark, d).snapshots.select("batch", "side", "month", "orphans")
 
 
 # Retrieval. The queries are the titles of the items whose item_seq is divisible by 100, against all pages; those

@@ -60,36 +60,41 @@ def _switch(spark: SparkSession, root: str, manifest: dict) -> None:
 
 
 def publish(
-    spark: SparkSession, root: str, tables: dict[str, DataFrame], generation: str, owners: dict[str, str] | None = None, buckets: int = 8, touched: Iterable[int] | None = None, check: Callable[[dict], bool] | None = None,
+    spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[dict], DataFrame]], generation: str, owners: dict[str, str] | None = None, buckets: int = 8,
+    touched: Iterable[int] | None = None, check: Callable[[dict], bool] | None = None, append: bool = False,
 ) -> bool:
     """Write the tables as a generation and point to it; False if it is the current one already.
 
     A table with an entry in ``owners`` is cut into ``buckets`` by that column. With ``touched`` only these buckets
-    are written, from tables that hold just their rows, and all others stay those of the current generation. A
-    generation is complete, and passes ``check`` of its manifest, before the pointer moves; else it is an error and
-    the pointer stays.
+    are written, from tables that hold just their rows, and all others stay those of the current generation. With
+    ``append`` the rows are added to those of the current generation and nothing old is written again. A table may be
+    a function of the manifest so far, with the tables before it. A generation is complete, and passes ``check`` of
+    its manifest, before the pointer moves; else it is an error and the pointer stays.
     """
     now = read_pointer(spark, root)
     if now and now["generation"] == generation:
         return False
-    owners = owners or {}
-    name = f"gen-{uuid.uuid4().hex}"
-    listed = {}
+    owners, name, listed = owners or {}, f"gen-{uuid.uuid4().hex}", {}
+    manifest = {"version": 1, "generation": generation, "name": name, "schema": SCHEMA_VERSION, "tables": listed}
+    gone = None if touched is None else set(map(str, touched))
     for t, df in tables.items():
-        path, entry = f"{root}/{name}/{t}", {"schema": df.schema.jsonValue()}
+        df = df if isinstance(df, DataFrame) else df(manifest)
+        path, old = f"{root}/{name}/{t}", {}
+        if now and (append or t in owners and gone is not None):
+            old = {b: list(f) for b, f in now["tables"][t]["folders"].items() if append or b not in gone}
+        entry = {"schema": df.schema.jsonValue(), "folders": old}
         if t in owners:
-            cut = df.withColumn("_bucket", bucket(F.col(owners[t]), buckets))
-            cut.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+            # Split by size where one bucket holds far more than others.
+            cut = df.withColumn("_bucket", bucket(F.col(owners[t]), buckets)).hint("rebalance", "_bucket")
+            cut.write.mode("overwrite").partitionBy("_bucket").parquet(path)
             fs, p = _fs(spark, path)
-            there = {s.getPath().getName().split("=")[1] for s in fs.listStatus(p) if s.isDirectory()}
-            old = now["tables"][t]["folders"] if now and touched is not None else {}
-            gone = set(map(str, touched)) if touched is not None else set()
-            entry |= {"owner": owners[t], "buckets": buckets, "folders": {b: f for b, f in old.items() if b not in gone} | {b: f"{name}/{t}/_bucket={b}" for b in there}}
+            for b in sorted(s.getPath().getName().split("=")[1] for s in fs.listStatus(p) if s.isDirectory()):
+                old.setdefault(b, []).append(f"{name}/{t}/_bucket={b}")
+            entry |= {"owner": owners[t], "buckets": buckets}
         else:
             df.write.mode("overwrite").parquet(path)
-            entry["folders"] = {"": f"{name}/{t}"}
+            old.setdefault("", []).append(f"{name}/{t}")
         listed[t] = entry
-    manifest = {"version": 1, "generation": generation, "name": name, "schema": SCHEMA_VERSION, "tables": listed}
     if check is not None and not check(manifest):
         raise RuntimeError(f"generation {generation} was not built as it was meant")
     _switch(spark, root, manifest)
@@ -103,7 +108,7 @@ def open_table(spark: SparkSession, root: str, table: str, manifest: dict | None
         raise FileNotFoundError(f"{root} has no published table {table}")
     entry = now["tables"][table]
     kept = None if only is None else set(map(str, only))
-    paths = [f"{root}/{f}" for b, f in sorted(entry["folders"].items()) if kept is None or b in kept]
+    paths = [f"{root}/{f}" for b, fs in sorted(entry["folders"].items()) if kept is None or b in kept for f in fs]
     schema = T.StructType.fromJson(entry["schema"])
     out = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     return migrated(out, table) if now.get("schema", 1) < SCHEMA_VERSION else out
@@ -142,7 +147,7 @@ def collect(spark: SparkSession, root: str, prior: str | None, readers: dict[str
     manifest = read_pointer(spark, root)
     if manifest is None:
         return []
-    used = {f.split("/")[0] for t in manifest["tables"].values() for f in t["folders"].values()}
+    used = {f.split("/")[0] for t in manifest["tables"].values() for fs in t["folders"].values() for f in fs}
     gone = collectable(generations(spark, root), manifest["name"], prior, readers, now, used=used, **limits)
     for g in gone:
         fs, p = _fs(spark, f"{root}/{g}")

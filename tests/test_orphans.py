@@ -1,6 +1,9 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from graphmere.operators import orphans as O
+from graphmere.sources import store
 
 EDGES = "edge_id long, source string, type string, target string, weight double, seen_at timestamp, loaded_at timestamp, key string, side string, hi timestamp"
 PARENTS = "id string, indexed_at timestamp, removed_at timestamp, key string, lo timestamp"
@@ -36,7 +39,7 @@ def test_against_brute_force(spark):
     for batches in (1, 4):
         state = O.orphan_state(spark.createDataFrame(edges, EDGES), spark.createDataFrame(parents[:half], PARENTS), spark.createDataFrame(parents[half:], PARENTS), batches=batches)
         assert {(r["edge_id"], r["side"]) for r in state.open.collect()} == brute(edges, parents)
-    assert state.snapshots.select("as_of").distinct().count() == 4
+    assert state.snapshots.select("batch").distinct().count() == batches
 
 
 def test_composed_forms_and_hot_key(spark):
@@ -46,18 +49,38 @@ def test_composed_forms_and_hot_key(spark):
     assert got == {(i, "target") for i in range(2000) if i % 50 < 25}
 
 
-def test_late_parent_resolves_and_late_deletion_reopens(spark):
+def test_late_parent_resolves_and_late_deletion_reopens(spark, tmp_path):
     ref = spark.createDataFrame([(1, "target", "k", day(5))], "edge_id long, side string, key string, seen_at timestamp")
     row = lambda lo, hi: spark.createDataFrame([("k", day(lo), None if hi is None else day(hi))], "key string, lo timestamp, hi timestamp")
     none = row(0, 0).limit(0)
-    s = O.advance(None, ref, none, none)
-    assert s.open.count() == 1
-    s = O.advance(s, ref.limit(0), row(2, None), none)
-    assert s.open.count() == 0
-    s = O.advance(s, ref.limit(0), none, row(2, 4))
-    assert s.open.count() == 1
-    s = O.advance(s, ref.limit(0), row(5, None), none)
-    assert (s.open.count(), s.settled.count()) == (0, 1)
+    root = str(tmp_path)
+    opened = lambda *x: O.advance(spark, root, *x).open.count()
+    assert opened(ref, none, none) == 1
+    assert opened(ref.limit(0), row(2, None), none) == 0
+    assert opened(ref.limit(0), none, row(2, 4)) == 1
+    assert opened(ref.limit(0), row(5, None), none) == 0
+    state = O.OrphanState(spark, root)
+    assert [r["orphans"] for r in state.snapshots.orderBy("batch").collect()] == [1, 1]
+    assert opened(ref, none, row(5, 5)) == 2
+    assert state.snapshots.orderBy(F.desc("batch")).first()["orphans"] == 2
+
+
+def test_a_small_batch_writes_little(spark, tmp_path):
+    edges = [edge(i, f"a{i % 90}", f"b{i % 70}", i % 50) for i in range(3000)]
+    root, none = str(tmp_path / "s"), spark.createDataFrame([], "key string, lo timestamp, hi timestamp")
+    O.orphan_state(spark.createDataFrame(edges, EDGES), spark.createDataFrame([parent(f"a{i}", i % 40) for i in range(90)], PARENTS), root=root)
+    files = lambda: {str(p) for p in (tmp_path / "s").rglob("*.parquet")}
+    before, held = files(), store.read_pointer(spark, root)
+    ref = spark.createDataFrame([(9999, "target", "b3", day(5))], "edge_id long, side string, key string, seen_at timestamp")
+    state = O.advance(spark, root, ref, none, none)
+    assert before <= files() and state.log("refs").filter("batch = 4").count() == 1
+    now = store.read_pointer(spark, root)
+    fresh = [f for t in ("refs", "parents") for b, fs in now["tables"][t]["folders"].items() for f in fs if f not in held["tables"][t]["folders"].get(b, [])]
+    assert len(fresh) == 1
+    # One arriving parent changes its own open references only.
+    O.advance(spark, root, ref.limit(0), none.union(spark.createDataFrame([("b3", day(4), None)], none.schema)), none)
+    told = state.log("refs").filter("batch = 5").select("key", "orphan", "n").distinct().collect()
+    assert [tuple(r) for r in told] == [("b3", False, 0)]
 
 
 def test_empty(spark):
