@@ -62,7 +62,7 @@ def optional_text(text: Column) -> Column:
 
 def listed(text: Column) -> Column:
     """The parts between commas, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def counted(value: Column, default: int, most: int) -> Column:

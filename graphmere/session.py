@@ -80,11 +80,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
+#: A table that is broadcast has at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
-    ``df`` should be cheap to count, such as a staged one.
+
+def sized(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes, else as it is, for a shuffled join.
+
+    ``df`` should be cheap to read, such as a staged one. Rows and bytes are counted where they are.
     """
     from pyspark.sql import functions as F
-
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).groupBy().count().filter(f"count <= {rows}").take(1)) else df
+    from pyspark.sql import types as T
+
+    def width(f: T.StructField):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) + 16
+        return F.lit(8)
+
+    each = sum((width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, total = df.agg(F.count("*"), F.sum(each)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df

@@ -120,7 +120,56 @@ def test_publish_and_stream(spark, tmp_path):
     assert {(r["id"], r["title"]) for r in store.open_table(spark, root, "items").collect()} == {("a", "new"), ("b", "b")}
     now = store.read_pointer(spark, root)
     assert not store.publish(spark, root, {"items": one}, now["generation"])
-    assert store.collectable(["g1", "g2", "g3"], "g3", {"g2": 100.0}, 150.0) == ["g1"]
+
+
+def test_late_deliveries_do_not_replace_newer_ones(spark, tmp_path):
+    root, src = str(tmp_path / "store"), str(tmp_path / "in")
+    rows = lambda *x: spark.createDataFrame([(n, i, t, "ann", datetime(2024, 1, d)) for n, i, t, d in x], "item_seq long, id string, title string, write_actor string, received_at timestamp").coalesce(1)
+    one = rows((1, "a", "first", 5), (2, "b", "b", 5))
+    run = lambda: ingest.ingest(ingest.read_items(spark, src, one.schema), root, str(tmp_path / "cp"), 4).awaitTermination()
+    one.write.parquet(src)
+    run()
+    before = store.read_pointer(spark, root)["tables"]["items"]["folders"]
+    rows((3, "a", "late", 1), (4, "c", "c", 9)).write.mode("append").parquet(src)
+    run()
+    assert {(r["id"], r["title"]) for r in store.open_table(spark, root, "items").collect()} == {("a", "first"), ("b", "b"), ("c", "c")}
+    after = store.read_pointer(spark, root)["tables"]["items"]["folders"]
+    touched = {str(r[0]) for r in spark.createDataFrame([("a",), ("c",)], "id string").select(store.bucket(F.col("id"), 4)).collect()}
+    assert all(after[b] == f for b, f in before.items() if b not in touched)
+
+
+def test_collection_of_old_generations():
+    made = {"g1": 0.0, "g2": 100.0, "g3": 140.0}
+    keep = lambda readers, now=150.0, **more: store.collectable(made, "g3", "g2", readers, now, **more)
+    assert keep({}) == ["g1", "g2"]  # nobody reads
+    assert keep({"r": ("g3", 149.0)}) == ["g1"]  # g2 is younger than the grace
+    assert keep({"r": ("g3", 149.0)}, grace=10.0) == ["g1", "g2"]
+    assert keep({"r": ("g2", 149.0)}, grace=10.0) == ["g1"]  # a living reader lags
+    assert keep({"r": ("g2", 149.0)}, now=2000.0) == ["g1", "g2"]  # a dead one doesn't count
+    assert keep({}, used=["g1"]) == ["g2"]
+
+
+def test_pointer_is_replaced_and_checked(spark, tmp_path):
+    root, df = str(tmp_path), spark.createDataFrame([("a", 1)], "id string, n int")
+    assert store.publish(spark, root, {"t": df}, "one")
+    with pytest.raises(RuntimeError):
+        store.publish(spark, root, {"t": df}, "two", check=lambda m: False)
+    assert store.read_pointer(spark, root)["generation"] == "one"
+    assert store.publish(spark, root, {"t": df.union(df)}, "three") and store.open_table(spark, root, "t").count() == 2
+    assert not [p for p in os.listdir(root) if p.startswith(".generation") and not p.endswith(".crc")]
+    gone = store.collect(spark, root, None, {}, 1e12)
+    assert len(gone) == 2 and store.open_table(spark, root, "t").count() == 2
+    (tmp_path / store.POINTER).write_text("{")
+    os.path.exists(tmp_path / f".{store.POINTER}.crc") and os.remove(tmp_path / f".{store.POINTER}.crc")
+    assert store.read_pointer(spark, root) is None
+
+
+def test_old_tables_get_the_later_columns(spark, tmp_path):
+    root = str(tmp_path)
+    store.publish(spark, root, {"nodes": spark.createDataFrame([("a",)], "id string"), "edges": spark.createDataFrame([("a", "t", "b", 1.0)] * 2, "source string, type string, target string, weight double")}, "g")
+    now = store.read_pointer(spark, root) | {"schema": 1}
+    assert store.open_table(spark, root, "nodes", now).first().asDict() == {"id": "a", "description": None, "source": None, "authored": None, "write_actor": "unknown"}
+    assert store.open_table(spark, root, "edges", now).count() == 1
 
 
 def test_changed_links_change_the_hash(spark):

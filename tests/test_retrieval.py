@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmere.functions import ranking as R
 from graphmere.functions import text as T
-from graphmere.operators import chunking, graph, recall, retrieval
+from graphmere.operators import chunking, graph, index, recall, retrieval
 
 PAGES = "id string, title string, description string, body string, path string, trust string, volatile boolean, freshness double"
 ROWS = [
@@ -26,7 +26,7 @@ def tokens(x):
 def test_bm25_against_formula(spark):
     pages = spark.createDataFrame(ROWS, PAGES)
     queries = spark.createDataFrame([("q1", "Ferry ferry HARBOUR x"), ("q2", "creme"), ("q3", None), ("q4", "")], "qid string, query string")
-    got = {(r["qid"], r["id"]): r["score"] for r in retrieval.bm25(pages, queries).collect()}
+    got = {(r["qid"], r["id"]): r["score"] for r in retrieval.bm25(*index.text_tables(pages), queries).collect()}
     docs = {r[0]: [(10, tokens(r[1])), (3, tokens(r[2])), (1, tokens(r[3]))] for r in ROWS}
     dl = {i: sum(len(t) for _, t in d) for i, d in docs.items()}
     avg = sum(dl.values()) / len(dl)
@@ -51,6 +51,27 @@ def test_vector_arm_limits_chunks_before_pages(spark):
     assert retrieval.vector_arm(chunks, asked.limit(0), 3).count() == 0
 
 
+def test_vector_scan_over_many_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v, q = np.round(rng.standard_normal((500, 4)), 1), np.round(rng.standard_normal((7, 4)), 1)
+    chunks = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "chunk_id long, v array<double>").repartition(2)
+    asked = spark.createDataFrame([(f"q{i}", [float(x) for x in r]) for i, r in enumerate(q)], "qid string, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        rows = retrieval.vector_scan(chunks, asked, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) <= 2 * 7 * 12
+    got = {}
+    for r in rows:
+        got.setdefault(r["qid"], []).append((-round(r["similarity"], 9), r["chunk_id"]))
+    for i in range(7):
+        want = sorted((-round(float(s), 9), j) for j, s in enumerate(v @ q[i]))[:5]
+        assert sorted(got[f"q{i}"])[:5] == want
+
+
 def test_graph_arm(spark):
     links = [("s", f"t{i:02}") for i in range(20)] + [("s", "ghost"), ("s", "r")] + [(f"x{i}", "r") for i in range(33)] + [("y", "s")]
     edges = spark.createDataFrame([(a, "cites", b, 1.0) for a, b in links], "source string, type string, target string, weight double")
@@ -74,6 +95,8 @@ def test_collapse_keeps_the_freshest_in_the_first_slot(spark):
     df = spark.createDataFrame(rows, "qid string, id string, pos int, adj double, title string, trust string, path string, volatile boolean, freshness double")
     out = {r["id"]: (r["slot"], r["duplicates"]) for r in recall.collapse(df).collect()}
     assert out == {"c": (1, 2), "x": (2, None)}
+    twins = [("q", "m", 1, 0.5, "M", None, "m.md", False, None), ("q", "n", 2, 0.4, "M", "untrusted", "n.md", False, None)]
+    assert [tuple(r)[0] for r in recall.collapse(spark.createDataFrame(twins, df.schema)).select("id").collect()] == ["m"]
 
 
 def test_tiebreak_measures_from_the_head(spark):
@@ -115,7 +138,9 @@ def windows(text, size, overlap):
 @pytest.mark.parametrize("text", ["short", "w" * 500, " ".join(f"word{i}" for i in range(300)), "a b\n" * 90 + "z" * 210 + " end", ("x" * 97 + " y\n") * 5, ""])
 def test_chunk_windows(spark, text):
     got = chunking.chunk_pages(spark.createDataFrame([("p", "", text)], "id string, title string, body string"), 100, 20)
-    assert [(r["lo"], r["hi"]) for r in got.orderBy("ord").collect()] == windows("\n" + text, 100, 20)
+    rows = got.orderBy("ord").collect()
+    assert [(r["lo"], r["hi"]) for r in rows] == windows("\n" + text, 100, 20)
+    assert [r["text"] for r in rows] == [("\n" + text)[r["lo"] : r["hi"]] for r in rows]
 
 
 def test_graph_operators(spark):
@@ -127,7 +152,9 @@ def test_graph_operators(spark):
     com = {r["id"]: r["size"] for r in graph.communities(typed, 4).collect()}
     assert set(com) == set("abcd")
     lines = spark.createDataFrame([(str(i),) for i in range(100)], "line string")
-    assert graph.bucketed_hash(lines).first() == graph.bucketed_hash(lines.repartition(7)).first()
+    one = graph.set_hash(lines).first()
+    assert one == graph.set_hash(lines.repartition(7)).first() and one["n"] == 100
+    assert one["digest"] != graph.set_hash(lines.union(lines.limit(1))).first()["digest"] != graph.set_hash(lines.limit(0)).first()["digest"]
 
 
 def test_communities_of_the_whole_graph(spark):
