@@ -81,7 +81,7 @@ def test_recall_at_the_threshold_does_not_fall_with_size(spark):
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.921 * a + np.sqrt(1 - 0.921**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.concatenate([a, b]))], "id long, v array<float>")
-    for n, functions in ((180_000, 22), (1_800_000, 26)):
+    for n, functions in ((180_000, 22), (1_800_000, 26), (10_000_000, 29)):
         index = N.Index.for_rows(n)
         assert index.functions == functions
         got = {tuple(r) for r in N.candidate_pairs(df, index, 0.92).collect()}
