@@ -8,9 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmere.operators.joins import spread_join
 from graphmere.session import sized, stage
 
 SMALL_ROWS = 200_000
+#: A key with about so many records is full: they are paired block by block, each pair of blocks in a cell of its own.
+FULL_KEY = 5000
+#: Full keys are looked for among one record in so many; this decides how they are joined and not what is found.
+LOOK = 50
+#: Rows of one class that go to one task when classes are written out as pairs.
+CLASS_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -104,43 +111,74 @@ def agreement(pairs: list[tuple[Column, Column]]) -> Column:
     return total
 
 
-def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_words: int = 20, kind: Fingerprint = Fingerprint(), ident: str = "item_seq") -> tuple[DataFrame, DataFrame]:
+def _in_full_keys(keys: DataFrame, full: DataFrame, prints: DataFrame, near: Column, block: int) -> DataFrame:
+    """(a, b) of records that share a full key and are near enough.
+
+    The records of a key are cut into blocks, and every two blocks meet in a cell, so no task gets more than two
+    blocks and no pair is lost. The distance is taken in the join itself: only near pairs leave it.
+    """
+    held = keys.join(full.select("key"), "key", "left_semi")
+    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = held.join(sized(stage(sizes), SMALL_ROWS), "key").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sketch = prints.select(F.col("item").alias("rep"), *(f"s{i}" for i in range(4)))
+    rows = stage(rows.join(sketch, "rep"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # Block i goes to the cells (i, j) and (j, i), of which the lower half is used: (lower block, higher block).
+    sided = lambda k, cell: rows.withColumn("other", each).filter(cell).select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.col("rep").alias(k), *(F.col(f"s{x}").alias(f"{k}{x}") for x in range(4)))
+    one, two = sided("a", F.col("at") <= F.col("other")), sided("b", F.col("at") >= F.col("other"))
+    met = one.join(two, ["key", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_words: int = 20, kind: Fingerprint = Fingerprint(), ident: str = "item_seq", full_key: int = FULL_KEY) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs (a, b, similarity) of class representatives, and (item, rep) of every item.
 
     Items with one set of word runs form a class; its lowest id represents it. Links are exact: the similarity
-    of the sets, verified for all candidates. Items of fewer than ``least_words`` words are left out; null title
+    of the sets of 64-bit hashes, verified for all candidates. Items of fewer than ``least_words`` words are left out; null title
     and body count as empty; further columns are ignored; an empty table gives empty results.
     """
     words = record_words(F.col("title"), F.col("body"))
     sets = items.select(F.col(ident).alias("item"), words.alias("w")).select("item", F.size("w").alias("words"), shingles(F.col("w"), size).alias("sh"))
     hashed = sets.select("item", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("n"), "sh", "words")
     prints = stage(hashed.mapInArrow(_fingerprints(kind, max(least_words, size)), "item long, h1 long, h2 int, n int, symbols binary, s0 long, s1 long, s2 long, s3 long"))
-    keyed = prints.select("item", "h1", "h2", "n")
-    classes = keyed.groupBy("h1", "h2", "n").agg(F.min("item").alias("rep"), F.count("*").alias("size"))
-    copies = stage(keyed.join(classes.filter("size > 1"), ["h1", "h2", "n"]).select("item", "rep"))
+    keyed = prints.select("item", F.struct("h1", "h2", "n").alias("h"))
+    classes = keyed.groupBy("h").agg(F.min("item").alias("rep"), F.count("*").alias("size"))
+    copies = stage(spread_join(keyed, classes.filter("size > 1").select("h", "rep"), "h", "inner").select("item", "rep"))
     others = sized(copies.filter("item != rep").select("item"), SMALL_ROWS)
     heads = prints.join(others, "item", "left_anti").select(F.col("item").alias("rep"), "symbols")
     keys = heads.select("rep", F.explode(ball_keys(kind)).alias("key"))
+    near = agreement([(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(4)]) >= kind.least_agreement(least)
+    seen = heads.filter(F.pmod(F.xxhash64("rep"), F.lit(LOOK)) == 0).select(F.explode(ball_keys(kind)).alias("key"))
+    full = stage(seen.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, full_key // (2 * LOOK))))
+    crowded = bool(full.take(1))
+    full = sized(full, SMALL_ROWS)
+    rare = keys.join(full, "key", "left_anti") if crowded else keys
     # A key that only one record has, as most are, gives no pair.
-    pairs = keys.join(keys.withColumnRenamed("rep", "b"), "key").filter("rep < b").select(F.col("rep").alias("a"), "b")
+    pairs = rare.join(rare.withColumnRenamed("rep", "b"), "key").filter("rep < b").select(F.col("rep").alias("a"), "b")
     side = lambda k: prints.select(F.col("item").alias(k), *[F.col(f"s{i}").alias(f"{k}{i}") for i in range(4)])
-    near = agreement([(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(4)]) >= kind.least_agreement(least)
-    pairs = stage(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b"))
+    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
+    if crowded:
+        pairs = pairs.unionByName(_in_full_keys(keys, full, prints, near, full_key)).distinct()
+    pairs = stage(pairs)
     wanted = sized(stage(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()), SMALL_ROWS)
     # Only the candidates' texts are read again for their sets.
     kept = items.join(wanted, items[ident] == wanted["item"], "left_semi").select(F.col(ident).alias("item"), words.alias("w"))
-    kept = kept.select("item", shingles(F.col("w"), size).alias("sh")).select("item", F.transform("sh", lambda h: F.shiftright(h, 32).cast("int")).alias("sh"))
+    kept = kept.select("item", shingles(F.col("w"), size).alias("sh"))
     x, y = kept.select(F.col("item").alias("a"), F.col("sh").alias("x")), kept.select(F.col("item").alias("b"), F.col("sh").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
     links = stage(scored.filter(F.col("similarity") >= least))
-    alone = keyed.join(others, "item", "left_anti").select("item", F.col("item").alias("rep"))
+    alone = prints.select("item").join(others, "item", "left_anti").select("item", F.col("item").alias("rep"))
     return links, alone.unionByName(copies.filter("item != rep"))
 
 
 def duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(item_a, item_b), item_a < item_b: all pairs of items of linked classes or of one class."""
+    """(item_a, item_b), item_a < item_b: all pairs of items of linked classes or of one class.
+
+    A class's rows are spread over tasks by their number, each with all rows of the class it is linked with.
+    """
+    members = stage(members)
     ab = links.select("a", "b").unionByName(members.filter("item != rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
-    left, right = members.select(F.col("rep").alias("a"), F.col("item").alias("i")), members.select(F.col("rep").alias("b"), F.col("item").alias("j"))
-    out = ab.join(left, "a").join(right, "b").filter("a != b or i < j")
+    left = spread_join(members.select(F.col("rep").alias("a"), F.col("item").alias("i")), ab, "a", "inner", CLASS_ROWS)
+    out = spread_join(left, members.select(F.col("rep").alias("b"), F.col("item").alias("j")), "b", "inner", CLASS_ROWS).filter("a != b or i < j")
     return out.select(F.least("i", "j").alias("item_a"), F.greatest("i", "j").alias("item_b"))

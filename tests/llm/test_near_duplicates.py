@@ -32,6 +32,17 @@ def test_against_brute_force(spark):
     assert {r["item"] for r in members.collect()} == set(sets)
 
 
+def test_full_keys_lose_no_pair(spark):
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(60)]
+    rows = [(i, "T", " ".join(template[: rng.randint(30, 60)] + [f"x{rng.randrange(9999)}" for _ in range(rng.randint(0, 25))]), 1, 2, 3) for i in range(1200)]
+    sets = {r[0]: s for r in rows if (s := runs(r[1], r[2]))}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain, split = ({tuple(r) for r in duplicate_pairs(*near_duplicates(df, full_key=f)).collect()} for f in (10**6, 100))
+    assert plain == split and split <= want and len(split) >= 0.99 * len(want)
+
+
 def test_empty(spark):
     links, members = near_duplicates(spark.createDataFrame([], SCHEMA))
     assert links.count() == members.count() == duplicate_pairs(links, members).count() == 0
