@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmere.llm import encodings, leaks, near_duplicates, neighbours, packing, splitting
-from graphmere.session import table
+from graphmere.session import scratch, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,17 @@ def p3_pieces(spark, d):
     return splitting.split_pages(table(spark, d, "nodes"))
 
 
-@query()
+# Pre-tokens by arithmetic, as the SQL's patterns have no look-ahead: of a run of blanks before a word the last one, if it is a
+# plain blank, belongs to the word and the rest is a token; any other run before a word is a token, and its last blank another.
+_TOKENS = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), $$'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}+|[^\s\p{L}\p{N}\x{85}\x{0b}\x{1c}-\x{1f}\p{Z}]+|[\s\x{85}\x{0b}\x{1c}-\x{1f}\p{Z}]+$$) AS x FROM documents),
+p AS (SELECT doc_id, len(x) AS n, len(list_filter(list_transform(range(1, len(x)), lambda i: CASE WHEN regexp_matches(x[i], $$^[\s\x{85}\x{0b}\x{1c}-\x{1f}\p{Z}]+$$) THEN CASE WHEN x[i] = ' ' THEN -1 WHEN ends_with(x[i], ' ') THEN 0 WHEN length(x[i]) = 1 THEN 0 ELSE 1 END END), lambda v: v = -1)) AS fewer,
+len(list_filter(list_transform(range(1, len(x)), lambda i: CASE WHEN regexp_matches(x[i], $$^[\s\x{85}\x{0b}\x{1c}-\x{1f}\p{Z}]+$$) AND NOT ends_with(x[i], ' ') AND length(x[i]) > 1 THEN 1 END), lambda v: v = 1)) AS more FROM t),
+c AS (SELECT doc_id, n - fewer + more AS tokens FROM p)
+"""
+
+
+@query(_TOKENS + "SELECT doc_id FROM c WHERE tokens > 1024")
 def p6_found(spark, d):
     return packing.pack_documents(table(spark, d, "documents")).filter("piece = 1").select("doc_id")
 
@@ -49,6 +59,35 @@ def p6_containers(spark, d):
     return out.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
 
 
+@query(_TOKENS + "SELECT count(*) AS documents, sum(tokens)::BIGINT AS tokens, sum(greatest((tokens + 1023) // 1024, 1))::BIGINT AS pieces, 0 AS overfull, 0 AS overlapping, TRUE AS tight FROM c")
+def p6_invariants(spark, d):
+    """What must hold of any packing: every token is placed once, no container is overfull, places don't overlap, and
+    the containers are few: at most the least number there can be and a hundredth more, or one."""
+    placed = stage(packing.pack_documents(table(spark, d, "documents")))
+    w = Window.partitionBy("container").orderBy("place")
+    rows = placed.filter("tokens > 0").withColumn("end", F.coalesce(F.lag(F.col("place") + F.col("tokens")).over(w), F.lit(0)))
+    sums = rows.agg(F.count_if(F.col("place") + F.col("tokens") > 1024).alias("overfull"), F.count_if(F.col("place") < F.col("end")).alias("overlapping"), F.count_distinct("container").alias("used"), F.sum("tokens").alias("t"))
+    whole = placed.agg(F.count_distinct("doc_id").alias("documents"), F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    least = F.ceil(F.coalesce(F.col("t"), F.lit(0)) / 1024)
+    tight = F.col("used") <= F.greatest(least * 1.01, least + 1)
+    return whole.join(F.broadcast(sums)).select("documents", "tokens", "pieces", F.col("overfull").cast("int").alias("overfull"), F.col("overlapping").cast("int").alias("overlapping"), tight.alias("tight"))
+
+
+@query("""
+WITH last AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, row_no DESC) = 1),
+t AS (SELECT id, coalesce(title, '') || chr(10) || coalesce(body, '') AS t FROM last)
+SELECT id, md5(t) AS digest, length(t) AS covered, TRUE AS whole FROM t WHERE length(t) > 1800
+""")
+def p3_invariants(spark, d):
+    """Each page put together again from its pieces without what they share, and whether the pieces keep to the limits."""
+    pieces = splitting.split_pages(table(spark, d, "nodes"))
+    own = F.substring("text", F.col("shared") + 1, F.lit(1 << 30))
+    parts = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", own.alias("t")))).alias("l"), F.max(F.length("text")).alias("longest"), F.max("shared").alias("shared"), F.max("ord").alias("ord"), F.count("*").alias("n"))
+    text = F.concat_ws("", F.transform("l", lambda x: x.t))
+    fine = (F.col("longest") <= 1800) & (F.col("shared") <= 200) & (F.col("ord") + 1 == F.col("n"))
+    return parts.select("id", F.md5(text).alias("digest"), F.length(text).cast("long").alias("covered"), fine.alias("whole"))
+
+
 _WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -62,14 +101,44 @@ h AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM (
 SELECT DISTINCT doc_id, item_id FROM h JOIN k USING (n, gram)
 """)
 def p7_found(spark, d):
-    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return out.filter("kind = 'phrase'").select("doc_id", "item_id")
+    return _phrases(spark, d).select("doc_id", "item_id")
 
 
-@query()
+_POSTINGS: dict[tuple[str, str], str] = {}
+
+
+def stored_postings(spark, d):
+    """The index of the documents, written by the first query of a session that needs it and then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _POSTINGS:
+        return spark.read.schema("word string, doc long, pos int").parquet(_POSTINGS[key])
+    path = scratch(spark, "postings")
+    out = leaks.write_index(table(spark, d, "documents"), path)
+    _POSTINGS[key] = path
+    return out
+
+
+def _phrases(spark, d):
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), stored_postings(spark, d))
+    return out.filter("kind = 'phrase'")
+
+
+@query(SQL["p7_found"].replace("SELECT DISTINCT doc_id, item_id FROM h JOIN k USING (n, gram)", """, hit AS (SELECT DISTINCT doc_id, item_id FROM h JOIN k USING (n, gram)),
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+ip AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM i),
+same AS (SELECT hit.doc_id, hit.item_id, dp.pos - ip.pos AS o, ip.pos AS p FROM hit JOIN dp USING (doc_id) JOIN ip ON ip.item_id = hit.item_id AND ip.word = dp.word),
+runs AS (SELECT doc_id, item_id, o, p - row_number() OVER (PARTITION BY doc_id, item_id, o ORDER BY p) AS g FROM same),
+longest AS (SELECT doc_id, item_id, max(n) AS n FROM (SELECT doc_id, item_id, o, g, count(*) AS n FROM runs GROUP BY ALL) GROUP BY ALL)
+SELECT item_id, count(*) AS documents, max(n) AS words FROM longest GROUP BY 1"""))
 def p7_items(spark, d):
-    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return out.groupBy("item_id", "kind").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
+    return _phrases(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").cast("long").alias("words"))
+
+
+@query()
+def p7_proximity(spark, d):
+    """Documents with the rarest terms of an item near each other, up to three words more or fewer between, but no phrase."""
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), stored_postings(spark, d), slack=3)
+    return out.filter("kind = 'proximity'").select("doc_id", "item_id", "words")
 
 
 @query()
@@ -98,9 +167,11 @@ def p2_found(spark, d):
     return out.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
 
 
-@query()
+@query(_VECTORS.replace("SELECT id, other FROM (SELECT *,", "SELECT id, other, similarity, r FROM (SELECT *,").replace("ORDER BY similarity DESC, other)", "ORDER BY round(similarity, 12) DESC, other)")
++ "SELECT id AS chunk_id, other AS neighbour, round(similarity, 6) AS similarity, r::INT AS rank FROM k")
 def p2_neighbours(spark, d):
-    return neighbours.most_similar(table(spark, d, "chunks"))
+    out = neighbours.most_similar(table(spark, d, "chunks"))
+    return out.select("chunk_id", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 _SHINGLES = f"""
@@ -117,7 +188,12 @@ def p5_found(spark, d):
     return near_duplicates.duplicate_pairs(*near_duplicates.near_duplicates(table(spark, d, "memory_items")))
 
 
-@query()
+@query(_SHINGLES.replace("SELECT item_a, item_b FROM b JOIN", """, sets AS (SELECT item_seq, list(gram ORDER BY gram) AS grams FROM g GROUP BY 1),
+member AS (SELECT item_seq AS item, min(item_seq) OVER (PARTITION BY grams) AS rep FROM sets),
+link AS (SELECT item_a, item_b FROM b JOIN""") + """), linked AS (SELECT x.rep, count(*) AS links FROM link JOIN member x ON x.item = item_a JOIN member y ON y.item = item_b WHERE x.rep = item_a AND y.rep = item_b AND x.rep <> y.rep GROUP BY 1
+UNION ALL SELECT y.rep, count(*) FROM link JOIN member x ON x.item = item_a JOIN member y ON y.item = item_b WHERE x.rep = item_a AND y.rep = item_b AND x.rep <> y.rep GROUP BY 1),
+total AS (SELECT rep, sum(links)::BIGINT AS links FROM linked GROUP BY 1)
+SELECT item, member.rep, coalesce(links, 0) AS links FROM member LEFT JOIN total USING (rep)""")
 def p5_classes(spark, d):
     links, members = near_duplicates.near_duplicates(table(spark, d, "memory_items"))
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

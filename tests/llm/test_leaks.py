@@ -1,7 +1,7 @@
 import random
 import re
 
-from graphmere.llm.leaks import find_leaks
+from graphmere.llm.leaks import find_leaks, write_index
 
 DOCS = "doc_id long, text string, doc string, item long, word string, pos int"
 ITEMS = "item_id long, suite string, text string, w string"
@@ -38,6 +38,23 @@ def test_against_brute_force(spark):
     assert got == want
 
 
+def test_proximity_and_a_second_set(spark, tmp_path):
+    text = "alpha rare1 beta gamma delta epsilon zeta eta theta rare2 iota kappa lambda"
+    near = text.replace("gamma delta", "gamma and then delta")
+    far = text.replace("gamma delta", "gamma " + "filler " * 9 + "delta")
+    docs = [(1, near, "d", 1, "w", 1), (2, far, "d", 1, "w", 1), (3, "x " * 500 + near, "d", 1, "w", 1), (4, text, "d", 1, "w", 1)] + [(10 + i, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "d", 1, "w", 1) for i in range(5)]
+    df = spark.createDataFrame(docs, DOCS)
+    index = write_index(df, str(tmp_path / "postings"))
+    items = spark.createDataFrame([(7, "s", text, "x")], ITEMS)
+    got = {tuple(r) for r in find_leaks(df, items, index, slack=3).select("doc_id", "kind").collect()}
+    assert got == {(1, "proximity"), (3, "proximity"), (4, "phrase")}
+    assert {r["doc_id"] for r in find_leaks(df, items, index).collect()} == {4}
+    # Another set over the same index; a plan that reads documents reads the candidates only.
+    again = spark.createDataFrame([(8, "s", "filler filler filler", "x")], ITEMS)
+    assert {tuple(r)[:3] for r in find_leaks(df, again, index).collect()} == {(2, 8, "phrase")}
+    assert index.count() == sum(len(ws(d[1])) for d in docs)
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     one = spark.createDataFrame([(1, "s", "a rare phrase", "x")], ITEMS)
