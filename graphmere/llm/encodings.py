@@ -8,21 +8,25 @@ from functools import cache
 from math import log
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmere.session import sized, stage, stage_table
 
 #: Encodings of one byte a character, as written and as read. Any ordered pair is a chain.
-SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "iso8859-1", "iso8859-2", "iso8859-5", "iso8859-15")
+SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "iso8859-1", "iso8859-2", "iso8859-5", "iso8859-15")
 #: Encodings of several bytes a character that may have been read as one of SINGLE.
-MULTI = ("utf-8", "shift_jis", "euc_jp", "gb18030")
-#: What UTF-8 is read as twice in a row.
-TWICE = ("cp1252", "iso8859-1")
+MULTI = ("utf-8", "shift_jis", "euc_jp", "gb18030", "big5", "cp949")
+#: Encodings of several bytes that UTF-8 may have been read as.
+READERS = ("gb18030", "shift_jis", "euc_jp", "big5", "cp949")
+#: What UTF-8 is read as first and then again, in any order of two.
+TWICE = ("cp1252", "iso8859-1", "cp1250", "cp1251", "mac_roman")
 #: A form made by a chain of single bytes needs so many characters, and its original so many times its documents,
 #: alone or together with other words of one document under the same chain.
 LEAST_LENGTH, LEAST_RATIO = 3, 3
+#: So many times more frequent counts an original that is written as words are where its form is not.
+BETTER_WRITTEN = 30
 SMALL_ROWS = 200_000
 
 #: Bits of the filter over the corpus's words, at most 4 MB, that drops forms which can't be in the corpus.
@@ -78,9 +82,9 @@ def chains(charset: str) -> list[Chain]:
             for u in variants:
                 # The older ones hold Latin letters too, but text is written in them for the scripts they are made for.
                 add(f"{written}>{read}", False, lambda c: _misread(c, written, read, u) if written == "utf-8" or c >= "\u0800" else None)  # noqa: B023
-        if read in TWICE:
+        for first in TWICE if read in TWICE else ():
             for u in variants:
-                add(f"utf-8>{read} twice", False, lambda c: _misread(_misread(c, "utf-8", read, u), "utf-8", read, u))  # noqa: B023
+                add(f"utf-8>{first}, utf-8>{read}", False, lambda c: _misread(_misread(c, "utf-8", first, u), "utf-8", read, u))  # noqa: B023
         for written in SINGLE:
             if written != read:
                 add(f"{written}>{read}", True, lambda c: _misread(c, written, read, "drop"))  # noqa: B023
@@ -97,12 +101,12 @@ def _unit_pattern() -> str:
         alternatives.append(f"[{lead}][{rest}\ufffd]{{2}}")
     twice = r"\x{c3}[\x{a2}-\x{af}](?:[\x{c2}\x{c3}\x{c5}\x{c6}\x{cb}][^\x00-\x7f]|\x{e2}[^\x00-\x7f]{2}){2}"
     # Kana of the older Japanese encodings all begin with one byte; two in a row are a unit with what follows.
-    starts = {f"\\x{{{ord(_table(read, 'keep')[b]):x}}}" for read in TWICE for b in (0x82, 0xA4)}
+    starts = {f"\\x{{{ord(_table(read, 'keep')[b]):x}}}" for read in ("cp1252", "iso8859-1") for b in (0x82, 0xA4)}
     kana = [f"(?:{c}[^\\x00-\\x7f]){{2,}}" for c in sorted(starts)]
     return "|".join([*kana, twice, *dict.fromkeys(alternatives)])
 
 
-def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, str]]], masks: dict[str, int], lossy: bool) -> Iterator[tuple[str, str, bool]]:
+def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, str]]], masks: dict[str, int], lossy: bool, readers: tuple[str, ...] = ()) -> Iterator[tuple[str, str, bool]]:
     """(form, chain, swap) of a word under the chains that can garble each of its characters, by ``masks``.
 
     Swaps of single characters count only for whole words of some length: shorter ones and fragments are too
@@ -121,6 +125,13 @@ def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, st
             form = word.translate(table)
             if len(form) > (1 if swap or name.startswith("utf-8") else 3):
                 yield form, name, swap
+    if kind == "word" and readers:
+        data = word.encode("utf-8", "replace")
+        for read in readers:
+            form = data.decode(read, "replace").rstrip("\ufffd")
+            # One character of such a script is no evidence, and a form must hold more than what was kept.
+            if "\ufffd" not in form and sum(c > "\u2fff" for c in form) > (1 if form[:1] > "\u2fff" and len(form) < 3 else 0):
+                yield form, f"utf-8>{read}", False
     if lossy and kind != "char":
         for written in SINGLE:
             try:
@@ -139,10 +150,12 @@ def _forms(shared):
 
         bits, ways, masks = shared.value
         mask, lossy = (1 << FILTER_BITS) - 1, "\ufffd" in masks
+        # Such forms are ideographs: none can be in a corpus without.
+        readers = READERS if any("\u3400" <= c <= "\u9fff" for c in masks) else ()
         for batch in batches:
             rows = []
             for word, kind, n in zip(batch["word"], batch["kind"], batch["n"]):
-                for form, chain, swap in garbled_forms(word, kind, ways, masks, lossy):
+                for form, chain, swap in garbled_forms(word, kind, ways, masks, lossy, readers):
                     h = xxhash.xxh64_intdigest(form.encode("utf-8", "replace"), seed=42) & mask
                     if bits[h >> 3] >> (h & 7) & 1:
                         rows.append((form, "unit" if kind == "char" else kind, word, n, chain, swap))
@@ -186,17 +199,32 @@ def document_words(documents: DataFrame, ident: str, text: str) -> DataFrame:
     return cut.select("doc", F.explode(F.concat(*tagged)).alias("w")).select("doc", "w.word", "w.kind")
 
 
+def odd(word: Column) -> Column:
+    """Whether a word is not written as words are: a capital after a small letter, a symbol between letters, or
+    letters of two scripts. Quotes, dashes and other punctuation are no signs of anything."""
+    scripts = [word.rlike(rf"\p{{Is{x}}}").cast("int") for x in ("Latin", "Cyrillic", "Greek")]
+    return word.rlike(r"\p{Ll}\p{Lu}|\p{L}[\p{S}\p{No}]+\p{L}") | (scripts[0] + scripts[1] + scripts[2] > 1)
+
+
+def swap_ratio() -> Column:
+    """How many times more frequent the original of a swap is than its form; better writing counts BETTER_WRITTEN times."""
+    better = F.when(odd(F.col("word")) & ~odd(F.col("original")), float(BETTER_WRITTEN)).when(odd(F.col("original")) & ~odd(F.col("word")), 1 / BETTER_WRITTEN)
+    return F.col("n_original") / F.col("n") * better.otherwise(1.0)
+
+
 def confirmed_swaps(words: DataFrame, swaps: DataFrame) -> DataFrame:
     """(word, chain): forms about as frequent as their originals that the other words of their documents confirm.
 
     A document is taken as garbled by a chain if it has at least two of the chain's forms and the ratios of
     originals to forms multiply to LEAST_RATIO. In clean text under the chain's inverse the ratios are the
-    other way round. A form is confirmed if most of its documents are taken so. ``swaps`` should be staged.
+    other way round. A form is confirmed if most of its documents are taken so. ``swaps`` should be staged and has
+    ``ratio``, see :func:`swap_ratio`.
     """
-    near = (F.col("n_original") < LEAST_RATIO * F.col("n")) & (F.col("n_original") * LEAST_RATIO > F.col("n"))
-    pairs = swaps.groupBy("word", "chain").agg(F.max("n").alias("n"), F.max("n_original").alias("n_original")).withColumn("near", near)
+    pairs = swaps.groupBy("word", "chain").agg(F.max("n").alias("n"), F.max("ratio").alias("ratio"))
+    # A form may be far more frequent than its original where a whole source is garbled.
+    pairs = pairs.withColumn("near", (F.col("ratio") < LEAST_RATIO) & (F.col("ratio") * BETTER_WRITTEN > 1))
     pairs = stage(pairs.join(F.broadcast(pairs.filter("near").select("chain").distinct()), "chain", "left_semi"))
-    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("chain", F.log(F.col("n_original") / F.col("n")).alias("weight"), "near")).alias("c"))
+    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("chain", F.log("ratio").alias("weight"), "near")).alias("c"))
     seen = words.filter("kind = 'word'").join(sized(stage(listed), SMALL_ROWS), "word").select("doc", "word", F.inline("c"))
     taken = seen.groupBy("doc", "chain").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.collect_list(F.when(F.col("near"), F.col("word"))).alias("near"))
     taken = taken.filter((F.size("near") > 0) & (F.col("n") > 1) & (F.col("weight") > log(LEAST_RATIO) - 1e-9))
@@ -208,8 +236,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
     """(word, kind, original, chain, sure): the corpus's garbled words with their most frequent clean original.
 
     A form counts if a word of the corpus, written and read by one chain, gives it. A form that only swaps
-    single characters must be LEAST_RATIO times rarer than its original or confirmed by other words of its
-    documents, or it may be a word in its own right.
+    single characters must be LEAST_RATIO times rarer than its original, counting better writing, or confirmed by
+    other words of its documents, or it may be a word in its own right.
     ``sure`` is false where several clean originals of like frequency give one form. ``words`` is from :func:`document_words`.
     """
     vocabulary = stage(words.groupBy("word", "kind").agg(F.count("*").alias("n")))
@@ -219,10 +247,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
     ways = chains(charset)
     shared = words.sparkSession.sparkContext.broadcast((_word_filter(vocabulary), [(w.name, w.swap, w.table) for w in ways], character_masks(charset, ways)))
     forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(shared), "word string, kind string, original string, n_original long, chain string, swap boolean")
-    hits = stage(forms.join(vocabulary, ["word", "kind"]))
+    hits = stage(forms.join(vocabulary, ["word", "kind"]).withColumn("ratio", F.when(F.col("swap"), swap_ratio())))
     confirmed = confirmed_swaps(words, hits.filter("swap")).withColumn("confirmed", F.lit(True))
     hits = hits.join(sized(stage(confirmed), SMALL_ROWS), ["word", "chain"], "left")
-    hits = stage(hits.filter((~F.col("swap")) | (F.col("n_original") >= LEAST_RATIO * F.col("n")) | F.col("confirmed")).drop("n", "confirmed"))
+    hits = stage(hits.filter((~F.col("swap")) | (F.col("ratio") >= LEAST_RATIO) | F.col("confirmed")).drop("n", "ratio", "confirmed"))
     garbled = hits.select(F.col("word").alias("original"), "kind", F.lit(1).alias("dirty")).distinct()
     hits = hits.join(garbled, ["original", "kind"], "left").withColumn("dirty", F.coalesce("dirty", F.lit(0)))
     best = F.min_by(F.struct("original", "chain"), F.struct("dirty", -F.col("n_original"), "original", "chain")).alias("best")

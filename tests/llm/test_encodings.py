@@ -56,6 +56,25 @@ def test_a_third_garbled_by_a_swap(spark):
     assert restored[100] == texts[0] and restored[200] == once
 
 
+def test_more_garbled_than_clean(spark):
+    texts = ["Общая запись хранит раздел памяти", "Каждый раздел памяти хранит Старую запись", "Новая запись обновила Общий раздел"]
+    bad = rows([garble(t, "cp1251", "koi8-r") for t in texts * 6], 100)
+    df = spark.createDataFrame(rows(texts * 3) + bad, SCHEMA)
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == {r[0] for r in bad}
+    western = ["Die geprüfte Größe löscht die nächtliche Lösung", "Größere Änderungen prüft nächtlich die Küche"]
+    bad = rows([garble(t, "cp1252", "cp437") for t in western * 6], 200)
+    df = spark.createDataFrame(rows(western * 3) + bad, SCHEMA)
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == {r[0] for r in bad}
+
+
+def test_other_readers_and_pairs_of_readings(spark):
+    german, chinese = "Die Größe prüft die Übersicht", "注释更新了书架，记忆很旧"
+    twice = garble(garble("déjà vu à l’été", "utf-8", "cp1252"), "utf-8", "iso8859-1")
+    bad = [german.encode().decode(r, "replace") for r in ("gb18030", "shift_jis", "cp949")] + [garble("Καλημέρα κόσμε", "cp1253", "cp1252"), twice]
+    df = spark.createDataFrame(rows([german, chinese, "déjà vu à l’été", "Καλημέρα κόσμε"] * 4) + rows(bad, 100), SCHEMA)
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == {100, 101, 102, 103, 104}
+
+
 def test_empty_and_clean(spark):
     assert find_garbled(spark.createDataFrame([], SCHEMA)).count() == 0
     assert find_garbled(spark.createDataFrame(rows(CLEAN + NATURAL) + rows(["é" * 20_000], 500), SCHEMA)).count() == 0
