@@ -197,7 +197,7 @@ def most_similar(chunks: DataFrame, k: int = 10, least: float = 0.92, index: Ind
 
     Chunks with equal vectors form a class; the classes are searched through one representative, and of a
     class's own copies the ``k`` + 1 lowest ids stand for all, so copies are never paired with each other in
-    full. Ties go to the lower id. Rows without a usable vector, repeated deliveries and further columns are
+    full. Ties, by twelve digits, go to the lower id. Rows without a usable vector, repeated deliveries and further columns are
     ignored; an empty table gives an empty result. Beyond ``least`` the search is approximate: see Index.
     """
     vectors = usable_vectors(chunks)
@@ -210,7 +210,7 @@ def most_similar(chunks: DataFrame, k: int = 10, least: float = 0.92, index: Ind
     wanted = sized(stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), HOT_ROWS)
     vectors = vectors.join(wanted, "id", "left_semi")
     va, vb = vectors.select(F.col("id").alias("a"), F.col("v").alias("x")), vectors.select(F.col("id").alias("b"), F.col("v").alias("y"))
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
+    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 12).alias("similarity")).filter(F.col("similarity") >= least)
     scored = stage(scored)
     both = scored.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(scored.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
     # The k + 1 lowest ids of each class, itself for a single: enough for any k neighbours other than oneself.
