@@ -79,26 +79,37 @@ def communities(typed: DataFrame, rounds: int | None = None, similar: DataFrame
     labels = stage((every if ids is None else every.unionByName(ids.select("id"))).distinct().withColumn("label", F.col("id")))
     total = 2 * (links.agg(F.sum("weight")).first()[0] or 0.0)
     both = lambda x, y: F.explode(F.array(F.struct(x.alias("own"), y.alias("other")), F.struct(y.alias("own"), x.alias("other"))))
+    between = links.select(both(F.col("a"), F.col("b")).alias("e"), "weight").select("e.*", "weight")
+    ends = between.groupBy("own").agg(F.sum("weight").alias("ends"))
     # Pairs of communities with the weight between them, both ways, and the weight of all ends in each.
-    between = stage(links.select(both(F.col("a"), F.col("b")).alias("e"), "weight").select("e.*", "weight"))
-    ends = stage(between.groupBy("own").agg(F.sum("weight").alias("ends")))
-    done = 0
+    between = stage(between.join(ends, "own").join(ends.select(F.col("own").alias("other"), F.col("ends").alias("theirs")), "other"))
+    done, pending = 0, 0
     while total and (rounds is None or done < rounds):
         done += 1
-        rows = between.join(ends, "own").join(ends.select(F.col("own").alias("other"), F.col("ends").alias("theirs")), "other")
-        rows = rows.withColumn("gain", F.col("weight") - F.col("ends") * F.col("theirs") / total).filter(F.col("gain") > 1e-9 * F.col("weight"))
+        rows = between.withColumn("gain", F.col("weight") - F.col("ends") * F.col("theirs") / total).filter(F.col("gain") > 1e-9 * F.col("weight"))
         best = stage(rows.groupBy("own").agg(F.min_by(F.struct("other", "weight", "ends", "theirs", "gain"), F.struct(-F.col("gain"), -F.col("theirs"), "other")).alias("m")).select("own", "m.*"))
         suitors = best.filter(F.struct("theirs", "other") > F.struct("ends", "own"))
         suitors = suitors.join(suitors.select(F.col("own").alias("other")), "other", "left_anti")
         before = Window.partitionBy("other").orderBy(F.desc("gain"), "own").rowsBetween(Window.unboundedPreceding, -1)
         room = F.col("weight") - F.col("ends") * (F.col("theirs") + F.coalesce(F.sum("ends").over(before), F.lit(0.0))) / total
-        moves = stage(suitors.withColumn("room", room).filter("room > 0").select("own", F.col("other").alias("to")))
+        taken = suitors.withColumn("room", room).filter("room > 0")
+        grown = F.col("theirs") + F.sum("ends").over(Window.partitionBy("other"))
+        moves = stage(taken.select("own", F.col("other").alias("to"), grown.alias("now")))
         if not moves.take(1):
             break
-        moved = lambda df, c: df.join(moves.select(F.col("own").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        labels = stage(moved(labels, "label"))
-        between = stage(moved(moved(between, "own"), "other").filter("own != other").groupBy("own", "other").agg(F.sum("weight").alias("weight")))
-        ends = stage(moved(ends, "own").groupBy("own").agg(F.sum("ends").alias("ends")))
+        # Where each community that changed is now, and its ends: those that moved and those that took them.
+        change = moves.unionByName(moves.select(F.col("to").alias("own"), "to", "now").distinct())
+
+        def moved(df: DataFrame, name: str, sum_: str, change: DataFrame = change) -> DataFrame:
+            at = change.select(F.col("own").alias(name), F.col("to").alias("_to"), F.col("now").alias("_now"))
+            return df.join(at, name, "left").withColumns({name: F.coalesce("_to", name), sum_: F.coalesce("_now", sum_)}).drop("_to", "_now")
+
+        labels, pending = labels.join(moves.select(F.col("own").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), pending + 1
+        if pending == 8:
+            labels, pending = stage(labels), 0
+        between = moved(moved(between, "own", "ends"), "other", "theirs").filter("own != other")
+        between = stage(between.groupBy("own", "other").agg(F.sum("weight").alias("weight"), F.max("ends").alias("ends"), F.max("theirs").alias("theirs")))
+    labels = stage(labels)
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("community"))
     # The place is the number of larger communities; only the few different sizes are put in order.
     larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)

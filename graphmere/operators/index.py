@@ -134,6 +134,27 @@ def reindex(
     return out
 
 
+def remove(spark: SparkSession, root: str, ids: DataFrame) -> int:
+    """Take the pages ``ids`` (id) out of all tables and return how many there were; edges that point to them stay.
+
+    Only the buckets of pages that are there are written.
+    """
+    now = store.read_pointer(spark, root)
+    if now is None:
+        return 0
+    n = now["tables"]["nodes"]["buckets"]
+    ids = stage(ids.filter("id is not null").select("id").distinct())
+    cells = lambda df: sorted(r[0] for r in df.select(store.bucket(F.col("id"), n)).distinct().collect())
+    there = stage(store.open_table(spark, root, "nodes", now, cells(ids)).select("id").join(sized(ids, SMALL_ROWS), "id", "left_semi"))
+    touched, count = cells(there), there.count()
+    if count:
+        gone = sized(there, SMALL_ROWS)
+        tables = {t: store.open_table(spark, root, t, now, touched).join(gone.withColumnRenamed("id", o), o, "left_anti") for t, o in OWNERS.items()}
+        mark = graph.set_hash(there.select(F.col("id").alias("line"))).first()["digest"][:16]
+        store.publish(spark, root, tables, f"{now['generation']}-{mark}", OWNERS, n, touched)
+    return count
+
+
 def actors_mark(status: DataFrame) -> str:
     """Tells a run that changed metadata outside the generation from the one before."""
     return graph.set_hash(status.filter("status = 'meta'").select(F.col("id").alias("line"))).first()["digest"][:16]
@@ -163,4 +184,3 @@ def build(spark: SparkSession, root: str, pages: DataFrame, edges: DataFrame, ch
     tables["postings"], tables["lengths"] = text_tables(pages)
     store.publish(spark, root, tables, name, OWNERS, n)
     return open_index(spark, root)
-

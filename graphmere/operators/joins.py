@@ -12,14 +12,15 @@ KEY_ROWS = 1_000_000
 SMALL_ROWS = 200_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int = KEY_ROWS) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int = KEY_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``key``; a key's rows of ``left`` are spread over salts by their number.
 
     ``right`` should have few rows of one key: those of a frequent key are repeated for each of its salts.
     Null keys match nothing and are spread as well. ``how`` is inner, left, left_semi or left_anti. ``left`` is
-    read twice, once for its keys only.
+    read twice, once for its keys only, unless ``counts`` (key, n) tells how many rows a key has.
     """
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.select(key, F.col("n").alias("_n")).filter(F.col("_n") > rows)
     hot = stage(hot.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / rows).cast("int").alias("_n")))
     if not hot.take(1):
         return left.join(right, key, how)

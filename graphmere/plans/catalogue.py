@@ -270,6 +270,13 @@ def recall_rerank(spark, d):
     return out.select("qid", "id", "rank")
 
 
+@query(S.chain(*S.TO_FINAL, recursive=True) + "SELECT id AS memory, count(*) AS hits FROM final WHERE place <= 5 GROUP BY 1")
+def recall_hits(spark, d):
+    """The recalled rows as events, counted."""
+    rows = recall.recall(stored_index(spark, d), _asked(spark, d))
+    return maintenance.recall_stats(maintenance.recall_events(rows)).select("memory", "hits")
+
+
 # Graph.
 
 
@@ -315,7 +322,11 @@ def _similar(spark, d):
     return graph.similarity_edges(maintenance.prune(_chunks(spark, d), ids, "page_id"), _typed(spark, d), ids, cutoff=0.35)
 
 
-@query()
+@query(_TYPED + "," + S.CHUNKS + """, own AS (SELECT page_id, v FROM heads WHERE page_id IN (SELECT id FROM pages)),
+s AS (SELECT q.page_id AS qid, h.page_id AS id, round(list_cosine_similarity(q.v, h.v), 9) AS similarity FROM own q JOIN own h ON q.page_id <> h.page_id),
+n AS (SELECT * FROM s WHERE similarity >= 0.35 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) <= 6)
+SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(floor(similarity * 1000 + 0.5) / 1000) AS weight FROM n
+WHERE NOT EXISTS (SELECT 1 FROM pair WHERE a = least(qid, id) AND b = greatest(qid, id)) GROUP BY ALL""")
 def graph_similarity_edges_all(spark, d):
     return _similar(spark, d)
 
@@ -330,6 +341,30 @@ def graph_communities(spark, d):
     return graph.communities(_typed(spark, d), similar=_similar(spark, d), ids=_pages(spark, d))
 
 
+@query(S.chain(S.LAST) + "SELECT count(*) AS pages, TRUE AS once, TRUE AS named, TRUE AS sized, TRUE AS placed, 0 AS mergers FROM pages")
+def graph_community_invariants(spark, d):
+    """What must hold of any result: each page once, communities named by their lowest page, right sizes and places, and
+    no two communities whose merger would add modularity."""
+    typed, similar = stage(_typed(spark, d)), stage(_similar(spark, d))
+    found = stage(graph.communities(typed, similar=similar, ids=_pages(spark, d)))
+    groups = found.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min("size").alias("size"), F.max("size").alias("most"), F.min("place").alias("place"))
+    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = groups.groupBy("size").agg(F.count("*").alias("k")).select("size", F.coalesce(F.sum("k").over(larger), F.lit(0)).alias("ahead"))
+    told = groups.join(F.broadcast(sizes), "size").agg(
+        F.bool_and(F.col("community") == F.col("low")).alias("named"), F.bool_and((F.col("n") == F.col("size")) & (F.col("most") == F.col("size"))).alias("sized"), F.bool_and(F.col("place") == F.col("ahead")).alias("placed"))
+    whole = found.agg(F.count("*").alias("pages"), (F.count_distinct("id") == F.count("*")).alias("once"))
+    links = typed.filter("source != target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max("weight").alias("w")).unionByName(similar.select("a", "b", F.col("weight").alias("w")))
+    links = links.groupBy("a", "b").agg(F.max("w").alias("w")).filter("w > 0")
+    name = lambda c: found.select(F.col("id").alias(c), F.col("community").alias(f"{c}c"))
+    links = stage(links.join(name("a"), "a").join(name("b"), "b"))
+    ends = stage(links.select(F.explode(F.array("ac", "bc")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("ends")))
+    total = ends.agg(F.sum("ends")).first()[0] or 1.0
+    between = links.filter("ac != bc").groupBy(F.least("ac", "bc").alias("ac"), F.greatest("ac", "bc").alias("bc")).agg(F.sum("w").alias("w"))
+    between = between.join(ends.select(F.col("c").alias("ac"), F.col("ends").alias("x")), "ac").join(ends.select(F.col("c").alias("bc"), F.col("ends").alias("y")), "bc")
+    better = between.agg(F.count_if(F.col("w") - F.col("x") * F.col("y") / total > 1e-6 * F.col("w")).cast("int").alias("mergers"))
+    return whole.join(F.broadcast(told)).join(F.broadcast(better)).select("pages", "once", "named", "sized", "placed", "mergers")
+
+
 def _set_hash(lines: str, last: str) -> str:
     part = lambda i: f"(coalesce(sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT), 0) % 18446744073709551616)::VARCHAR"
     return f""", h AS (SELECT sha256(coalesce(line, '')) AS h FROM ({lines})),
@@ -458,6 +493,27 @@ def normalize_relation(spark, d):
     return table(spark, d, "edges").groupBy("type", kind.alias("normal"), R.family(kind).alias("family")).agg(F.count("*").alias("n"))
 
 
+@query(S.chain(S.LAST) + r"""SELECT id, coalesce(nullif(title, ''), id)[1:48] AS label, trim(regexp_replace(body, '[\s\x0b]+', ' ', 'g'))[1:240] AS preview FROM pages""")
+def page_previews(spark, d):
+    return _pages(spark, d).select("id", T.label(F.col("title"), F.col("id")).alias("label"), T.preview(F.col("body")).alias("preview"))
+
+
+_SLUG = "coalesce(nullif(substr(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'item')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT title, body, sha256(coalesce(title, '') || chr(10) || coalesce(body, '')) AS h FROM memory_items),
+w AS (SELECT h, w, 'out_memory/' || {_SLUG.format(c="coalesce(title, '')")} || '-' || substr(h, 1, w) AS id FROM n, (SELECT unnest([6, 10, 14, 18, 22, 26, 30, 34, 38, 42, 46, 50, 54, 58, 62, 64]) AS w)),
+taken AS (SELECT id, sha256(coalesce(title, '') || chr(10) || coalesce(body, '')) AS t FROM nodes),
+free AS (SELECT h, w, id FROM w WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.id = w.id AND t <> h) QUALIFY h = min(h) OVER (PARTITION BY id)),
+best AS (SELECT h, arg_min(id, w) AS id FROM free GROUP BY h)
+SELECT md5(h) AS content, id FROM best""")
+def memory_ids(spark, d):
+    """Ids of all items as if they were new, beside those of the pages, longer where two contents share one."""
+    out = T.memory_ids(table(spark, d, "memory_items"), table(spark, d, "nodes"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return out.select(F.md5(F.sha2(F.concat(text("title"), F.lit("\n"), text("body")), 256)).alias("content"), "id")
+
+
 @query(S.chain(S.LAST) + f"SELECT {S.ZONE} AS zone, coalesce(trust, 'untrusted') AS trust, count(*) AS n FROM pages GROUP BY ALL")
 def zone_counts(spark, d):
     return _pages(spark, d).groupBy(R.zone(F.col("path")).alias("zone"), F.coalesce("trust", F.lit("untrusted")).alias("trust")).agg(F.count("*").alias("n"))

@@ -45,6 +45,11 @@ def test_reindex(spark, tmp_path):
     touched = {str(r[0]) for r in spark.createDataFrame([("a",), ("b",)], "id string").select(store.bucket(F.col("id"), 8)).collect()}
     assert {b for b, f in now["tables"]["nodes"]["folders"].items() if held["tables"]["nodes"]["folders"].get(b) != f} <= touched
     assert run(rows[:5]) == counts(files=5, skipped=5, pruned=1) and {r["id"] for r in index.open_index(spark, root).nodes.collect()} == set("abcde")
+    gone = spark.createDataFrame([("a",), ("a",), ("nobody",), (None,)], "id string")
+    assert index.remove(spark, root, gone) == 1 and index.remove(spark, root, gone) == 0
+    ix = index.open_index(spark, root)
+    assert ix.nodes.count() == 4 and ix.postings.filter("id = 'a'").count() == ix.chunks.filter("page_id = 'a'").count() == 0
+    assert run(rows[:5]) == counts(files=5, indexed=1, skipped=4)
     assert run(rows[:5], fresh=True) == counts(files=5, indexed=5)
     assert index.reindex(spark, root, spark.createDataFrame(rows[:5], ITEM), hashed_words(8)) == counts(files=5, indexed=5)
     assert index.reindex(spark, root, spark.createDataFrame([], ITEM), hashed_words(8)) == counts(pruned=5)
