@@ -203,7 +203,8 @@ def most_similar(chunks: DataFrame, k: int = 10, least: float = 0.92, index: Ind
     vectors = usable_vectors(chunks)
     keyed = vectors.select("id", F.struct(F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).alias("h"))
     classes = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    copies = stage(spread_join(keyed, classes.select("h", "rep"), "h", "inner").select("id", "rep"))
+    classes = stage(classes)
+    copies = stage(spread_join(keyed, classes.select("h", "rep"), "h", "inner", counts=classes).select("id", "rep"))
     heads = vectors.join(sized(copies.filter("id != rep").select("id"), HOT_ROWS), "id", "left_anti")
     index = index or Index.for_rows(vectors.count(), least=least)
     pairs = stage(candidate_pairs(heads, index, least))
@@ -224,7 +225,7 @@ def most_similar(chunks: DataFrame, k: int = 10, least: float = 0.92, index: Ind
     wide = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     targets = targets.withColumn("i", F.row_number().over(wide)).filter(F.col("i") <= k + 1).drop("i")
     # A class's members are many and its targets few: the members are spread.
-    members = spread_join(copies.select(F.col("rep").alias("id"), F.col("id").alias("member")), targets, "id", "inner").drop("id").withColumnRenamed("member", "id")
+    members = spread_join(copies.select(F.col("rep").alias("id"), F.col("id").alias("member")), targets, "id", "inner", counts=classes.select(F.col("rep").alias("id"), "n")).drop("id").withColumnRenamed("member", "id")
     members = members.unionByName(targets.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_anti"))
     members = members.filter("id != neighbour").withColumn("rank", F.row_number().over(wide)).filter(F.col("rank") <= k)
     return members.select(F.col("id").alias("chunk_id"), "neighbour", "similarity", "rank")
