@@ -142,8 +142,8 @@ def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_w
     hashed = sets.select("item", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("n"), "sh", "words")
     prints = stage(hashed.mapInArrow(_fingerprints(kind, max(least_words, size)), "item long, h1 long, h2 int, n int, symbols binary, s0 long, s1 long, s2 long, s3 long"))
     keyed = prints.select("item", F.struct("h1", "h2", "n").alias("h"))
-    classes = keyed.groupBy("h").agg(F.min("item").alias("rep"), F.count("*").alias("size"))
-    copies = stage(spread_join(keyed, classes.filter("size > 1").select("h", "rep"), "h", "inner").select("item", "rep"))
+    classes = stage(keyed.groupBy("h").agg(F.min("item").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    copies = stage(spread_join(keyed, classes.select("h", "rep"), "h", "inner", counts=classes).select("item", "rep"))
     others = sized(copies.filter("item != rep").select("item"), SMALL_ROWS)
     heads = prints.join(others, "item", "left_anti").select(F.col("item").alias("rep"), "symbols")
     keys = heads.select("rep", F.explode(ball_keys(kind)).alias("key"))
