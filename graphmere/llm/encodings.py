@@ -32,6 +32,9 @@ SMALL_ROWS = 200_000
 #: Bits of the filter over the corpus's words, at most 4 MB, that drops forms which can't be in the corpus.
 FILTER_BITS = 25
 
+#: From here on there are too many characters for a table of their pairs.
+FIRST_CJK = "\u2e80"
+
 #: Words: runs of ASCII letters and digits and of other characters, with at least one of the latter. Every chain
 #: keeps ASCII and turns other characters into other characters, so words of garbled text are garbled words.
 WORD = r"(?<![A-Za-z0-9])[A-Za-z0-9]*+[^\x00-\x7f][A-Za-z0-9\x{80}-\x{10ffff}]*"
@@ -67,12 +70,19 @@ class Chain:
     table: dict[int, str]
 
 
-def chains(charset: str) -> list[Chain]:
-    """All chains over the characters of a corpus, as far as their results are characters of the corpus too."""
+def chains(charset: str, pairs: frozenset[str] | None = None) -> list[Chain]:
+    """All chains over the characters of a corpus, as far as their results are characters of the corpus too.
+
+    ``pairs`` has the corpus's pairs of neighbouring characters below FIRST_CJK: a result with another pair can't
+    be in a word of the corpus.
+    """
     known, out = set(charset), []
 
+    def can_be(form: str) -> bool:
+        return known.issuperset(form) and not any(x.isascii() for x in form) and (pairs is None or all(a + b in pairs or max(a, b) >= FIRST_CJK for a, b in zip(form, form[1:])))
+
     def add(name: str, swap: bool, garble) -> None:
-        table = {ord(c): f for c in known if c > "\x7f" and (f := garble(c)) and f != c and known.issuperset(f) and not any(x.isascii() for x in f)}
+        table = {ord(c): f for c in known if c > "\x7f" and (f := garble(c)) and f != c and can_be(f)}
         if table and not any(c.table == table for c in out):
             out.append(Chain(name, swap, table))
 
@@ -93,17 +103,20 @@ def chains(charset: str) -> list[Chain]:
 
 def _unit_pattern() -> str:
     """What one character of three UTF-8 bytes becomes when these are read in an encoding of SINGLE."""
-    alternatives = []
+    alternatives, first = [], {"\u00c3"}
     for read in SINGLE:
         t = _table(read, "keep")
+        first |= {t[b] for b in range(0xE2, 0xF0)}
         lead = "".join(f"\\x{{{ord(t[b]):x}}}" for b in range(0xE2, 0xF0))
         rest = "".join(f"\\x{{{ord(t[b]):x}}}" for b in range(0x80, 0xC0))
         alternatives.append(f"[{lead}][{rest}\ufffd]{{2}}")
     twice = r"\x{c3}[\x{a2}-\x{af}](?:[\x{c2}\x{c3}\x{c5}\x{c6}\x{cb}][^\x00-\x7f]|\x{e2}[^\x00-\x7f]{2}){2}"
     # Kana of the older Japanese encodings all begin with one byte; two in a row are a unit with what follows.
-    starts = {f"\\x{{{ord(_table(read, 'keep')[b]):x}}}" for read in ("cp1252", "iso8859-1") for b in (0x82, 0xA4)}
-    kana = [f"(?:{c}[^\\x00-\\x7f]){{2,}}" for c in sorted(starts)]
-    return "|".join([*kana, twice, *dict.fromkeys(alternatives)])
+    starts = {_table(read, "keep")[b] for read in ("cp1252", "iso8859-1") for b in (0x82, 0xA4)}
+    kana = [f"(?:\\x{{{ord(c):x}}}[^\\x00-\\x7f]){{2,}}" for c in sorted(starts)]
+    # Most characters begin no unit: one look at them instead of one for each encoding.
+    begins = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(first | starts))
+    return f"(?=[{begins}])(?:" + "|".join([*kana, twice, *dict.fromkeys(alternatives)]) + ")"
 
 
 def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, str]]], masks: dict[str, int], lossy: bool, readers: tuple[str, ...] = ()) -> Iterator[tuple[str, str, bool]]:
@@ -117,14 +130,18 @@ def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, st
     for c in word:
         if c > "\x7f":
             m &= masks.get(c, 0)
+    seen = set()
     while m > 0:
         low = m & -m
         m ^= low
         name, swap, table = ways[low.bit_length() - 1]
-        if not swap or (kind == "word" and len(word) >= LEAST_LENGTH):
-            form = word.translate(table)
-            if len(form) > (1 if swap or name.startswith("utf-8") else 3):
-                yield form, name, swap
+        if swap:
+            if kind == "word" and len(word) >= LEAST_LENGTH:
+                yield word.translate(table), name, swap
+        elif len(form := word.translate(table)) > (1 if name.startswith("utf-8") else 3) and form not in seen:
+            # Encodings that agree in a word's bytes give one form; the first of them names it.
+            seen.add(form)
+            yield form, name, swap
     if kind == "word" and readers:
         data = word.encode("utf-8", "replace")
         for read in readers:
@@ -138,7 +155,8 @@ def garbled_forms(word: str, kind: str, ways: list[tuple[str, bool, dict[int, st
                 form = word.encode(written).decode("utf-8", "replace")
             except UnicodeEncodeError:
                 continue
-            if "\ufffd" in form:
+            if "\ufffd" in form and form not in seen:
+                seen.add(form)
                 yield form, f"{written}>utf-8", False
 
 
@@ -154,13 +172,13 @@ def _forms(shared):
         readers = READERS if any("\u3400" <= c <= "\u9fff" for c in masks) else ()
         for batch in batches:
             rows = []
-            for word, kind, n in zip(batch["word"], batch["kind"], batch["n"]):
+            for word, kind, n, strange in zip(batch["word"], batch["kind"], batch["n"], batch["odd"]):
                 for form, chain, swap in garbled_forms(word, kind, ways, masks, lossy, readers):
                     h = xxhash.xxh64_intdigest(form.encode("utf-8", "replace"), seed=42) & mask
                     if bits[h >> 3] >> (h & 7) & 1:
-                        rows.append((form, "unit" if kind == "char" else kind, word, n, chain, swap))
+                        rows.append((form, "unit" if kind == "char" else kind, word, n, strange, chain, swap))
             rows = list(dict.fromkeys(rows))
-            yield pd.DataFrame(rows, columns=["word", "kind", "original", "n_original", "chain", "swap"])
+            yield pd.DataFrame(rows, columns=["word", "kind", "original", "n_original", "odd_original", "chain", "swap"])
 
     return run
 
@@ -208,7 +226,7 @@ def odd(word: Column) -> Column:
 
 def swap_ratio() -> Column:
     """How many times more frequent the original of a swap is than its form; better writing counts BETTER_WRITTEN times."""
-    better = F.when(odd(F.col("word")) & ~odd(F.col("original")), float(BETTER_WRITTEN)).when(odd(F.col("original")) & ~odd(F.col("word")), 1 / BETTER_WRITTEN)
+    better = F.when(F.col("odd") & ~F.col("odd_original"), float(BETTER_WRITTEN)).when(F.col("odd_original") & ~F.col("odd"), 1 / BETTER_WRITTEN)
     return F.col("n_original") / F.col("n") * better.otherwise(1.0)
 
 
@@ -221,8 +239,7 @@ def confirmed_swaps(words: DataFrame, swaps: DataFrame) -> DataFrame:
     ``ratio``, see :func:`swap_ratio`.
     """
     pairs = swaps.groupBy("word", "chain").agg(F.max("n").alias("n"), F.max("ratio").alias("ratio"))
-    # A form may be far more frequent than its original where a whole source is garbled.
-    pairs = pairs.withColumn("near", (F.col("ratio") < LEAST_RATIO) & (F.col("ratio") * BETTER_WRITTEN > 1))
+    pairs = pairs.withColumn("near", (F.col("ratio") < LEAST_RATIO) & (F.col("ratio") * LEAST_RATIO > 1))
     pairs = stage(pairs.join(F.broadcast(pairs.filter("near").select("chain").distinct()), "chain", "left_semi"))
     listed = pairs.groupBy("word").agg(F.collect_list(F.struct("chain", F.log("ratio").alias("weight"), "near")).alias("c"))
     seen = words.filter("kind = 'word'").join(sized(stage(listed), SMALL_ROWS), "word").select("doc", "word", F.inline("c"))
@@ -240,17 +257,23 @@ def garbled_words(words: DataFrame) -> DataFrame:
     other words of its documents, or it may be a word in its own right.
     ``sure`` is false where several clean originals of like frequency give one form. ``words`` is from :func:`document_words`.
     """
-    vocabulary = stage(words.groupBy("word", "kind").agg(F.count("*").alias("n")))
-    # The characters of all words, no more than Unicode has; what they may become is worked out once.
-    letters = vocabulary.filter("kind = 'fragment'").select(F.explode(F.split("word", "")).alias("c")).filter("c != ''").distinct()
-    charset = "".join(sorted(r["c"] for r in letters.toLocalIterator()))
-    ways = chains(charset)
+    vocabulary = words.groupBy("word", "kind").agg(F.count("*").alias("n"))
+    vocabulary = stage(vocabulary.withColumn("odd", (F.col("kind") == "word") & odd(F.col("word"))))
+    # The characters of all words, and the pairs of those below FIRST_CJK, no more than Unicode has; what they may
+    # become is worked out once.
+    runs = vocabulary.filter("kind = 'fragment'")
+    two = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, 2))
+    ends = F.filter(F.when(F.length("word") > 1, two), lambda p: (F.substring(p, 1, 1) < FIRST_CJK) & (F.substring(p, 2, 1) < FIRST_CJK))
+    found = runs.select(F.explode(F.concat(F.filter(F.split("word", ""), lambda c: c != ""), F.coalesce(ends, F.array().cast("array<string>")))).alias("c")).distinct()
+    letters = [r["c"] for r in found.toLocalIterator()]
+    charset, pairs = "".join(sorted(c for c in letters if len(c) == 1)), frozenset(c for c in letters if len(c) == 2)
+    ways = chains(charset, pairs)
     shared = words.sparkSession.sparkContext.broadcast((_word_filter(vocabulary), [(w.name, w.swap, w.table) for w in ways], character_masks(charset, ways)))
-    forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(shared), "word string, kind string, original string, n_original long, chain string, swap boolean")
+    forms = vocabulary.filter("kind != 'unit'").mapInPandas(_forms(shared), "word string, kind string, original string, n_original long, odd_original boolean, chain string, swap boolean")
     hits = stage(forms.join(vocabulary, ["word", "kind"]).withColumn("ratio", F.when(F.col("swap"), swap_ratio())))
     confirmed = confirmed_swaps(words, hits.filter("swap")).withColumn("confirmed", F.lit(True))
     hits = hits.join(sized(stage(confirmed), SMALL_ROWS), ["word", "chain"], "left")
-    hits = stage(hits.filter((~F.col("swap")) | (F.col("ratio") >= LEAST_RATIO) | F.col("confirmed")).drop("n", "ratio", "confirmed"))
+    hits = stage(hits.filter((~F.col("swap")) | (F.col("ratio") >= LEAST_RATIO) | F.col("confirmed")).drop("n", "ratio", "confirmed", "odd", "odd_original"))
     garbled = hits.select(F.col("word").alias("original"), "kind", F.lit(1).alias("dirty")).distinct()
     hits = hits.join(garbled, ["original", "kind"], "left").withColumn("dirty", F.coalesce("dirty", F.lit(0)))
     best = F.min_by(F.struct("original", "chain"), F.struct("dirty", -F.col("n_original"), "original", "chain")).alias("best")
