@@ -92,7 +92,7 @@ def memory_id(title: Column, body: Column, folder: str = "out_memory", width: in
 
 
 def memory_ids(new: DataFrame, existing: DataFrame, folder: str = "out_memory") -> DataFrame:
-    """(title, body, id) of new memories (title, body), each distinct one once.
+    """(title, body, id) of new memories (title, body), each distinct one once; null counts as empty.
 
     An id ends in six digits of the content's hash, or in more, by steps of four up to all 64, as long as it is
     taken: by a memory of another content in ``existing`` (id, title, body), or by one in ``new`` whose hash is lower.
@@ -100,7 +100,7 @@ def memory_ids(new: DataFrame, existing: DataFrame, folder: str = "out_memory")
     widths = [*range(6, 64, 4), 64]
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     digest = lambda: F.sha2(F.concat(text("title"), F.lit("\n"), text("body")), 256)
-    rows = new.select("title", "body").distinct().withColumn("h", digest())
+    rows = new.select("title", "body").withColumn("h", digest()).groupBy("h").agg(F.min(F.struct("title", "body")).alias("c")).select("h", "c.*")
     each = rows.select("h", slug(text("title")).alias("s"), F.explode(F.array(*map(F.lit, widths))).alias("w"))
     each = each.select("h", "w", F.concat(F.lit(folder + "/"), "s", F.lit("-"), F.substring("h", F.lit(1), F.col("w"))).alias("id"))
     taken = existing.select("id", digest().alias("t"))
