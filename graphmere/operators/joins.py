@@ -16,7 +16,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     """``left`` joined with ``right`` on ``key``; a key's rows of ``left`` are spread over salts by their number.
 
     ``right`` should have few rows of one key: those of a frequent key are repeated for each of its salts.
-    Null keys match nothing and are spread as well. ``how`` is inner, left, left_semi or left_anti. ``left`` is
+    Null keys match nothing and are spread as well; rows that are equal in all columns stay together. ``how`` is inner, left, left_semi or left_anti. ``left`` is
     read twice, once for its keys only, unless ``counts`` (key, n) tells how many rows a key has.
     """
     counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
@@ -25,8 +25,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     if not hot.take(1):
         return left.join(right, key, how)
     hot = sized(hot, SMALL_ROWS)  # no more rows than there are in left / rows
-    # By place and not by content: rows that are equal in all columns are spread as well as others.
-    salt = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_n"))).otherwise(0).cast("int")
+    # By content and not by place, so that a task that runs again after a loss sends each row where it went before.
+    salt = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_n"))).otherwise(0).cast("int")
     a = left.join(hot, left[key].eqNullSafe(hot["_k"]), "left").withColumn("_s", salt).drop("_k", "_n")
     salts = F.when(F.col("_n").isNotNull(), F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.lit(0)))
     b = right.join(hot, right[key] == hot["_k"], "left").withColumn("_s", F.explode(salts)).drop("_k", "_n")
