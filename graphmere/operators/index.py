@@ -180,7 +180,13 @@ def known_actors(rows: DataFrame, stored: DataFrame) -> DataFrame:
 def build(spark: SparkSession, root: str, pages: DataFrame, edges: DataFrame, chunks: DataFrame, name: str) -> Tables:
     """An index under ``root`` from pages, edges and chunks that are there already, published as ``name``."""
     n = max(8, -(-pages.count() // BUCKET_ROWS))
-    tables = {"nodes": pages, "edges": edges, "chunks": chunks}
-    tables["postings"], tables["lengths"] = text_tables(pages)
-    store.publish(spark, root, tables, name, OWNERS, n)
+    written = lambda t, m: store.open_table(spark, root, t, m)
+
+    def lengths(m: dict) -> DataFrame:
+        found = written("postings", m).groupBy("id").agg(F.first("dl").alias("dl"))
+        return written("nodes", m).select("id").join(found, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+    # Words are counted from the pages as they are written: their texts are shuffled once, the postings not at all.
+    tables = {"nodes": pages, "edges": edges, "chunks": chunks, "postings": lambda m: retrieval.postings(written("nodes", m)), "lengths": lengths}
+    store.publish(spark, root, tables, name, OWNERS, n, placed=("postings",))
     return open_index(spark, root)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ CAP_OUT, CAP_IN, HUB, IN_WEIGHT = 16, 8, 32, 0.7
 SMALL_ROWS = 200_000
 #: Query vectors that are multiplied with all chunks at a time.
 BLOCK = 20_000
+#: Postings of the queries' terms that are scored at a time, about; those of one page are never apart.
+SCORED = 1_000_000
 
 
 def list_length(k: int) -> int:
@@ -47,11 +50,33 @@ def field_tokens(pages: DataFrame) -> DataFrame:
     return t.withColumn("dl", F.size("title") + F.size("description") + F.size("body"))
 
 
+def _counted(batches: Iterator) -> Iterator:
+    """Postings of batches (id, dl, a token list for each field): a page's words are counted where the page is."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            lists = [batch.column(i) for i in range(2, 2 + len(FIELDS))]
+            rows = [np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)) for x in lists]
+            words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            if not len(words):
+                continue
+            size = len(words.dictionary)
+            key, place = np.unique(np.concatenate(rows) * size + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            ends = np.cumsum([len(x) for x in rows])[:-1]
+            counts = [pa.array(np.bincount(x, minlength=len(key)).astype(np.int32)) for x in np.split(place, ends)]
+            page = pa.array(key // size)
+            columns = [words.dictionary.take(pa.array(key % size)), batch.column(0).take(page), batch.column(1).take(page), *counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "dl", *(f"tf_{f}" for f in FIELDS)])
+
+
 def postings_of(tokens: DataFrame) -> DataFrame:
-    """The inverted index (term, id, dl, tf_title, tf_description, tf_body) of :func:`field_tokens`."""
-    parts = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("tokens")) for i, f in enumerate(FIELDS)])
-    flat = tokens.select("id", "dl", F.explode(parts).alias("p")).select("id", "dl", "p.f", F.explode("p.tokens").alias("term"))
-    return flat.groupBy("term", "id", "dl").agg(*(F.count_if(F.col("f") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(FIELDS)))
+    """The inverted index (term, id, dl, tf_title, tf_description, tf_body) of :func:`field_tokens`; nothing is shuffled."""
+    kinds = ", ".join(f"tf_{f} int" for f in FIELDS)
+    return tokens.select("id", "dl", *FIELDS).mapInArrow(_counted, f"term string, id string, dl int, {kinds}")
 
 
 def postings(pages: DataFrame) -> DataFrame:
@@ -73,27 +98,92 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(T.query_tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score): every page that has a term of the query.
+def _scored(shared, most: int | None):
+    """The scores of one block's postings (id, dl, code, wtf) for each query; with ``most`` the best of each only,
+    by the score as it is rounded and then by id."""
+
+    def run(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        qids, asked, size, avgdl = shared.value
+        rows = pa.Table.from_batches(list(batches))
+        ids = rows["id"].combine_chunks().dictionary_encode()
+        order = pc.sort_indices(ids.dictionary)
+        names, rank = ids.dictionary.take(order), np.empty(len(order), dtype=np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        code, wtf, dl = (rows[c].to_numpy() for c in ("code", "wtf", "dl"))
+        part = wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * dl / avgdl))
+        page, by_code = rank[ids.indices.to_numpy()], np.argsort(code, kind="stable")
+        page, part, start = page[by_code], part[by_code], np.searchsorted(code[by_code], np.arange(size + 1))
+        found: list[tuple] = []
+
+        def batch():
+            q, p, s = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([qids.take(pa.array(q)), names.take(pa.array(p)), pa.array(s)], names=["qid", "id", "score"])
+
+        waiting = 0
+        for terms, weights, who in asked:
+            cuts = [slice(start[c], start[c + 1]) for c in terms]
+            score = np.bincount(np.concatenate([page[c] for c in cuts]), np.concatenate([w * part[c] for w, c in zip(weights, cuts)]), len(names))
+            here = np.flatnonzero(score)
+            if most is not None and len(here) > most:
+                # Whatever rounds to the last score that counts, or more.
+                here = here[score[here] >= np.partition(score, len(score) - most)[len(score) - most] - 2e-9]
+                here = here[np.argsort(-np.floor(score[here] * 1e9 + 0.5), kind="stable")[:most]]
+            if len(here):
+                for q in who:
+                    found.append((np.full(len(here), q), here, score[here]))
+                    waiting += len(here)
+            if waiting > 50_000:
+                yield batch()
+                waiting = 0
+        if found:
+            yield batch()
+
+    return run
+
+
+def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(qid, id, score): every page that has a term of the query; with ``most`` at least the best of each query.
 
     ``index`` has the postings and ``lengths`` the lengths of all pages. Of a stored index only the terms of the
-    queries are used; no text is read.
+    queries are used; no text is read. The queries' terms are a stated set that goes to all tasks; postings are
+    shuffled once, in blocks of whole pages, and a block is scored where it is. So with ``most`` the pairs of a query
+    and a page, which grow with the product of both, are neither shuffled nor written.
     """
+    spark, kind = queries.sparkSession, queries.schema["qid"].dataType.simpleString()
     terms = stage(query_terms(queries))
-    wanted = stage(terms.select("term").distinct())
-    used = stage(weighted(index.join(sized(wanted, SMALL_ROWS), "term", "left_semi")))
+    used = index.join(sized(terms.select("term").distinct(), SMALL_ROWS), "term", "left_semi")
     stats = corpus_stats(lengths).first()
     n, avgdl = float(stats["n"]), float(stats["avgdl"] or 1.0)
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.join(df, "term").select("qid", "term", (F.col("times") * F.when(raw > 0, raw).otherwise(LEAST_IDF)).alias("idf"))
-    part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return used.join(sized(stage(terms), SMALL_ROWS), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    rows = terms.join(df, "term").select("qid", "term", "df", (F.col("times") * F.when(raw > 0, raw).otherwise(LEAST_IDF)).alias("idf")).toArrow().sort_by([("qid", "ascending"), ("term", "ascending")])
+    if not rows.num_rows:
+        return spark.createDataFrame([], f"qid {kind}, id string, score double")
+    qid, term = (rows[c].combine_chunks().dictionary_encode() for c in ("qid", "term"))
+    # Queries of the same terms are scored once.
+    lists: dict[int, list] = {}
+    for q, t, w in zip(qid.indices.to_pylist(), term.indices.to_pylist(), rows["idf"].to_pylist()):
+        lists.setdefault(q, []).append((t, w))
+    alike: dict[tuple, list[int]] = {}
+    for q, own in lists.items():
+        alike.setdefault(tuple(own), []).append(q)
+    asked = [([t for t, _ in own], [w for _, w in own], who) for own, who in alike.items()]
+    total = sum(dict(zip(term.indices.to_pylist(), rows["df"].to_pylist())).values())
+    shared = spark.sparkContext.broadcast((qid.dictionary, asked, len(term.dictionary), avgdl))
+    codes = spark.createDataFrame(list(zip(term.dictionary.to_pylist(), range(len(term.dictionary)))), "term string, code int")
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SCORED)))).cast("int")
+    used = weighted(index).join(sized(codes, SMALL_ROWS), "term").select("id", "dl", "code", "wtf", block.alias("block"))
+    return used.groupBy("block").applyInArrow(_scored(shared, most), f"qid {kind}, id string, score double")
 
 
 def text_arm(index: DataFrame, lengths: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(qid, id, score, rnk)."""
-    scored = bm25(index, lengths, queries).withColumn("score", F.round("score", 9))
+    scored = bm25(index, lengths, queries, n).withColumn("score", F.round("score", 9))
     return ranked(scored, n, F.desc("score"), "id")
 
 

@@ -61,14 +61,15 @@ def _switch(spark: SparkSession, root: str, manifest: dict) -> None:
 
 def publish(
     spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[dict], DataFrame]], generation: str, owners: dict[str, str] | None = None, buckets: int = 8,
-    touched: Iterable[int] | None = None, check: Callable[[dict], bool] | None = None, append: bool = False,
+    touched: Iterable[int] | None = None, check: Callable[[dict], bool] | None = None, append: bool = False, placed: Iterable[str] = (),
 ) -> bool:
     """Write the tables as a generation and point to it; False if it is the current one already.
 
     A table with an entry in ``owners`` is cut into ``buckets`` by that column. With ``touched`` only these buckets
     are written, from tables that hold just their rows, and all others stay those of the current generation. With
     ``append`` the rows are added to those of the current generation and nothing old is written again. A table may be
-    a function of the manifest so far, with the tables before it. A generation is complete, and passes ``check`` of
+    a function of the manifest so far, with the tables before it; those in ``placed`` come bucket by bucket, as they
+    are read from one of these, and are written without a shuffle. A generation is complete, and passes ``check`` of
     its manifest, before the pointer moves; else it is an error and the pointer stays.
     """
     now = read_pointer(spark, root)
@@ -85,7 +86,8 @@ def publish(
         entry = {"schema": df.schema.jsonValue(), "folders": old}
         if t in owners:
             # Split by size where one bucket holds far more than others.
-            cut = df.withColumn("_bucket", bucket(F.col(owners[t]), buckets)).hint("rebalance", "_bucket")
+            cut = df.withColumn("_bucket", bucket(F.col(owners[t]), buckets))
+            cut = cut if t in placed else cut.hint("rebalance", "_bucket")
             cut.write.mode("overwrite").partitionBy("_bucket").parquet(path)
             fs, p = _fs(spark, path)
             for b in sorted(s.getPath().getName().split("=")[1] for s in fs.listStatus(p) if s.isDirectory()):

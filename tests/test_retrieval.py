@@ -42,6 +42,24 @@ def test_bm25_against_formula(spark):
     assert got == pytest.approx(want)
 
 
+def test_text_arm_keeps_the_best_where_pages_are(spark, monkeypatch):
+    """Pairs of query and page are neither shuffled nor returned beyond the best of each block; ties go by id."""
+    monkeypatch.setattr(retrieval, "SCORED", 100)
+    pages = spark.createDataFrame([(f"p{i % 7}/{i:03}", f"ferry{i % 3} port", None, "the ferry " * (i % 5) + "zebra" * (i == 77)) for i in range(200)], "id string, title string, description string, body string")
+    queries = spark.createDataFrame([(f"q{i}", f"Ferry port ferry{i % 3}") for i in range(9)] + [("z", "zebra"), ("n", "nothing")], "qid string, query string")
+    postings, lengths = index.text_tables(pages)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    every = retrieval.bm25(postings, lengths, queries).withColumn("score", F.round("score", 9)).collect()
+    best = retrieval.bm25(postings, lengths, queries, 4).collect()
+    blocks = -(-sum(r["n"] for r in postings.filter("term in ('ferry', 'port', 'ferry0', 'ferry1', 'ferry2', 'zebra')").groupBy().agg(F.count("*").alias("n")).collect()) // 100)
+    assert len(every) == 9 * 200 + 1 and blocks > 1 and len(best) <= (9 * 4 + 1) * blocks < len(every)
+    got = sorted(tuple(r) for r in retrieval.text_arm(postings, lengths, queries, 4).select("qid", "rnk", "id", "score").collect())
+    want = []
+    for q in {r["qid"] for r in every}:
+        want += [(q, i, r["id"], r["score"]) for i, r in enumerate(sorted((r for r in every if r["qid"] == q), key=lambda r: (-r["score"], r["id"]))[:4])]
+    assert got == sorted(want) and len(got) == 37
+
+
 def test_vector_arm_limits_chunks_before_pages(spark):
     chunks = spark.createDataFrame([(i, "p" if i < 7 else f"q{i}", i, [1.0, i / 10.0]) for i in range(12)], "chunk_id long, page_id string, ord int, v array<double>")
     chunks = chunks.withColumn("v", F.transform("v", lambda x: x / F.sqrt(1 + F.pow(F.col("v")[1], 2))))
