@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from math import log
 
 import pandas as pd
+import pyarrow
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +39,12 @@ FIRST_CJK = "\u2e80"
 
 #: Words: runs of ASCII letters and digits and of other characters, with at least one of the latter. Every chain
 #: keeps ASCII and turns other characters into other characters, so words of garbled text are garbled words.
-WORD = r"(?<![A-Za-z0-9])[A-Za-z0-9]*+[^\x00-\x7f][A-Za-z0-9\x{80}-\x{10ffff}]*"
+WORD = r"(?<![A-Za-z0-9])[A-Za-z0-9]*+[^\x00-\x7f][A-Za-z0-9\x80-\U0010ffff]*"
 FRAGMENT = r"[^\x00-\x7f]+"
+#: Characters of scripts without blanks, and runs of kana.
+CHARS = (r"[\u0800-\ud7ff\ue000-\ufffc]", r"[\u3041-\u3093]{2,}")
+#: Words of which a task keeps the pieces.
+KNOWN_WORDS = 200_000
 
 
 @cache
@@ -107,15 +113,15 @@ def _unit_pattern() -> str:
     for read in SINGLE:
         t = _table(read, "keep")
         first |= {t[b] for b in range(0xE2, 0xF0)}
-        lead = "".join(f"\\x{{{ord(t[b]):x}}}" for b in range(0xE2, 0xF0))
-        rest = "".join(f"\\x{{{ord(t[b]):x}}}" for b in range(0x80, 0xC0))
+        lead = "".join(f"\\u{ord(t[b]):04x}" for b in range(0xE2, 0xF0))
+        rest = "".join(f"\\u{ord(t[b]):04x}" for b in range(0x80, 0xC0))
         alternatives.append(f"[{lead}][{rest}\ufffd]{{2}}")
-    twice = r"\x{c3}[\x{a2}-\x{af}](?:[\x{c2}\x{c3}\x{c5}\x{c6}\x{cb}][^\x00-\x7f]|\x{e2}[^\x00-\x7f]{2}){2}"
+    twice = r"\xc3[\xa2-\xaf](?:[\xc2\xc3\xc5\xc6\xcb][^\x00-\x7f]|\xe2[^\x00-\x7f]{2}){2}"
     # Kana of the older Japanese encodings all begin with one byte; two in a row are a unit with what follows.
     starts = {_table(read, "keep")[b] for read in ("cp1252", "iso8859-1") for b in (0x82, 0xA4)}
-    kana = [f"(?:\\x{{{ord(c):x}}}[^\\x00-\\x7f]){{2,}}" for c in sorted(starts)]
+    kana = [f"(?:\\u{ord(c):04x}[^\\x00-\\x7f]){{2,}}" for c in sorted(starts)]
     # Most characters begin no unit: one look at them instead of one for each encoding.
-    begins = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(first | starts))
+    begins = "".join(f"\\u{ord(c):04x}" for c in sorted(first | starts))
     return f"(?=[{begins}])(?:" + "|".join([*kana, twice, *dict.fromkeys(alternatives)]) + ")"
 
 
@@ -199,22 +205,60 @@ def _word_filter(vocabulary: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _pieces(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+    """(doc, word, kind) of batches (doc, text): a text is cut into words, and a word into its pieces the first time it is met."""
+    import numpy as np
+    import pyarrow as pa
+
+    words, fragments, units, char, kana = (re.compile(p) for p in (WORD, FRAGMENT, _unit_pattern(), *CHARS))
+    known: dict[str, tuple[int, ...]] = {}
+    codes: dict[tuple[str, str], int] = {}
+    names: list[tuple[str, str]] = []
+
+    def code(word: str, kind: str) -> int:
+        if (word, kind) not in codes:
+            codes[word, kind] = len(names)
+            names.append((word, kind))
+        return codes[word, kind]
+
+    def cut(word: str) -> tuple[int, ...]:
+        parts = fragments.findall(word)
+        all_of = lambda p: [x for part in parts for x in p.findall(part)]
+        kinds = {"word": [word], "fragment": parts, "unit": all_of(units), "char": all_of(char) + all_of(kana)}
+        return tuple({code(x, kind) for kind, each in kinds.items() for x in each})
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            if len(known) > KNOWN_WORDS:
+                known.clear(), codes.clear(), names.clear()
+            docs, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if not text or text.isascii():
+                    continue
+                own: set[int] = set()
+                for word in words.findall(text.decode("utf-8", "replace")):
+                    if word not in known:
+                        known[word] = cut(word)
+                    own.update(known[word])
+                docs += [i] * len(own)
+                found += own
+            if not found:
+                continue
+            used, place = np.unique(np.array(found), return_inverse=True)
+            columns = [pa.array(x, pa.string()).take(pa.array(place)) for x in zip(*(names[c] for c in used.tolist()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), *columns], names=["doc", "word", "kind"])
+
+
 def document_words(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(doc, word, kind), distinct in a document.
 
     kind: 'word'; 'fragment', a run of other than ASCII characters; 'unit', a piece of a fragment that may be
     one garbled character, for scripts without blanks; 'char', such a script's characters and runs of kana.
+    Words repeat from text to text, so that each is cut into its pieces once in a task and not once in a document.
     """
-    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
-    cut = documents.select(F.col(ident).alias("doc"), found.alias("found")).filter("size(found) > 0")
-    cut = cut.withColumn("parts", F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "found"), F.lit(FRAGMENT), F.lit(0))))
-    joined = F.concat_ws(" ", "parts")
-    kinds = {"word": F.col("found"), "fragment": F.col("parts"), "unit": F.array_distinct(F.regexp_extract_all(joined, F.lit(_unit_pattern()), F.lit(0)))}
-    some = [F.regexp_extract_all(joined, F.lit(p), F.lit(0)) for p in (r"[\x{800}-\x{d7ff}\x{e000}-\x{fffc}]", r"[\x{3041}-\x{3093}]{2,}")]
-    kinds["char"] = F.array_distinct(F.concat(*some))
-    tag = lambda k: lambda w: F.struct(w.alias("word"), F.lit(k).alias("kind"))
-    tagged = [F.transform(c, tag(k)) for k, c in kinds.items()]
-    return cut.select("doc", F.explode(F.concat(*tagged)).alias("w")).select("doc", "w.word", "w.kind")
+    rows = documents.select(F.col(ident).alias("doc"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(_pieces, f"doc {rows.schema['doc'].dataType.simpleString()}, word string, kind string")
 
 
 def odd(word: Column) -> Column:
@@ -306,8 +350,6 @@ def find_garbled(documents: DataFrame, ident: str = "doc_id", text: str = "text"
 
 @F.pandas_udf(T.StringType())
 def _substitute(text: pd.Series, fixes: pd.Series) -> pd.Series:
-    import re
-
     word, part = re.compile(r"[A-Za-z0-9]*[^\x00-\x7f][A-Za-z0-9\x80-\U0010ffff]*"), re.compile(FRAGMENT)
 
     def restore(t, f):

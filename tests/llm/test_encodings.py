@@ -78,3 +78,31 @@ def test_other_readers_and_pairs_of_readings(spark):
 def test_empty_and_clean(spark):
     assert find_garbled(spark.createDataFrame([], SCHEMA)).count() == 0
     assert find_garbled(spark.createDataFrame(rows(CLEAN + NATURAL) + rows(["é" * 20_000], 500), SCHEMA)).count() == 0
+
+
+def test_words_are_cut_once(spark, monkeypatch):
+    import re
+
+    import pyarrow as pa
+
+    from graphmere.llm import encodings
+
+    texts = ["", None, "plain ascii", "déjà vu déjà x² été", "この注釈が 昨日の棚 déjà", "naïve-ã©é DÃ©jÃ ã‚’ã\u0081¤", "été " * 3, "�x a1é2b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "d long, text string")
+    want = set()
+    for i, t in enumerate(texts):
+        for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t or ""):
+            if not w.isascii():
+                parts = re.findall(r"[^\x00-\x7f]+", w)
+                units = [u for p in parts for u in re.findall(encodings._unit_pattern(), p)]
+                chars = [c for c in w if "ࠀ" <= c < "�"] + re.findall("[ぁ-ん]{2,}", w)
+                want |= {(i, w, "word"), *((i, p, "fragment") for p in parts), *((i, u, "unit") for u in units), *((i, c, "char") for c in chars)}
+    made = encodings.document_words(df, "d", "text")
+    rows = [tuple(r) for r in made.collect()]
+    assert set(rows) == want and len(rows) == len(want) and {k for *_, k in want} == {"word", "fragment", "unit", "char"}
+    # No text goes through a pattern twice, as a filter pushed below its own column did.
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    # What is known is forgotten where it gets too much; nothing is lost by that.
+    monkeypatch.setattr(encodings, "KNOWN_WORDS", 1)
+    one = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t and t.encode()], pa.binary())], names=["doc", "text"]) for i, t in enumerate(texts)]
+    assert sorted(tuple(r.values()) for b in encodings._pieces(iter(one)) for r in b.to_pylist()) == sorted(want)
