@@ -153,8 +153,9 @@ def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_w
     crowded = bool(full.take(1))
     full = sized(full, SMALL_ROWS)
     rare = keys.join(full, "key", "left_anti") if crowded else keys
-    # A key that only one record has, as most are, gives no pair.
-    pairs = rare.join(rare.withColumnRenamed("rep", "b"), "key").filter("rep < b").select(F.col("rep").alias("a"), "b")
+    # A key that only one record has, as most are, gives no pair. Both sides are named anew, so that their plans are equal and the
+    # keys, the most there is to shuffle here, are shuffled once for both.
+    pairs = rare.select("key", F.col("rep").alias("a")).join(rare.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     side = lambda k: prints.select(F.col("item").alias(k), *[F.col(f"s{i}").alias(f"{k}{i}") for i in range(4)])
     pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
     if crowded:

@@ -46,3 +46,29 @@ def test_full_keys_lose_no_pair(spark):
 def test_empty(spark):
     links, members = near_duplicates(spark.createDataFrame([], SCHEMA))
     assert links.count() == members.count() == duplicate_pairs(links, members).count() == 0
+
+
+def test_keys_are_shuffled_once(spark):
+    rng = random.Random(6)
+    rows = [(i, "T", " ".join(f"x{rng.randrange(9999)}" for _ in range(30)), 1, 2, 3) for i in range(500)]
+    rows += [(1000 + i, t, f"{body} one more", a, b, c) for i, t, body, a, b, c in rows[:50]]
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    # Joins are shuffled, as those of a large table are.
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = shuffled()
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        pairs = {tuple(r) for r in duplicate_pairs(*near_duplicates(spark.createDataFrame(rows, SCHEMA))).collect()}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert pairs == {(i, 1000 + i) for i in range(50)}
+    # Each record has 40 keys; that the joins need them on both sides must not write them twice.
+    each = sum(n for s, n in shuffled().items() if s not in before) / len(rows)
+    assert 40 <= each < 60
