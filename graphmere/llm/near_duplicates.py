@@ -16,6 +16,10 @@ SMALL_ROWS = 200_000
 FULL_KEY = 5000
 #: Full keys are looked for among one record in so many; this decides how they are joined and not what is found.
 LOOK = 50
+#: The candidates' ids and cells are broadcast up to so many rows, so that no other texts are shuffled.
+WANTED_ROWS = 1_000_000
+#: Candidate pairs are verified in cells of about so many hashes.
+CELL_HASHES = 100_000
 #: Rows of one class that go to one task when classes are written out as pairs.
 CLASS_ROWS = 20_000
 
@@ -130,7 +134,31 @@ def _in_full_keys(keys: DataFrame, full: DataFrame, prints: DataFrame, near: Col
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_words: int = 20, kind: Fingerprint = Fingerprint(), ident: str = "item_seq", full_key: int = FULL_KEY) -> tuple[DataFrame, DataFrame]:
+def _verified(items: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, cell_hashes: int) -> DataFrame:
+    """(a, b, similarity) of all ``pairs``, by the sets of the texts of ``items``; ``sizes`` (item, n) has the sets' sizes.
+
+    Pairs whose lower record has the same lowest neighbour meet in a cell, so that a set goes once to a cell and not
+    once to each pair. A cell of too many hashes is cut in as many parts by a as by b, so no task holds much of it.
+    """
+    ends = pairs.select(F.col("a").alias("item"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("other")))
+    lowest = stage(ends.groupBy("item").agg(F.min("other").alias("cell")).join(sizes, "item").select("item", F.least("item", "cell").alias("cell"), "n"))
+    weighed = pairs.join(lowest.withColumnRenamed("item", "a"), "a").join(lowest.select(F.col("item").alias("b"), F.col("n").alias("m")), "b")
+    weighed = stage(weighed.select("a", "b", "cell", (F.col("n") + F.col("m")).alias("n")))
+    large = stage(weighed.groupBy("cell").agg(F.ceil(F.sqrt(F.sum("n") / cell_hashes)).cast("int").alias("parts")).filter("parts > 1"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1)))
+    celled = stage(weighed.join(sized(large, SMALL_ROWS), "cell", "left").select("a", "b", F.xxhash64("cell", part("a"), part("b")).alias("at")))
+    places = stage(celled.select(F.explode(F.array("a", "b")).alias("item"), "at").groupBy("item").agg(F.collect_set("at").alias("places")))
+    # Only the candidates' texts are read again for their sets.
+    kept = items.join(sized(places, WANTED_ROWS), "item").select("item", "places", record_words(F.col("title"), F.col("body")).alias("w"))
+    kept = kept.select("item", F.explode("places").alias("at"), shingles(F.col("w"), size).alias("sh")).repartition("at")
+    cells = kept.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("item", "sh"))).alias("sets"))
+    cells = cells.join(celled.groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "at")
+    x, y = (lambda p, k=k: F.col("sets")[p[k]] for k in "ab")
+    counted = F.transform("pairs", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), (F.size(x(p)) + F.size(y(p))).alias("n"), F.size(F.array_intersect(x(p), y(p))).alias("both")))
+    return cells.select(F.inline(counted)).select("a", "b", (F.col("both") / (F.col("n") - F.col("both"))).alias("similarity"))
+
+
+def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_words: int = 20, kind: Fingerprint = Fingerprint(), ident: str = "item_seq", full_key: int = FULL_KEY, cell_hashes: int = CELL_HASHES) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs (a, b, similarity) of class representatives, and (item, rep) of every item.
 
     Items with one set of word runs form a class; its lowest id represents it. Links are exact: the similarity
@@ -157,17 +185,12 @@ def near_duplicates(items: DataFrame, least: float = 0.6, size: int = 3, least_w
     # keys, the most there is to shuffle here, are shuffled once for both.
     pairs = rare.select("key", F.col("rep").alias("a")).join(rare.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     side = lambda k: prints.select(F.col("item").alias(k), *[F.col(f"s{i}").alias(f"{k}{i}") for i in range(4)])
-    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
+    # By a at once, so that pairs are not shuffled for their distinct ones and once more for the distance.
+    pairs = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
     if crowded:
         pairs = pairs.unionByName(_in_full_keys(keys, full, prints, near, full_key)).distinct()
     pairs = stage(pairs)
-    wanted = sized(stage(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()), SMALL_ROWS)
-    # Only the candidates' texts are read again for their sets.
-    kept = items.join(wanted, items[ident] == wanted["item"], "left_semi").select(F.col(ident).alias("item"), words.alias("w"))
-    kept = kept.select("item", shingles(F.col("w"), size).alias("sh"))
-    x, y = kept.select(F.col("item").alias("a"), F.col("sh").alias("x")), kept.select(F.col("item").alias("b"), F.col("sh").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+    scored = _verified(items.select(F.col(ident).alias("item"), "title", "body"), pairs, prints.select("item", "n"), size, cell_hashes)
     links = stage(scored.filter(F.col("similarity") >= least))
     alone = prints.select("item").join(others, "item", "left_anti").select("item", F.col("item").alias("rep"))
     return links, alone.unionByName(copies.filter("item != rep"))

@@ -48,27 +48,54 @@ def test_empty(spark):
     assert links.count() == members.count() == duplicate_pairs(links, members).count() == 0
 
 
-def test_keys_are_shuffled_once(spark):
-    rng = random.Random(6)
-    rows = [(i, "T", " ".join(f"x{rng.randrange(9999)}" for _ in range(30)), 1, 2, 3) for i in range(500)]
-    rows += [(1000 + i, t, f"{body} one more", a, b, c) for i, t, body, a, b, c in rows[:50]]
+def shuffled(spark):
+    """(rows, bytes) written to shuffles by each stage so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {s.stageId(): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in map(stages.apply, range(stages.size()))}
 
-    def shuffled():
-        sc = spark.sparkContext
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
 
-    # Joins are shuffled, as those of a large table are.
+def found_and_shuffled(spark, rows, **options):
+    """The pairs and what was shuffled for them, where joins are shuffled as those of a large table are."""
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = shuffled()
+    before = shuffled(spark)
     try:
         for name in names:
             spark.conf.set(name, "-1")
-        pairs = {tuple(r) for r in duplicate_pairs(*near_duplicates(spark.createDataFrame(rows, SCHEMA))).collect()}
+        pairs = [tuple(r) for r in duplicate_pairs(*near_duplicates(spark.createDataFrame(rows, SCHEMA), **options)).collect()]
     finally:
         for name in names:
             spark.conf.unset(name)
+    assert len(pairs) == len(set(pairs))
+    new = [x for s, x in shuffled(spark).items() if s not in before]
+    return set(pairs), sum(n for n, _ in new), sum(n for _, n in new)
+
+
+def test_keys_are_shuffled_once(spark):
+    rng = random.Random(6)
+    rows = [(i, "T", " ".join(f"x{rng.randrange(9999)}" for _ in range(30)), 1, 2, 3) for i in range(500)]
+    rows += [(1000 + i, t, f"{body} one more", a, b, c) for i, t, body, a, b, c in rows[:50]]
+    pairs, records, _ = found_and_shuffled(spark, rows)
     assert pairs == {(i, 1000 + i) for i in range(50)}
     # Each record has 40 keys; that the joins need them on both sides must not write them twice.
-    each = sum(n for s, n in shuffled().items() if s not in before) / len(rows)
-    assert 40 <= each < 60
+    assert 40 <= records / len(rows) < 60
+
+
+def test_sets_are_shuffled_once_and_large_cells_are_cut(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(20):
+        base = [f"y{rng.randrange(9999)}" for _ in range(600)]
+        for _ in range(16):
+            words = list(base)
+            for _ in range(rng.randint(1, 40)):
+                words[rng.randrange(len(words))] = f"z{rng.randrange(9999)}"
+            rows.append((len(rows), "T", " ".join(words), 1, 2, 3))
+    sets = {r[0]: runs(r[1], r[2]) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    whole, _, written = found_and_shuffled(spark, rows)
+    assert whole <= want and len(whole) >= 0.99 * len(want)
+    # 320 sets of about 5 kB; the pairs are about 2,400.
+    assert written < 1.5 * sum(8 * len(s) for s in sets.values())
+    for most in (3000, 10):  # some parts of a cell; each pair in a cell of its own
+        assert found_and_shuffled(spark, rows, cell_hashes=most)[0] == whole
